@@ -23,6 +23,8 @@ def shared_root(spark: SparkSession) -> str:
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(root)
+    if root.startswith("file:/") and not root.startswith("file://"):
+        root = "file://" + root[5:]
     return root.rstrip("/")
 
 

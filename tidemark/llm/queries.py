@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import quality
+from tidemark.llm import packing, quality, secrets, sharding, warc
 
-QUERIES = {"op10_quality": quality.op10_quality}
-ORACLE_SQL = {"op10_quality": quality.OP10_SQL}
+QUERIES = {
+    "op3_packing": packing.op3_packing,
+    "op4_secrets": secrets.op4_secrets,
+    "op5_warc": warc.op5_warc,
+    "op6_sharding": sharding.op6_sharding,
+    "op10_quality": quality.op10_quality,
+}
+ORACLE_SQL = {"op5_warc": warc.OP5_SQL, "op10_quality": quality.OP10_SQL}
