@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import packing, quality, secrets, sharding, warc
+from tidemark.llm import packing, quality, recompress, secrets, sharding, warc
 
 QUERIES = {
+    "op2_substring": recompress.op2_substring,
     "op3_packing": packing.op3_packing,
     "op4_secrets": secrets.op4_secrets,
     "op5_warc": warc.op5_warc,
     "op6_sharding": sharding.op6_sharding,
     "op10_quality": quality.op10_quality,
 }
-ORACLE_SQL = {"op5_warc": warc.OP5_SQL, "op10_quality": quality.OP10_SQL}
+ORACLE_SQL = {"op2_substring": recompress.OP2_SQL, "op5_warc": warc.OP5_SQL, "op10_quality": quality.OP10_SQL}
