@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bagminhash, packing, quality, recompress, secrets, sharding, warc
+from tidemark.llm import bagminhash, packing, quality, recompress, secrets, sharding, warc, winnow
 
 QUERIES = {
+    "op8_fingerprints": winnow.op8_fingerprints,
     "op9_near": bagminhash.op9_near,
     "op2_substring": recompress.op2_substring,
     "op3_packing": packing.op3_packing,
