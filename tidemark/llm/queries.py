@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bagminhash, packing, quality, recompress, secrets, sharding, toxicity, warc, winnow
+from tidemark.llm import bagminhash, packing, pieces, quality, recompress, secrets, sharding, toxicity, warc, winnow
 
 QUERIES = {
+    "op7_pieces": pieces.op7_pieces,
     "op1_toxicity": toxicity.op1_toxicity,
     "op8_fingerprints": winnow.op8_fingerprints,
     "op9_near": bagminhash.op9_near,
