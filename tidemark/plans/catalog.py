@@ -1,11 +1,522 @@
-"""All queries over the reference's own operators, with their DuckDB counterparts."""
+"""All queries over the reference's own operators, with their DuckDB counterparts.
+
+The audit queries run over the projection of ``plans.adapter``; the text, link,
+interval, expectation and mutation queries run over the driver's tables directly.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidemark.functions import text as T
+from tidemark.operators import audit, expect, intervals, mutate
+from tidemark.plans import adapter
+from tidemark.plans.adapter import table
+from tidemark.sources import links
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None, audit_rows: bool = False):
+    """Registers a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = adapter.SQL + sql if audit_rows else sql
+        return f
+
+    return add
+
+
+def _relations(spark, d):
+    ls = adapter.lines(spark, d)
+    return adapter.scope(ls), adapter.verdicts(ls), adapter.occurrences(ls)
+
+
+# --- audit analytics -------------------------------------------------------------
+
+LEVEL = "CASE WHEN {0} >= 90 THEN 'critical' WHEN {0} >= 70 THEN 'high' WHEN {0} >= 40 THEN 'medium' WHEN {0} > 0 THEN 'low' ELSE 'none' END"
+CONSENSUS = """, elig AS (SELECT run_id, subject_id, count(*) AS eligible FROM verdicts GROUP BY ALL),
+f AS (SELECT run_id, subject_id, fingerprint, count(DISTINCT pass_number) AS consensus_count, count(*) AS n, max(score) AS top, arg_min(category, occ_id) AS category FROM occurrences GROUP BY run_id, subject_id, fingerprint)
+"""
+
+
+@query(CONSENSUS + f"""SELECT run_id, subject_id, fingerprint, category, consensus_count, eligible, round_even(consensus_count / eligible, 4) AS ratio,
+  CASE top WHEN 15 THEN 'low' WHEN 35 THEN 'medium' WHEN 65 THEN 'high' ELSE 'critical' END AS max_severity,
+  least(100, top + (n - 1) * 10)::BIGINT AS risk_score, {LEVEL.format('least(100, top + (n - 1) * 10)')} AS risk_level
+FROM f JOIN elig USING (run_id, subject_id)""", True)
+def run_consensus(spark, d):
+    _, v, o = _relations(spark, d)
+    return audit.run_consensus(v, o)
+
+
+@query(CONSENSUS + f"""SELECT run_id, max(least(100, top + (n - 1) * 10))::BIGINT AS risk_score, {LEVEL.format('max(least(100, top + (n - 1) * 10))')} AS risk_level, count(*) AS findings FROM f GROUP BY run_id""", True)
+def run_risk(spark, d):
+    _, v, o = _relations(spark, d)
+    rows = audit.run_consensus(v, o).groupBy("run_id").agg(F.max("risk_score").alias("risk_score"), F.count(F.lit(1)).alias("findings"))
+    return rows.withColumn("risk_level", audit.risk_level(F.col("risk_score")))
+
+
+SUMMARY = """, t AS (SELECT run_id, subject_id, count(*) AS total, count(*) FILTER (verdict = 'clear') AS clear, count(*) FILTER (verdict = 'finding') AS finding, count(*) FILTER (verdict = 'uncertain') AS uncertain, count(DISTINCT verdict) > 1 AS disagreement FROM verdicts GROUP BY ALL),
+pf AS (SELECT run_id, subject_id, fingerprint, count(*) AS n, max(score) AS top FROM occurrences GROUP BY ALL),
+ps AS (SELECT run_id, subject_id, max(top) AS top, max(n) AS rec, count(*) AS n_findings FROM pf GROUP BY ALL),
+pt AS (SELECT run_id, subject_id, count(*) AS pass_total FROM scope GROUP BY ALL),
+s AS (SELECT t.*, coalesce(n_findings, 0) AS n_findings, pass_total, least(100, coalesce(top, 0) + CASE WHEN rec > 1 THEN least(20, (rec - 1) * 10) ELSE 0 END + CASE WHEN disagreement THEN 15 ELSE 0 END + least(10, uncertain * 5))::BIGINT AS risk_score
+  FROM t LEFT JOIN ps USING (run_id, subject_id) JOIN pt USING (run_id, subject_id))
+"""
+
+
+@query(SUMMARY + f"""SELECT run_id, subject_id, CASE WHEN finding > 0 THEN 'finding' WHEN uncertain > 0 THEN 'uncertain' ELSE 'clear' END AS verdict, total, clear, finding, uncertain, disagreement, risk_score, {LEVEL.format('risk_score')} AS risk_level, n_findings, pass_total, total AS completed_passes FROM s""", True)
+def question_summary(spark, d):
+    return audit.question_summary(*_relations(spark, d))
+
+
+@query(SUMMARY + f"""SELECT run_id, {LEVEL.format('risk_score')} AS risk_level, count(*) AS subjects, count(*) FILTER (disagreement) AS disagreements FROM s GROUP BY ALL""", True)
+def risk_histogram(spark, d):
+    s = audit.question_summary(*_relations(spark, d))
+    return s.groupBy("run_id", "risk_level").agg(F.count(F.lit(1)).alias("subjects"), F.count_if("disagreement").alias("disagreements"))
+
+
+@query("SELECT subject_id, max(run_id) AS run_id, max(created_at) AS created_at FROM verdicts GROUP BY subject_id", True)
+def latest_run_per_subject(spark, d):
+    return audit.latest_run_per_subject(_relations(spark, d)[1])
+
+
+@query(SUMMARY + f""", newest AS (SELECT subject_id, max(run_id) AS run_id FROM verdicts GROUP BY subject_id)
+SELECT subject_id, run_id, risk_score, {LEVEL.format('risk_score')} AS risk_level, total FROM s SEMI JOIN newest USING (subject_id, run_id)""", True)
+def latest_summary_per_question(spark, d):
+    sc, v, o = _relations(spark, d)
+    newest = audit.latest_run_per_subject(v).select("subject_id", "run_id")
+    return audit.question_summary(sc, v, o).join(newest, ["subject_id", "run_id"], "left_semi").select("subject_id", "run_id", "risk_score", "risk_level", "total")
+
+
+@query(""", x AS (SELECT *, min(pass_number) OVER (PARTITION BY run_id, fingerprint) AS first FROM occurrences),
+c AS (SELECT run_id, pass_number, count(DISTINCT fingerprint) AS n, count(DISTINCT CASE WHEN first = pass_number THEN fingerprint END) AS m FROM x GROUP BY ALL)
+SELECT run_id, pass_number, coalesce(n, 0) AS finding_count, coalesce(m, 0) AS new_finding_count FROM (SELECT DISTINCT run_id, pass_number FROM verdicts) LEFT JOIN c USING (run_id, pass_number)""", True)
+def within_run_novelty(spark, d):
+    _, v, o = _relations(spark, d)
+    return audit.within_run_novelty(v, o)
+
+
+@query(""", p AS (SELECT run_id, subject_id, pass_number, row_number() OVER (PARTITION BY run_id, subject_id ORDER BY pass_number DESC) AS k, count(*) OVER (PARTITION BY run_id, subject_id) AS n FROM verdicts),
+l AS (SELECT p.run_id, p.subject_id, fingerprint, bool_or(k = 1) AS a, bool_or(k = 2) AS b, bool_or(k > 1) AS e FROM p JOIN occurrences o ON o.run_id = p.run_id AND o.subject_id = p.subject_id AND o.pass_number = p.pass_number GROUP BY ALL),
+c AS (SELECT run_id, subject_id, count(*) FILTER (a AND b) AS common, count(*) FILTER (a OR b) AS u, count(*) FILTER (a AND NOT e) AS fresh FROM l GROUP BY ALL)
+SELECT run_id, subject_id, n AS completed_passes, coalesce(fresh, 0) AS new_findings_latest_pass, CASE WHEN n >= 2 THEN CASE WHEN coalesce(u, 0) > 0 THEN round_even(common / u, 4) ELSE 1.0::DOUBLE END END AS jaccard, n >= 2 AND coalesce(fresh, 0) = 0 AS converged
+FROM (SELECT DISTINCT run_id, subject_id, n FROM p) LEFT JOIN c USING (run_id, subject_id)""", True)
+def pass_jaccard(spark, d):
+    _, v, o = _relations(spark, d)
+    return audit.pass_jaccard(v, o)
+
+
+PRESENCE = """, pt AS (SELECT run_id, created_at, subject_id, count(*) AS total FROM scope GROUP BY ALL),
+vd AS (SELECT run_id, subject_id, count(*) AS n, string_agg(DISTINCT verdict, ',' ORDER BY verdict) AS vs FROM verdicts GROUP BY ALL),
+fs AS (SELECT run_id, subject_id, string_agg(DISTINCT fingerprint, ',' ORDER BY fingerprint) AS fps FROM occurrences GROUP BY run_id, subject_id),
+pres AS (SELECT run_id, subject_id, coalesce(n = total, false) AS complete, vs, coalesce(fps, '') AS fps, row_number() OVER (PARTITION BY subject_id ORDER BY created_at DESC, run_id DESC) AS rank
+  FROM pt LEFT JOIN vd USING (run_id, subject_id) LEFT JOIN fs USING (run_id, subject_id))
+"""
+
+
+@query(PRESENCE + """, k AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY rank) AS k FROM pres WHERE complete),
+s AS (SELECT subject_id, count(*) AS n, count(DISTINCT vs || ':' || fps) AS m FROM k WHERE k <= 2 GROUP BY subject_id)
+SELECT subject_id, CASE WHEN coalesce(n, 0) < 2 THEN 'insufficient_runs' WHEN m = 1 THEN 'stable' ELSE 'changed' END AS convergence FROM (SELECT DISTINCT subject_id FROM scope) LEFT JOIN s USING (subject_id)""", True)
+def cross_run_convergence(spark, d):
+    return audit.cross_run_convergence(audit.run_presence(*_relations(spark, d)))
+
+
+HISTORY = PRESENCE + """, done AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY rank) AS k FROM pres WHERE complete),
+occ AS (SELECT subject_id, fingerprint, count(*) AS occurrence_count, count(DISTINCT run_id) AS seen_run_count, min(run_id) AS first_seen_run_id, max(run_id) AS latest_seen_run_id FROM occurrences GROUP BY subject_id, fingerprint),
+g AS (SELECT o.subject_id, o.fingerprint, d.run_id, d.k, contains(d.fps, o.fingerprint) AS present FROM occ o JOIN done d USING (subject_id)),
+a AS (SELECT subject_id, fingerprint, bool_or(present AND k = 1) AS now, min(k) FILTER (present AND k > 1) AS prev FROM g GROUP BY ALL),
+mid AS (SELECT g.subject_id, g.fingerprint, string_agg(g.run_id, ',' ORDER BY g.k) AS runs FROM g JOIN a USING (subject_id, fingerprint) WHERE a.now AND g.k > 1 AND g.k < a.prev GROUP BY ALL),
+newest AS (SELECT subject_id, complete FROM pres WHERE rank = 1)
+"""
+
+
+@query(HISTORY + """SELECT subject_id, fingerprint, seen_run_count, occurrence_count, first_seen_run_id, latest_seen_run_id,
+  CASE WHEN NOT complete THEN 'latest_run_incomplete' WHEN now AND prev > 2 THEN 'reappeared_in_latest_run' WHEN now THEN 'present_in_latest_run' ELSE 'not_reproduced_in_latest_run' END AS latest_state,
+  CASE WHEN complete AND now AND prev > 2 THEN runs ELSE '' END AS intervening_runs
+FROM occ JOIN newest USING (subject_id) LEFT JOIN a USING (subject_id, fingerprint) LEFT JOIN mid USING (subject_id, fingerprint)""", True)
+def finding_history_state(spark, d):
+    sc, v, o = _relations(spark, d)
+    return audit.finding_history(audit.run_presence(sc, v, o), o)
+
+
+@query("SELECT fingerprint, min(run_id) AS first_run, max(run_id) AS last_run, count(DISTINCT run_id) AS runs, array_to_string(list_sort(list(DISTINCT run_id), 'DESC'), ',') AS run_ids FROM occurrences GROUP BY fingerprint", True)
+def finding_first_last_seen(spark, d):
+    o = _relations(spark, d)[2]
+    return o.groupBy("fingerprint").agg(F.min("run_id").alias("first_run"), F.max("run_id").alias("last_run"), F.count_distinct("run_id").alias("runs"), F.array_join(F.sort_array(F.collect_set("run_id"), False), ",").alias("run_ids"))
+
+
+@query("SELECT run_id, pass_number, CASE WHEN bool_or(completed) THEN 'complete' ELSE 'pending' END AS state, count(*) AS subject_count, count(*) FILTER (completed) AS completed_subject_count, count(*) FILTER (NOT completed) AS pending_subject_count FROM scope GROUP BY ALL", True)
+def pass_status(spark, d):
+    return audit.pass_status(_relations(spark, d)[0])
+
+
+@query("SELECT run_id, count(DISTINCT subject_id) AS subjects, count(DISTINCT pass_number) AS passes FROM scope GROUP BY run_id", True)
+def audit_scope(spark, d):
+    return _relations(spark, d)[0].groupBy("run_id").agg(F.count_distinct("subject_id").alias("subjects"), F.count_distinct("pass_number").alias("passes"))
+
+
+@query("SELECT run_id, count(*) AS total, count(*) FILTER (verdict = 'clear') AS clear, count(*) FILTER (verdict = 'finding') AS finding, count(*) FILTER (verdict = 'uncertain') AS uncertain FROM verdicts GROUP BY run_id", True)
+def verdict_totals(spark, d):
+    return audit.verdict_totals(_relations(spark, d)[1], "run_id")
+
+
+@query("SELECT run_id, subject_id, string_agg(DISTINCT verdict, '|' ORDER BY verdict) AS verdicts FROM verdicts GROUP BY run_id, subject_id HAVING count(DISTINCT verdict) > 1", True)
+def disagreement_subjects(spark, d):
+    v = _relations(spark, d)[1].groupBy("run_id", "subject_id").agg(F.array_sort(F.collect_set("verdict")).alias("v"))
+    return v.where(F.size("v") > 1).select("run_id", "subject_id", F.array_join("v", "|").alias("verdicts"))
+
+
+@query("SELECT run_id, pass_number, string_agg(subject_id::VARCHAR, ',' ORDER BY subject_id) AS subjects FROM scope WHERE subject_id % 3 = 0 AND pass_number <= 3 GROUP BY ALL", True)
+def scope_intersection(spark, d):
+    wanted = table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("subject_id"))
+    rows = _relations(spark, d)[0].where("pass_number <= 3").join(wanted, "subject_id", "left_semi")
+    return rows.groupBy("run_id", "pass_number").agg(F.array_join(F.transform(F.array_sort(F.collect_list("subject_id")), lambda x: x.cast("string")), ",").alias("subjects"))
+
+
+@query("SELECT subject_id FROM scope WHERE run_id = 'run-1995' EXCEPT SELECT subject_id FROM scope WHERE run_id = 'run-1996'", True)
+def set_difference(spark, d):
+    sc = _relations(spark, d)[0]
+    return sc.where("run_id = 'run-1995'").select("subject_id").subtract(sc.where("run_id = 'run-1996'").select("subject_id"))
+
+
+@query("SELECT subject_id FROM scope WHERE run_id = 'run-1995' INTERSECT SELECT subject_id FROM scope WHERE run_id = 'run-1996'", True)
+def set_intersection(spark, d):
+    sc = _relations(spark, d)[0]
+    return sc.where("run_id = 'run-1995'").select("subject_id").intersect(sc.where("run_id = 'run-1996'").select("subject_id"))
+
+
+# --- attempts ----------------------------------------------------------------------
+
+ATTEMPTS = """WITH a AS (SELECT user_id AS pass_id, event_id AS id, ts, CASE event_type WHEN 'purchase' THEN 'succeeded' WHEN 'error' THEN 'failed' WHEN 'view' THEN 'timed_out' ELSE 'invalid' END AS status, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS evidence FROM events),
+l AS (SELECT *, row_number() OVER (PARTITION BY pass_id ORDER BY ts, id) AS attempt_number FROM a)
+"""
+
+
+def _attempts(spark, d):
+    status = F.when(F.col("event_type") == "purchase", "succeeded").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "timed_out").otherwise("invalid")
+    return table(spark, d, "events").select(F.col("user_id").alias("pass_id"), F.col("event_id").alias("id"), "ts", status.alias("status"), F.get_json_object("props", "$.k").cast("long").alias("evidence"))
+
+
+@query(ATTEMPTS + "SELECT pass_id, attempt_number, id, status, evidence FROM l")
+def attempt_log(spark, d):
+    return audit.attempt_log(_attempts(spark, d)).select("pass_id", "attempt_number", "id", "status", "evidence")
+
+
+@query(ATTEMPTS + "SELECT status, count(*) AS n, sum(evidence)::BIGINT AS evidence FROM a GROUP BY status")
+def attempt_status_histogram(spark, d):
+    return _attempts(spark, d).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("evidence").alias("evidence"))
+
+
+@query(ATTEMPTS + """SELECT pass_id, count(*) AS attempts, count(*) FILTER (attempt_number > 1) AS retries, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'timed_out') AS timed_out, count(*) FILTER (status = 'invalid') AS invalid,
+  arg_max(status, attempt_number) AS latest_status, NOT bool_or(status = 'succeeded') AS retryable FROM l GROUP BY pass_id""")
+def retry_summary(spark, d):
+    return audit.retry_summary(audit.attempt_log(_attempts(spark, d)))
+
+
+@query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_valid(props) AS valid FROM events")
+def json_evidence(spark, d):
+    v = F.try_parse_json("props")
+    return table(spark, d, "events").select("event_id", F.try_variant_get(v, "$.k", "bigint").alias("k"), v.isNotNull().alias("valid"))
+
+
+# --- relational operators ------------------------------------------------------------
+
+@query("SELECT n_name, r_name, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
+def section_counts(spark, d):
+    c, n, r = (table(spark, d, t) for t in ("customer", "nation", "region"))
+    return c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).groupBy("n_name", "r_name").agg(F.count(F.lit(1)).alias("customers"))
+
+
+@query("SELECT count(DISTINCT o_custkey) AS active, count(*) AS orders, count(DISTINCT o_orderpriority) AS priorities FROM orders WHERE o_orderstatus = 'O'")
+def distinct_active(spark, d):
+    return table(spark, d, "orders").where("o_orderstatus = 'O'").agg(F.count_distinct("o_custkey").alias("active"), F.count(F.lit(1)).alias("orders"), F.count_distinct("o_orderpriority").alias("priorities"))
+
+
+@query("SELECT d.doc_id, d.lang FROM documents d WHERE d.n_chars > 500 AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1)")
+def reviewed_without_record(spark, d):
+    return table(spark, d, "documents").select("doc_id", "lang", "n_chars").where("n_chars > 500").join(table(spark, d, "labels").where("quality = 1"), "doc_id", "left_anti").select("doc_id", "lang")
+
+
+@query("SELECT doc_id, source FROM documents SEMI JOIN (SELECT doc_id FROM labels WHERE toxic = 1) USING (doc_id)")
+def has_manual_review(spark, d):
+    return table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels").where("toxic = 1"), "doc_id", "left_semi")
+
+
+@query("SELECT o_orderkey, o_orderstatus, l_linenumber, l_linestatus FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus <> l_linestatus")
+def status_disagreement(spark, d):
+    o, l = table(spark, d, "orders"), table(spark, d, "lineitem")
+    return o.join(l, o.o_orderkey == l.l_orderkey).where("o_orderstatus <> l_linestatus").select("o_orderkey", "o_orderstatus", "l_linenumber", "l_linestatus")
+
+
+@query("SELECT d.doc_id, d.lang AS section, d.n_chars, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
+def question_detail_join(spark, d):
+    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").select("doc_id", F.col("lang").alias("section"), "n_chars", "quality", "toxic")
+
+
+@query("SELECT l_orderkey, string_agg(l_linenumber || ':' || l_partkey, ',' ORDER BY l_linenumber, l_partkey) AS choices, count(*) AS n FROM lineitem GROUP BY l_orderkey")
+def bundle_choices(spark, d):
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("c"))
+    return rows.select("l_orderkey", F.array_join(F.transform("c", lambda x: F.concat(x["l_linenumber"].cast("string"), F.lit(":"), x["l_partkey"].cast("string"))), ",").alias("choices"), F.size("c").cast("long").alias("n"))
+
+
+@query("SELECT user_id, event_id, k FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k <= 30")
+def history_top30(spark, d):
+    k = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("event_id")))
+    return table(spark, d, "events").select("user_id", "event_id", k.cast("long").alias("k")).where("k <= 30")
+
+
+@query("SELECT user_id, count(*) AS version, max(event_id) AS latest FROM events GROUP BY user_id")
+def row_version(spark, d):
+    return table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("version"), F.max("event_id").alias("latest"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) = 2")
+def offset_image(spark, d):
+    k = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").withColumn("k", k).where("k = 2").drop("k", "l_suppkey")
+
+
+@query("SELECT doc_id + 1000000 AS doc_id, (SELECT count(*) FROM labels) + row_number() OVER (PARTITION BY 0 * doc_id ORDER BY doc_id) AS number FROM labels WHERE false UNION ALL SELECT user_id, n + k FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE event_type = 'error') JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY user_id) USING (user_id)")
+def seq_alloc(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type")
+    old = e.where("event_type = 'view'").groupBy("user_id").agg(F.count(F.lit(1)).alias("number"))
+    new = e.where("event_type = 'error'").join(old.select("user_id"), "user_id", "left_semi")
+    return mutate.allocate_ids(old, new, "user_id", "number", ["event_id"]).select(F.col("user_id").alias("doc_id"), "number")
+
+
+# --- expectations and parity -----------------------------------------------------------
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def pk_violations(spark, d):
+    return expect.pk_violations(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber")
+
+
+@query("SELECT doc_id, quality FROM labels ANTI JOIN (SELECT doc_id FROM documents WHERE n_chars > 300) USING (doc_id)")
+def fk_violations(spark, d):
+    target = table(spark, d, "documents").where("n_chars > 300")
+    return expect.fk_violations(table(spark, d, "labels"), "doc_id", target, "doc_id").select("doc_id", "quality")
+
+
+@query("""SELECT l_orderkey, l_linenumber, concat_ws(',', CASE WHEN NOT (l_quantity <= 45) THEN 'quantity' END, CASE WHEN NOT (l_discount < 0.1) THEN 'discount' END, CASE WHEN NOT (l_returnflag IN ('R', 'A', 'N')) THEN 'flag' END) AS broken
+FROM lineitem WHERE NOT (l_quantity <= 45) OR NOT (l_discount < 0.1) OR NOT (l_returnflag IN ('R', 'A', 'N'))""")
+def check_violations(spark, d):
+    rules = {"quantity": F.col("l_quantity") <= 45, "discount": F.col("l_discount") < 0.1, "flag": F.col("l_returnflag").isin("R", "A", "N")}
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag")
+    return expect.check_violations(rows, rules).select("l_orderkey", "l_linenumber", F.array_join("broken", ",").alias("broken"))
+
+
+@query("""WITH a AS (SELECT count(*) AS n, count(DISTINCT l_returnflag) AS f, count(*) FILTER (l_quantity <= 0) AS q, count(*) FILTER (l_orderkey IS NULL) AS k FROM lineitem)
+SELECT check_name, expected, actual, expected = actual AS ok FROM (SELECT 'flags' AS check_name, '3' AS expected, f::VARCHAR AS actual FROM a UNION ALL SELECT 'bad_quantity', '0', q::VARCHAR FROM a UNION ALL SELECT 'null_keys', '0', k::VARCHAR FROM a UNION ALL SELECT 'rows', '60000', n::VARCHAR FROM a)""")
+def quality_gate(spark, d):
+    checks = {"flags": (F.count_distinct("l_returnflag"), 3), "bad_quantity": (F.count_if(F.col("l_quantity") <= 0), 0), "null_keys": (F.count_if(F.col("l_orderkey").isNull()), 0), "rows": (F.count(F.lit(1)), 60000)}
+    return expect.suite(table(spark, d, "lineitem"), checks)
+
+
+DIGEST = """WITH r AS (SELECT sha256(concat_ws('|', 'v' || {0}, 'v' || {1}, 'v' || {2})) AS h FROM {3}), p AS (SELECT h, count(*) AS n FROM r GROUP BY h),
+b AS (SELECT substr(h, 1, 3) AS b, sha256(string_agg(h || '*' || n, chr(10) ORDER BY h)) AS d, sum(n) AS n FROM p GROUP BY 1)
+SELECT sum(n)::BIGINT AS n_rows, sha256(string_agg(d, chr(10) ORDER BY b)) AS digest FROM b"""
+
+
+@query(DIGEST.format("c_custkey", "c_name", "c_mktsegment", "customer"))
+def row_digest(spark, d):
+    return expect.table_digest(table(spark, d, "customer"), ["c_custkey", "c_name", "c_mktsegment"])
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 97 = 0 THEN 'changed' WHEN c_custkey % 97 = 1 THEN 'only_left' ELSE 'only_right' END AS difference FROM (SELECT c_custkey FROM customer WHERE c_custkey % 97 IN (0, 1) UNION ALL SELECT -c_custkey - 1 FROM customer WHERE c_custkey % 500 = 3) AS t(c_custkey)")
+def parity_diff(spark, d):
+    left = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey")
+    right = left.where("c_custkey % 97 <> 1").withColumn("c_name", F.when(F.expr("c_custkey % 97 = 0"), "other").otherwise(F.col("c_name")))
+    right = right.unionByName(left.where("c_custkey % 500 = 3").withColumn("c_custkey", -F.col("c_custkey") - 1))
+    return expect.parity_diff(left, right, "c_custkey", ["c_custkey", "c_name", "c_nationkey"])
+
+
+@query("SELECT * FROM (VALUES ('c_acctbal', 'missing', 'double', NULL), ('c_nationkey', 'type', 'int', 'bigint'), ('note', 'extra', NULL, 'string'), ('c_mktsegment', 'position', 'string', 'string')) AS t(column_name, difference, left_type, right_type)")
+def schema_diff(spark, d):
+    left = table(spark, d, "customer")
+    right = left.select("c_custkey", "c_name", F.col("c_nationkey").cast("long").alias("c_nationkey"), "c_mktsegment", F.lit(None).cast("string").alias("note"))
+    return expect.schema_diff(left, right)
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'missing' WHEN p_partkey % 7 = 1 THEN 'changed' ELSE 'same' END AS status FROM part")
+def manifest_compare(spark, d):
+    part = table(spark, d, "part")
+    listed = part.select("p_partkey", F.sha2("p_name", 256).alias("sha"))
+    found = part.where("p_partkey % 7 <> 0").select("p_partkey", F.sha2(F.when(F.expr("p_partkey % 7 = 1"), F.concat("p_name", F.lit("!"))).otherwise(F.col("p_name")), 256).alias("sha"))
+    return expect.manifest_compare(listed, found, "p_partkey", "sha")
+
+
+# --- links --------------------------------------------------------------------------------
+
+LINKS = r"""WITH m AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')) AS a, generate_subscripts(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>'), 1) AS pos FROM pages),
+l AS (SELECT page_id, pos::BIGINT AS pos, regexp_extract(a, 'href="([^"]*)"', 1) AS href, trim(regexp_replace(regexp_extract(a, '>([^<]*)<', 1), '\s+', ' ', 'g')) AS raw FROM m),
+k AS (SELECT page_id, pos, replace(replace(replace(replace(href, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS href, replace(replace(replace(replace(raw, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS label FROM l)
+"""
+
+
+@query(LINKS + "SELECT page_id, pos, href, label FROM k")
+def link_index(spark, d):
+    return links.link_index(table(spark, d, "pages")).select("page_id", "pos", "href", "label")
+
+
+@query(LINKS + "SELECT kind, section, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(upper(label || ' ' || href), 'THE') THEN 'ARTICLE' WHEN regexp_matches(upper(label || ' ' || href), 'LES|DES') THEN 'PLURAL' ELSE 'UNCLASSIFIED' END AS kind, coalesce(nullif(concat_ws('_', CASE WHEN regexp_matches(upper(label || ' ' || href), 'ON') THEN 'ON' END, CASE WHEN regexp_matches(upper(label || ' ' || href), 'ER') THEN 'ER' END), ''), 'COMBINED_OR_UNKNOWN') AS section FROM k) GROUP BY ALL")
+def link_kind(spark, d):
+    l = links.link_index(table(spark, d, "pages")).withColumn("t", F.concat_ws(" ", "label", "href"))
+    kind = T.file_kind(F.col("t"), (("ARTICLE", "THE"), ("PLURAL", "LES|DES")))
+    section = T.file_section(F.col("t"), (("ON", "ON"), ("ER", "ER")))
+    return l.select(kind.alias("kind"), section.alias("section")).groupBy("kind", "section").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, CASE WHEN l IN ('II', '2') THEN 'II' WHEN l IN ('I', '1') THEN 'I' END AS level FROM (SELECT doc_id, regexp_extract(upper(trim(regexp_replace(text, '[\\s\\x0B\\x85\\p{Z}]+', ' ', 'g'))), '\\bTHE\\s*(II|I|2|1)\\b', 1) AS l FROM documents)".replace("\\\\", "\\"))
+def link_level(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.level_of(F.col("text"), "THE").alias("level"))
+
+
+@query(LINKS + ", r AS (SELECT *, min(pos) OVER (PARTITION BY page_id, href) AS first, row_number() OVER (PARTITION BY page_id, href ORDER BY pos DESC) AS n FROM k) SELECT page_id, first AS pos, href, label FROM r WHERE n = 1")
+def link_dedup_last(spark, d):
+    l = links.link_index(table(spark, d, "pages")).withColumn("link", F.col("href"))
+    return links.dedup_last(l).select("page_id", "pos", "href", "label")
+
+
+@query(LINKS + "SELECT page_id, count(*) AS candidates, count(*) FILTER (pos > 3) AS skipped, count(*) FILTER (pos <= 3) AS indexed FROM k GROUP BY page_id")
+def collection_summary(spark, d):
+    l = links.export_status(links.link_index(table(spark, d, "pages")), 3)
+    return l.groupBy("page_id").agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("status") == "skipped_limit").alias("skipped"), F.count_if(F.col("status") == "indexed").alias("indexed"))
+
+
+# --- text -----------------------------------------------------------------------------------
+
+SPACED = r"regexp_replace(regexp_replace(text, '(\pL)([.,])(\pL)', '\1\2 \3', 'g'), '(\pL)([.,])(\pL)', '\1\2 \3', 'g')"
+
+
+@query(f"SELECT doc_id, sha256({SPACED}) AS spaced, (length({SPACED}) - length(text))::BIGINT AS added FROM documents")
+def punct_spacing(spark, d):
+    spaced = T.space_punctuation(F.col("text"), "\\p{L}", "\\p{L}")
+    return table(spark, d, "documents").select("doc_id", F.sha2(spaced, 256).alias("spaced"), (F.length(spaced) - F.length("text")).cast("long").alias("added"))
+
+
+@query(f"SELECT lang, sum(length({SPACED}) - length(text))::BIGINT AS spaces, count(*) FILTER ({SPACED} <> text) AS changed FROM documents GROUP BY lang")
+def correction_extent(spark, d):
+    spaced = T.space_punctuation(F.col("text"), "\\p{L}", "\\p{L}")
+    rows = table(spark, d, "documents").select("lang", (F.length(spaced) - F.length("text")).alias("n"), (spaced != F.col("text")).alias("c"))
+    return rows.groupBy("lang").agg(F.sum("n").cast("long").alias("spaces"), F.count_if("c").alias("changed"))
+
+
+@query(r"SELECT md5(regexp_replace(text, '[\s\x0B\x85\p{Z}]+', '', 'g')) AS form, count(*) AS n, count(DISTINCT text) AS texts FROM documents GROUP BY 1")
+def whitespace_equal(spark, d):
+    return table(spark, d, "documents").groupBy(F.md5(T.without_space(F.col("text"))).alias("form")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("text").alias("texts"))
+
+
+@query(r"SELECT conv_id, sha256(string_agg(role || ': ' || trim(regexp_replace(text, '[\s\x0B\x85\p{Z}]+', ' ', 'g')), chr(10) ORDER BY turn)) AS dialogue, count(*) AS turns FROM (SELECT * FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL) GROUP BY conv_id")
+def dialogue_build(spark, d):
+    rows = table(spark, d, "conversations").where("text is not null and role is not null")
+    line = F.concat("role", F.lit(": "), T.collapse(F.col("text")))
+    out = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("t"))
+    return out.select("conv_id", F.sha2(F.array_join(F.transform("t", lambda x: x["line"]), "\n"), 256).alias("dialogue"), F.size("t").cast("long").alias("turns"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM documents), t AS (SELECT doc_id, unnest(range(0, len(ws) // 3)) AS k, ws FROM w)
+SELECT doc_id, k::BIGINT AS k, ws[3*k+1] AS number, ws[3*k+2] AS choice, ws[3*k+3] AS points FROM t""")
+def answer_triples(spark, d):
+    words = F.array_remove(F.split("text", "[ \\t-\\r]+"), "")
+    rows = table(spark, d, "documents").select("doc_id", words.alias("w")).where(F.size("w") >= 3)
+    rows = rows.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.floor(F.size("w") / 3).cast("int") - 1)).alias("k"))
+    return rows.select("doc_id", F.col("k").cast("long").alias("k"), *[F.get("w", F.col("k") * 3 + i).alias(n) for i, n in enumerate(("number", "choice", "points"))])
+
+
+# --- intervals ----------------------------------------------------------------------------------
+
+GAPS = """WITH e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS end_ms, lag(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS start_ms FROM events)
+"""
+
+
+def _events_ms(spark, d):
+    return table(spark, d, "events").select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+
+
+@query(GAPS + "SELECT user_id, event_id, start_ms, end_ms, end_ms - start_ms AS gap_ms FROM e WHERE start_ms IS NOT NULL")
+def pause_gaps(spark, d):
+    return intervals.pause_gaps(_events_ms(spark, d), "user_id", "ms", "event_id")
+
+
+@query(GAPS + ", p AS (SELECT user_id, start_ms, end_ms + (event_id % 3) * 1000000 AS end_ms FROM e WHERE start_ms IS NOT NULL), n AS (SELECT *, lead(start_ms) OVER (PARTITION BY user_id ORDER BY start_ms, end_ms) AS next_start_ms FROM p) SELECT user_id, start_ms, end_ms, next_start_ms FROM n WHERE end_ms >= next_start_ms")
+def pause_overlap(spark, d):
+    p = intervals.pause_gaps(_events_ms(spark, d), "user_id", "ms", "event_id").select("user_id", "start_ms", (F.col("end_ms") + F.expr("event_id % 3") * 1000000).alias("end_ms"))
+    return intervals.overlaps(p, "user_id")
+
+
+@query("""WITH k AS (SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 60 ELSE 75 END AS long FROM supplier),
+w AS (SELECT s_suppkey, long, i, CASE WHEN i IN (26, 28, 30) THEN 1000 WHEN i IN (25, 27, 29) THEN long * 1000 ELSE 20000 END AS len FROM k, range(1, 31) AS r(i)),
+p AS (SELECT *, 10000 * i + coalesce(sum(len) OVER (PARTITION BY s_suppkey ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM w),
+q AS (SELECT s_suppkey, i, a, a + len AS b, CASE WHEN i < 25 THEN i ELSE 25 + 2 * ((i - 25) // 2) END AS g FROM p WHERE long > 60)
+SELECT s_suppkey, string_agg(i::VARCHAR, ',' ORDER BY i) AS questions, (min(a) - 150)::BIGINT AS start_ms, (max(b) + 150)::BIGINT AS end_ms, count(*) > 1 AS contains_response_pause FROM q GROUP BY s_suppkey, g""")
+def interval_proposals(spark, d):
+    s = table(spark, d, "supplier").select("s_suppkey", F.when(F.expr("s_suppkey % 5 = 0"), 60).otherwise(75).alias("long"))
+    step = F.when(F.col("i").isin(26, 28, 30), 1000).when(F.col("i").isin(25, 27, 29), F.col("long") * 1000).otherwise(F.when(F.col("i") == 0, 0).otherwise(20000))
+    w = s.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(30)))).withColumn("len", step)
+    start = F.col("i") * 10000 + F.coalesce(F.sum("len").over(Window.partitionBy("s_suppkey").orderBy("i")), F.lit(0))
+    pauses = w.select("s_suppkey", start.cast("long").alias("start_ms"), (start + 10000).cast("long").alias("end_ms"))
+    durations = s.select("s_suppkey", F.lit(10_000_000).cast("long").alias("duration_ms"), F.sha2(F.col("s_suppkey").cast("string"), 256).alias("source_sha256"))
+    rows = intervals.propose(pauses, durations, "s_suppkey")
+    return rows.select("s_suppkey", F.array_join(F.transform("questions", lambda x: x.cast("string")), ",").alias("questions"), "start_ms", "end_ms", "contains_response_pause")
+
+
+@query(GAPS + """, t AS (SELECT user_id, x AS threshold, start_ms + (x % 20) * 10 AS start_ms, end_ms - CASE WHEN user_id % 4 = 0 AND x = 50 THEN 500 ELSE 0 END AS end_ms FROM e, (VALUES (30), (35), (40), (50)) AS v(x) WHERE start_ms IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id, threshold ORDER BY start_ms, end_ms) AS k FROM t), b AS (SELECT user_id, k, start_ms AS s, end_ms AS f FROM r WHERE threshold = 35)
+SELECT user_id, coalesce(bool_and(abs(start_ms - s) <= 120 AND abs(end_ms - f) <= 120), false) AS stable, (count(*) // 4)::BIGINT AS pauses FROM r LEFT JOIN b USING (user_id, k) GROUP BY user_id""")
+def threshold_stability(spark, d):
+    p = intervals.pause_gaps(_events_ms(spark, d), "user_id", "ms", "event_id")
+    t = p.withColumn("threshold", F.explode(F.array(*[F.lit(x) for x in (30, 35, 40, 50)])))
+    t = t.withColumns({"start_ms": F.col("start_ms") + F.expr("threshold % 20") * 10, "end_ms": F.col("end_ms") - F.when(F.expr("user_id % 4 = 0 and threshold = 50"), 500).otherwise(0)})
+    return intervals.threshold_stability(t.select("user_id", "threshold", "start_ms", "end_ms"), "user_id", 35, count=None)
+
+
+# --- mutations --------------------------------------------------------------------------------------
+
+@query("SELECT doc_id, h, CASE WHEN doc_id % 3 = 0 THEN 'inserted' WHEN doc_id % 3 = 1 THEN 'already_imported' ELSE 'conflict' END AS status FROM (SELECT doc_id, sha256(text) AS h FROM documents)")
+def insert_ignore(spark, d):
+    new = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    old = new.where("doc_id % 3 <> 0").withColumn("h", F.when(F.expr("doc_id % 3 = 2"), F.lit("x")).otherwise(F.col("h")))
+    return mutate.insert_ignore(old, new, "doc_id", "h")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 1 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment, (CASE WHEN c_custkey % 4 = 1 AND c_custkey % 10 <> 0 THEN 2 ELSE 1 END)::BIGINT AS version FROM customer")
+def upsert_versioned(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    changes = c.where("c_custkey % 10 = 0 or c_custkey % 4 in (1, 2)").withColumn("c_mktsegment", F.when(F.expr("c_custkey % 4 = 1"), "NEW").otherwise(F.col("c_mktsegment")))
+    return mutate.upsert_versioned(c.where("c_custkey % 10 <> 0").withColumn("version", F.lit(1).cast("long")), changes, "c_custkey", "c_mktsegment")
+
+
+@query("SELECT doc_id, CASE WHEN lang = 'de' OR coalesce(toxic, 0) = 1 THEN 'reviewed' WHEN doc_id % 5 = 0 THEN 'edited' WHEN upper(text) <> text THEN 'update' ELSE 'unchanged' END AS action FROM documents LEFT JOIN labels USING (doc_id)")
+def upgrade_triage(spark, d):
+    docs = table(spark, d, "documents")
+    rows = docs.select("doc_id", F.when(F.col("lang") == "de", "verified").otherwise("pending").alias("status"), "text", F.when(F.expr("doc_id % 5 = 0"), F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("baseline"), F.upper("text").alias("new"))
+    return mutate.upgrade_triage(rows, table(spark, d, "labels").where("toxic = 1"), "doc_id")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'DONE' ELSE c_mktsegment END AS c_mktsegment, CASE WHEN c_custkey % 3 = 0 THEN 'updated' WHEN c_custkey % 3 = 1 THEN 'refused' ELSE 'untouched' END AS status FROM customer")
+def guarded_update(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    changes = c.where("c_custkey % 3 < 2").select("c_custkey", F.when(F.expr("c_custkey % 3 = 0"), F.col("c_mktsegment")).otherwise("?").alias("before"), F.lit("DONE").alias("after"))
+    return mutate.guarded_update(c, changes, "c_custkey", "c_mktsegment")
+
+
+@query("""WITH s AS (SELECT o_custkey, year(o_orderdate) AS y, list(DISTINCT o_orderpriority) AS ids FROM orders GROUP BY ALL), l AS (SELECT *, lag(ids) OVER (PARTITION BY o_custkey ORDER BY y) AS before FROM s)
+SELECT o_custkey, y::INT AS y, len(list_filter(before, lambda x: NOT list_contains(ids, x)))::BIGINT AS lost FROM l WHERE before IS NOT NULL AND len(list_filter(before, lambda x: NOT list_contains(ids, x))) > 0""")
+def checkpoint_monotone(spark, d):
+    s = table(spark, d, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("y")).agg(F.collect_set("o_orderpriority").alias("ids"))
+    return mutate.monotone_violations(s, "o_custkey", "y", "ids")
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
