@@ -29,8 +29,8 @@ def propose(pauses: DataFrame, durations: DataFrame, key: str) -> DataFrame:
     """
     p = pauses.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start_ms", "end_ms"))).alias("p")).join(durations, key)
     d = F.col("duration_ms")
-    each = F.forall("p", lambda x: (x["start_ms"] >= 0) & (x["end_ms"] <= d + 150) & (x["end_ms"] - x["start_ms"] >= 8000))
-    p = p.where((F.size("p") == 31) & each)
+    each = F.forall("p", lambda x: (x["start_ms"] >= 0) & (x["end_ms"] - x["start_ms"] >= 8000))
+    p = p.where((F.size("p") == 31) & each & (F.array_max(F.transform("p", lambda x: x["end_ms"])) <= d + 150))
     p = p.withColumn("w", F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: F.struct(F.get("p", i - 1)["end_ms"].alias("a"), F.get("p", i)["start_ms"].alias("b"))))
     length = lambda i: F.get("w", F.lit(i - 1))["b"] - F.get("w", F.lit(i - 1))["a"]
     ok = F.forall("w", lambda x: (x["b"] > x["a"]) & (x["b"] - x["a"]).between(500, 150000))
@@ -44,9 +44,9 @@ def propose(pauses: DataFrame, durations: DataFrame, key: str) -> DataFrame:
 
 def threshold_stability(pauses: DataFrame, key: str, primary: str, tolerance_ms: int = 120, count: int | None = 31) -> DataFrame:
     """Per key: do all thresholds have the primary's pauses, each within the tolerance?"""
-    ranked = pauses.withColumn("k", F.row_number().over(Window.partitionBy(key, "threshold").orderBy("start_ms", "end_ms")))
-    base = ranked.where(F.col("threshold") == primary).select(key, "k", F.col("start_ms").alias("s"), F.col("end_ms").alias("e"))
+    ranked = pauses.withColumn("__k", F.row_number().over(Window.partitionBy(key, "threshold").orderBy("start_ms", "end_ms")))
+    base = ranked.where(F.col("threshold") == primary).select(key, "__k", F.col("start_ms").alias("s"), F.col("end_ms").alias("e"))
     near = (F.abs(F.col("start_ms") - F.col("s")) <= tolerance_ms) & (F.abs(F.col("end_ms") - F.col("e")) <= tolerance_ms)
-    per = ranked.join(base, [key, "k"], "left").groupBy(key, "threshold").agg(F.count(F.lit(1)).alias("n"), F.every(F.coalesce(near, F.lit(False))).alias("near"))
+    per = ranked.join(base, [key, "__k"], "left").groupBy(key, "threshold").agg(F.count(F.lit(1)).alias("n"), F.every(F.coalesce(near, F.lit(False))).alias("near"))
     same = F.min("n") == F.max("n")
     return per.groupBy(key).agg((F.every("near") & same & (F.lit(True) if count is None else F.min("n") == count)).alias("stable"), F.max("n").alias("pauses"))
