@@ -41,9 +41,8 @@ class Workspace:
 
     def save(self, df: DataFrame, label: str) -> DataFrame:
         path, schema = f"{self.path}/{label}", df.schema
+        release(self.spark)  # of the step before, which nothing refers to by now
         df.write.parquet(path)
-        del df
-        release(self.spark)
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *labels: str) -> None:

@@ -43,9 +43,9 @@ PAIR_ROUNDS = 3
 LOSS = 12
 KEY = 16
 SPAN = WINDOW - 2 * LOSS - 3
-ANCHORS = "doc_id long, tag int, key long, pos int"
-WINDOWS = "doc_id long, tag int, a long, b long, pos int, taker boolean"
-KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+ANCHORS = "doc_id long, tag long, key long, pos int"
+WINDOWS = "doc_id long, tag long, a long, b long, pos int, taker boolean"
+KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
 def symbols(h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +105,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, ids, tags = rb.column(2).to_pylist(), rb.column(0).to_numpy(zero_copy_only=False), rb.column(1).to_numpy(zero_copy_only=False)
         for a, b in batches_of(texts):
             d, pos, key = anchors(WordBatch(texts[a:b]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][d].astype(np.int64)), pa.array(tags[a:b][d].astype(np.int32)), pa.array(key.view(np.int64)), pa.array(pos.astype(np.int32))], ["doc_id", "tag", "key", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][d].astype(np.int64)), pa.array(tags[a:b][d].astype(np.int64)), pa.array(key.view(np.int64)), pa.array(pos.astype(np.int32))], ["doc_id", "tag", "key", "pos"])
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,74 +128,97 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i, s, taker = (np.concatenate(x) for x in zip(*got))
             at = s + batch.starts[i - a]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[i].astype(np.int64)), pa.array(tags[i].astype(np.int32)), pa.array(batch.windows(at, WINDOW, 0).view(np.int64)), pa.array(batch.windows(at, WINDOW, 1).view(np.int64)), pa.array(s.astype(np.int32)), pa.array(taker)],
+                [pa.array(ids[i].astype(np.int64)), pa.array(tags[i].astype(np.int64)), pa.array(batch.windows(at, WINDOW, 0).view(np.int64)), pa.array(batch.windows(at, WINDOW, 1).view(np.int64)), pa.array(s.astype(np.int32)), pa.array(taker)],
                 ["doc_id", "tag", "a", "b", "pos", "taker"],
             )
 
 
-def _kept_rows(with_text: bool):
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            ids = rb.column(0)
-            n_words, n_removed, sha, kept = [], [], [], []
-            for text, pos in zip(rb.column(1).to_pylist(), rb.column(2).to_pylist()):
-                words = split_words(text)
-                n_words.append(len(words))
-                if pos:
-                    edge = np.zeros(len(words) + 1, np.int32)
-                    p = np.unique(np.array(pos, np.int64))
-                    edge[p] += 1
-                    np.subtract.at(edge, p + WINDOW, 1)
-                    words = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
-                n_removed.append(n_words[-1] - len(words))
-                joined = b" ".join(words)
-                sha.append(hashlib.sha256(joined).hexdigest())
-                kept.append(joined.decode("utf-8", "surrogatepass") if with_text and n_removed[-1] else None)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
-
-    return apply
+def kept_words(words: list[bytes], gone: list[int]) -> list[bytes]:
+    """The words that no window with a start in ``gone`` covers; [-1] stands for every start."""
+    if gone[0] < 0:
+        return [] if len(words) >= WINDOW else words
+    edge = np.zeros(len(words) + 1, np.int32)
+    p = np.unique(np.array(gone, np.int64))
+    edge[p] += 1
+    np.subtract.at(edge, p + WINDOW, 1)
+    return [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
+
+
+def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rb in batches:
+        n_words, n_removed, sha = [], [], []
+        for text, gone in zip(rb.column(1).to_pylist(), rb.column(2).to_pylist()):
+            words = split_words(text)
+            kept = kept_words(words, gone) if gone else words
+            n_words.append(len(words))
+            n_removed.append(len(words) - len(kept))
+            sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
+        yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
 def repeated_windows(docs: DataFrame, space: Workspace, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, tag, gone``: starts of the windows that a smaller document also holds.
 
-    ``tag`` tells rows of one doc_id with different texts apart.
+    ``tag`` is a hash of the text and tells rows of one doc_id apart. A copy of a
+    smaller document's whole text has ``gone = [-1]``: all its windows are repeats,
+    and it takes no part in the comparison.
     """
     text = text_of(docs, text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text).alias("tag"), text.alias("text")).where("doc_id is not null")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text")).where("doc_id is not null")
+    texts = space.save(rows.select("doc_id", "tag", F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("h")), "texts")
+    firsts = space.save(texts.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "lo"), "firsts")
+    copies = space.save(texts.join(firsts, "h").where("lo < doc_id").select("doc_id", "tag").distinct(), "copies")
+    space.drop("texts", "firsts")
     found = space.save(rows.mapInArrow(_anchor_rows, ANCHORS), "anchors")
-    shared = space.save(found.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key", "lo"), "shared")
+    ends = [f(c).alias(n) for c, f, n in (("doc_id", F.min, "lo"), ("doc_id", F.max, "hi"), ("tag", F.min, "t"), ("tag", F.max, "u"))]
+    shared = space.save(found.groupBy("key").agg(*ends).where("lo < hi and t <> u").select("key", "lo"), "shared")
     marks = found.join(shared, "key").groupBy("doc_id", "tag").agg(F.collect_list(F.col("pos") * 2 + (F.col("lo") < F.col("doc_id")).cast("int")).alias("marks"))
-    marks = space.save(marks, "marks")
+    marks = space.save(marks.join(copies, ["doc_id", "tag"], "left_anti"), "marks")
     space.drop("anchors", "shared")
-    windows = rows.join(marks, ["doc_id", "tag"]).select("doc_id", "tag", "text", "marks").mapInArrow(_window_rows, WINDOWS)
-    windows = space.save(windows, "windows")
+    windows = space.save(rows.join(marks, ["doc_id", "tag"]).select("doc_id", "tag", "text", "marks").mapInArrow(_window_rows, WINDOWS), "windows")
     space.drop("marks")
     least = windows.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("a", "b", "lo")
     least = space.save(least, "least")
     gone = windows.where("taker").join(least, ["a", "b"]).where("lo < doc_id").groupBy("doc_id", "tag").agg(F.collect_list("pos").alias("gone"))
-    gone = space.save(gone, "gone")
-    space.drop("windows", "least")
+    gone = space.save(gone.unionByName(copies.withColumn("gone", F.array(F.lit(-1)))), "gone")
+    space.drop("windows", "least", "copies")
     return gone
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept_sha256, kept`` for every row.
-
-    ``kept`` is the remaining text with words joined by one space where words were
-    removed, and null where the text stays as it is or ``with_text`` is false.
-    """
+def repeat_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_words, n_removed, kept_sha256`` for every row; kept words are joined by one space."""
     space = Workspace(docs.sparkSession, "recompress")
     gone = repeated_windows(docs, space, id_col, text_col)
     text = text_of(docs, text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text).alias("tag"), text.alias("text"))
-    return rows.join(gone, ["doc_id", "tag"], "left").select("doc_id", "text", "gone").mapInArrow(_kept_rows(with_text), KEPT)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
+    return rows.join(gone, ["doc_id", "tag"], "left").select("doc_id", "text", "gone").mapInArrow(_kept_rows, KEPT)
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the words of repeated windows.
+
+    Texts that lose nothing stay as they are; rows that lose all their words go. An
+    ``n_chars`` column follows the text.
+    """
+    space = Workspace(docs.sparkSession, "recompress")
+    gone = repeated_windows(docs, space, id_col, text_col).withColumnRenamed("doc_id", "__id").withColumnRenamed("tag", "__tag")
+    rows = docs.join(gone, (F.col(id_col).cast("long") == F.col("__id")) & (F.xxhash64(text_of(docs, text_col)) == F.col("__tag")), "left")
+    rows = rows.withColumn("__kept", F.when(F.col("gone").isNotNull(), F.arrow_udf(_kept_text, "string")(F.col(text_col), F.col("gone"))))
+    rows = rows.where("__kept is null or __kept <> ''")
+    changes = {text_col: F.coalesce("__kept", text_col)}
+    if "n_chars" in docs.columns:
+        changes["n_chars"] = F.when(F.col("__kept").isNotNull(), F.length("__kept").cast("long")).otherwise(F.col("n_chars"))
+    return rows.withColumns(changes).select(*docs.columns)
+
+
+def _kept_text(text: pa.Array, gone: pa.Array) -> pa.Array:
+    return pa.array([None if g is None else b" ".join(kept_words(split_words(t), g)).decode("utf-8", "surrogatepass") for t, g in zip(text.to_pylist(), gone.to_pylist())], pa.string())
 
 
 def op2_substring(spark, sf_dir: str) -> DataFrame:
     """Query: what remains of every document after repeated windows of 50 words are removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return remove_repeats(docs, with_text=False).drop("kept")
+    return repeat_digests(docs)
 
 
 OP2_SQL = r"""
