@@ -1,9 +1,9 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nyström landmarks.
 
 The kernel of two strings sums over all letter triples u the products of their
-gap-weighted occurrence counts: a triple that spans s characters, 7 at most, counts
-0.7 ** (s - 3), and inserted characters that are no letters only widen the span. So
-``i-d-i-o-t`` and ``idxiot`` stay near ``idiot``. Strings are normed by their number
+gap-weighted occurrence counts: a triple spans 7 characters at most, and each letter in
+its gaps costs a factor 0.7, each other character 0.95. So ``i-d-i-o-t`` and ``idxiot``
+stay near ``idiot``. Strings are normed by their number
 of letters. Landmarks map a string to the Nyström features k(x, L) K(L, L)^(-1/2), and
 a squared-hinge SVM is trained on them. Its decision is linear in the kernel, hence in
 the triples, and folds into one table of 27^3 weights: scoring is exact and needs no
@@ -40,10 +40,12 @@ from tidemark.llm._common import Workspace, text_of
 from tidemark.llm._tokens import batches_of
 
 GAP = 0.7
+OTHER_GAP = 0.95
 SPAN = 7
 LONGEST = 24
 LETTERS = np.zeros(256, np.int32)
 LETTERS[np.arange(97, 123)] = np.arange(1, 27)
+NO_LETTERS = bytes(sorted(set(range(128)) - set(range(97, 123))))
 SIGNATURE = "doc_id long, best double, n_positive long"
 
 
@@ -56,28 +58,34 @@ NORM = _norms()
 
 
 def pieces(word: str) -> list[bytes]:
-    """The bytes of a word; long words are read in overlapping parts."""
-    b = word.encode("ascii", "replace")
+    """The bytes of a word between its first and last letter; long words are read in overlapping parts."""
+    b = word.encode("ascii", "replace").strip(NO_LETTERS)
     return [b] if len(b) <= LONGEST else [b[i : i + LONGEST] for i in range(0, len(b) - SPAN, LONGEST - SPAN - 1)]
 
 
 def _by_length(strings: list[bytes]):
-    """(indices, letter codes) of the strings of each length."""
+    """(indices, letter codes) of the strings of each length, those of letters alone apart."""
     sizes = np.fromiter(map(len, strings), np.int64, len(strings))
     for n in np.unique(sizes[sizes >= 3]):
         at = np.flatnonzero(sizes == n)
-        yield at, LETTERS[np.frombuffer(b"".join([strings[i] for i in at]), np.uint8).reshape(len(at), n)]
+        c = LETTERS[np.frombuffer(b"".join([strings[i] for i in at]), np.uint8).reshape(len(at), n)]
+        plain = (c > 0).all(axis=1)
+        for part in (plain, ~plain):
+            if part.any():
+                yield at[part], c[part]
 
 
 def _triples(c: np.ndarray):
     """(weight, indices of the triple table) for each place of a triple in strings of one length."""
     n = c.shape[1]
     a, b = c * 729, c * 27
+    costs = None if (c > 0).all() else np.concatenate([np.zeros((len(c), 1)), np.cumsum(np.log(np.where(c > 0, GAP, OTHER_GAP)), axis=1)], axis=1)
     for i in range(n - 2):
         for j in range(i + 1, min(i + SPAN - 1, n - 1)):
             ab = np.where((c[:, i] > 0) & (c[:, j] > 0), a[:, i] + b[:, j], 0)
             for k in range(j + 1, min(i + SPAN, n)):
-                yield GAP ** (k - i - 2), np.where((ab > 0) & (c[:, k] > 0), ab + c[:, k], 0)
+                weight = GAP ** (k - i - 2) if costs is None else np.exp(costs[:, k] - costs[:, i + 1]) / GAP
+                yield weight, np.where((ab > 0) & (c[:, k] > 0), ab + c[:, k], 0)
 
 
 def decisions(strings: list[bytes], table: np.ndarray, bias) -> np.ndarray:
@@ -86,7 +94,7 @@ def decisions(strings: list[bytes], table: np.ndarray, bias) -> np.ndarray:
     for at, c in _by_length(strings):
         f = np.zeros((len(at), *table.shape[1:]))
         for weight, idx in _triples(c):
-            f += weight * table[idx]
+            f += (weight[:, None] if table.ndim > 1 and np.ndim(weight) else weight) * table[idx]
         norm = NORM[(c > 0).sum(axis=1)]
         out[at] = f / (norm[:, None] if table.ndim > 1 else norm)
     return out + bias
@@ -115,7 +123,7 @@ def features_of(strings: list[bytes]) -> np.ndarray:
 
 def fit_svm(positive: list[str], negative: list[str], landmarks: int = 160, cost: float = 10.0) -> tuple[np.ndarray, float]:
     """The triple table and bias of the SVM on Nyström features."""
-    x = [w.encode("ascii", "replace")[:LONGEST] for w in positive + negative]
+    x = [pieces(w)[0] for w in positive + negative]
     y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
     half = landmarks // 2
     chosen = x[: len(positive)][:: max(1, len(positive) // half)][:half] + x[len(positive) :][:: max(1, len(negative) // half)][:half]
