@@ -125,6 +125,16 @@ def clean_lines(docs: DataFrame, text_col: str = "text", min_words: int = 50, ma
     return df.select(*[docs[c] for c in docs.columns if c != "quality"], quality.alias("quality"))
 
 
+def kept_documents(docs: DataFrame, **rules) -> DataFrame:
+    """The kept rows of ``clean_lines``, each line's verdict computed once.
+
+    The optimizer would push the verdict below the steps that compute it and write
+    each step out again wherever it is used; the row number keeps it above them.
+    """
+    df = clean_lines(docs, **rules).withColumn("__q_row", F.monotonically_increasing_id())
+    return df.where("quality.kept and __q_row >= 0").drop("__q_row")
+
+
 def op10_quality(spark, sf_dir: str) -> DataFrame:
     """Query: the base counts and the verdict for every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

@@ -203,7 +203,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     space = Workspace(docs.sparkSession, "recompress")
     gone = repeated_windows(docs, space, id_col, text_col).withColumnRenamed("doc_id", "__id").withColumnRenamed("tag", "__tag")
     rows = docs.join(gone, (F.col(id_col).cast("long") == F.col("__id")) & (F.xxhash64(text_of(docs, text_col)) == F.col("__tag")), "left")
-    rows = rows.withColumn("__kept", F.when(F.col("gone").isNotNull(), F.arrow_udf(_kept_text, "string")(F.col(text_col), F.col("gone"))))
+    rows = rows.withColumn("__kept", F.when(F.col("gone").isNotNull(), F.arrow_udf(_kept_text, "string").asNondeterministic()(F.col(text_col), F.col("gone"))))
     rows = rows.where("__kept is null or __kept <> ''")
     changes = {text_col: F.coalesce("__kept", text_col)}
     if "n_chars" in docs.columns:
