@@ -24,7 +24,7 @@ def _with_text(docs: DataFrame, text: Column, changed: Column) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; kept ones lose the lines that break a rule."""
-    q = quality.clean_lines(docs.select(*COLUMNS)).where("quality.kept")
+    q = quality.kept_documents(docs.select(*COLUMNS))
     return _with_text(q, F.col("quality.clean_text"), F.col("quality.n_removed_lines") > 0)
 
 
