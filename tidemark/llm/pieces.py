@@ -38,7 +38,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: A word is a run of spaces and what follows up to the next space; no piece has a space after another character.
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-BASE = np.uint64(0x9E3779B97F4A7C15)
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 2**64)
+#: Bits of a piece hash that are looked up before the sorted hashes are searched.
+FILTER = 2**20
 #: Words of more code points go through the same recurrence one by one.
 LONG = 512
 MISSING = np.float64(-1e18)
@@ -66,9 +69,11 @@ class Vocabulary:
         for n in range(1, self.longest + 1):
             ids = np.array([i for i in normal if len(pieces[i]) == n], np.int64)
             chars = np.array([[ord(c) for c in pieces[i]] for i in ids], np.uint32).reshape(len(ids), n)
-            h = window_hash(chars, 0, n)
+            h = mix(prefix_sums(chars)[:, n]) if len(ids) else np.zeros(0, np.uint64)
             order = np.argsort(h)
-            self.table[n] = h[order], ids[order], chars[order]
+            seen = np.zeros(FILTER, bool)
+            seen[h & np.uint64(FILTER - 1)] = True
+            self.table[n] = h[order], ids[order], chars[order], seen
 
     @staticmethod
     @lru_cache(maxsize=2)
@@ -86,11 +91,16 @@ class Vocabulary:
         return [self.bytes[b] for b in data] if all(b in self.bytes for b in data) else [self.unknown]
 
 
-def window_hash(chars: np.ndarray, start: int, n: int) -> np.ndarray:
-    h = np.zeros(len(chars), np.uint64)
-    for j in range(start, start + n):
-        h = h * BASE + chars[:, j].astype(np.uint64) + np.uint64(1)
-    return mix(h)
+def prefix_sums(chars: np.ndarray) -> np.ndarray:
+    """rows x (n + 1) sums of (code point + 1) * BASE^position, modulo 2^64."""
+    n = chars.shape[1]
+    out = np.zeros((len(chars), n + 1), np.uint64)
+    np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * powers(BASE, n), axis=1, out=out[:, 1:])
+    return out
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    return np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(max(n - 1, 0), base, np.uint64)]))[:n]
 
 
 def viterbi(chars: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -99,20 +109,22 @@ def viterbi(chars: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarra
     best = np.full((n + 1, rows), MISSING)
     best[0] = 0.0
     size, piece = np.ones((n + 1, rows), np.int16), np.full((n + 1, rows), -1, np.int32)
+    sums, shift = np.ascontiguousarray(prefix_sums(chars).T), powers(INVERSE, n)
     for end in range(1, n + 1):
         best[end] = best[end - 1] + vocab.unknown_score
         for length in range(1, min(vocab.longest, end) + 1):
-            keys, ids, spelled = vocab.table[length]
+            keys, ids, spelled, seen = vocab.table[length]
             if not len(keys):
                 continue
-            h = window_hash(chars, end - length, length)
-            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            hit = np.flatnonzero(keys[at] == h)
-            hit = hit[(spelled[at[hit]] == chars[hit, end - length : end]).all(axis=1)]
-            value = best[end - length, hit] + vocab.score[ids[at[hit]]]
+            h = mix((sums[end] - sums[end - length]) * shift[end - length])
+            hit = np.flatnonzero(seen[h & np.uint64(FILTER - 1)])  # few substrings are worth the search
+            at = np.minimum(np.searchsorted(keys, h[hit]), len(keys) - 1)
+            same = (keys[at] == h[hit]) & (spelled[at] == chars[hit, end - length : end]).all(axis=1)
+            hit, at = hit[same], at[same]
+            value = best[end - length, hit] + vocab.score[ids[at]]
             better = value > best[end, hit]
-            hit, value = hit[better], value[better]
-            best[end, hit], size[end, hit], piece[end, hit] = value, length, ids[at[hit]]
+            hit, at, value = hit[better], at[better], value[better]
+            best[end, hit], size[end, hit], piece[end, hit] = value, length, ids[at]
     return size, piece
 
 
@@ -160,12 +172,14 @@ def encode_words(words: list[str], vocab: Vocabulary) -> list[list[int]]:
                 got = np.where(live, piece[end, rows], -2)
                 ids.append((got, end.copy()))
                 end = np.where(live, end - size[end, rows], 0)
-            ends = np.array([e for _, e in ids])
             got = np.array([g for g, _ in ids])
-            for r, i in enumerate(at[a:b]):
-                col = got[:, r]
-                col = col[col > -2][::-1]
-                out[i] = col.tolist() if (col >= 0).all() else list(chain.from_iterable([c] if c >= 0 else vocab.spell(words[i][e - 1]) for c, e in zip(col.tolist(), ends[: len(col), r][::-1].tolist())))
+            known, count, steps = ((got >= 0) | (got == -2)).all(axis=0), (got > -2).sum(axis=0), len(got)
+            for i, row, ok, c, r in zip(at[a:b].tolist(), got[::-1].T.tolist(), known.tolist(), count.tolist(), range(len(count))):
+                row = row[steps - c :]
+                if not ok:
+                    ends = [int(e[r]) for _, e in ids[c - 1 :: -1]]
+                    row = list(chain.from_iterable([x] if x >= 0 else vocab.spell(words[i][e - 1]) for x, e in zip(row, ends)))
+                out[i] = row
     return out
 
 
