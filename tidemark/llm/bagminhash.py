@@ -11,11 +11,12 @@ point. Two texts agree in a component with the probability of their weighted Jac
 similarity. Points are made only up to a time by which all components are filled.
 
 16 bands of 4 components: a pair at similarity 0.8 shares a band with probability
-0.9998. A band's bucket never emits all its pairs. In each round every unresolved
-bucket has one centre that is verified against the members of other classes; links
-join classes, and a bucket is resolved when the members that were no centres yet are
-of one class. What is unresolved after ``star_rounds`` rounds is verified pair by
-pair, classes differing, so no link between classes is lost.
+0.9998. A band's bucket never emits all its pairs. First every bucket's centre is
+verified against its members, and links join classes. Only buckets whose other
+members are still of several classes go on: they are cut in blocks of 256 members,
+and pairs of blocks are compared inside a task, where pairs of one class, or of a
+band that was compared already, are skipped. So no link between classes is lost, and
+what is shuffled is a member once for each block of its bucket.
 
 Equal texts are one class without verification, so a group of copies costs one row
 for each copy. Verification carries a centre's text once for each 256 members.
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemark.llm._common import Workspace, task_count, text_of
@@ -41,7 +42,9 @@ from tidemark.llm._tokens import WordBatch, batches_of, mix, split_words
 SHINGLE = 5
 COMPONENTS = 64
 ROWS = 4
+BANDS = COMPONENTS // ROWS
 MEMBERS_PER_COPY = 256
+BLOCK = 256
 
 
 def weighted_shingles(batch: WordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,7 +163,7 @@ def verify(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     per = pairs.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / MEMBERS_PER_COPY).cast("int").alias("copies"))
     members = pairs.join(per, "centre").select(F.col("member").alias("doc_id"), "centre", F.pmod(F.xxhash64("member"), F.col("copies")).cast("int").alias("salt"), F.lit(1).alias("kind"))
     centres = per.select(F.col("centre").alias("doc_id"), "centre", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.lit(0).alias("kind"))
-    rows = docs.join(members.unionByName(centres), "doc_id").select("centre", "salt", "kind", "doc_id", "text")
+    rows = docs.join(members.unionByName(centres).hint("merge"), "doc_id").select("centre", "salt", "kind", "doc_id", "text")
     rows = rows.repartition(task_count(docs.sparkSession), "centre", "salt").sortWithinPartitions("centre", "salt", "kind")
     return rows.mapInArrow(_verify_rows(threshold), "a long, b long, similarity double")
 
@@ -179,16 +182,64 @@ def components(space: Workspace, links: DataFrame, name: str) -> DataFrame:
         moved = labels.join(near, "id").select("id", F.col("class").alias("was"), F.least("class", "m").alias("class"))
         jump = labels.select(F.col("id").alias("class"), F.col("class").alias("root"))
         moved = moved.join(jump, "class", "left").select("id", "was", F.least("class", "root").alias("class"))
-        moved = space.save(moved, f"{name}-{turn + 1}")
-        changed = not moved.where("was <> class").isEmpty()
+        seen = Observation()
+        moved = space.save(moved.observe(seen, F.count_if(F.col("was") != F.col("class")).alias("changed")), f"{name}-{turn + 1}")
         space.drop(f"{name}-{turn}")
         labels, turn = moved.select("id", "class"), turn + 1
-        if not changed:
+        if not seen.get["changed"]:
             space.drop(f"{name}-edges")
             return labels
 
 
-def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, star_rounds: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _block_rows(threshold: float):
+    """Links between classes inside the units (bucket, block i, block j) that arrive one after another."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, held, bands, root = None, [], None, {}
+
+        def find(x):
+            while x in root:
+                x = root[x]
+            return x
+
+        for rb in batches:
+            a, b = [], []
+            for band, key, i, j, block, rep, cls, keys, text in zip(*(x.to_pylist() for x in rb.columns)):
+                if (band, key, i, j) != unit:
+                    unit, held, bands, root = (band, key, i, j), [], np.zeros((BLOCK, band + 1), np.int64), {}
+                own, counts = np.array(keys[: band + 1]), shingle_counts(text)
+                total = counts.total()
+                if i == j or block == j:
+                    earlier = (bands[: len(held), :band] == own[:band]).any(axis=1)
+                    for k in np.flatnonzero(~earlier):
+                        other, its, n, c = held[k]
+                        if min(n, total) < threshold * max(n, total) or find(its) == find(cls) or similarity(c, counts) < threshold:
+                            continue
+                        a.append(other)
+                        b.append(rep)
+                        root[find(its)] = find(cls)
+                if block == i:
+                    if len(held) == len(bands):
+                        bands = np.concatenate([bands, np.zeros_like(bands)])
+                    bands[len(held)] = own
+                    held.append((rep, cls, total, counts))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return apply
+
+
+def verify_blocks(docs: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """``members``: band, key, n, rep, class, bands of unresolved buckets; returns links (a, b)."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("rep", F.lit(1)), blocks).cast("int")
+    rows = members.select("band", "key", "rep", "class", "bands", block.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    rows = rows.select("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", F.col("rep").alias("doc_id"), "class", "bands")
+    rows = docs.join(rows.hint("merge"), "doc_id").select("band", "key", "i", "j", "block", "doc_id", "class", "bands", "text")
+    rows = rows.repartition(task_count(docs.sparkSession), "band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j", "block", "doc_id")
+    return rows.mapInArrow(_block_rows(threshold), "a long, b long")
+
+
+def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, class_id, copy_of`` for every row: the least doc_id of its class, and of its equal texts."""
     space = Workspace(docs.sparkSession, "bagminhash")
     text = text_of(docs, text_col)
@@ -197,34 +248,23 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, star_rounds:
     sketches = space.save(sketches, "sketches")
     reps = space.save(sketches.groupBy("h").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "reps")
     rows = reps.where("rep is not null").select("rep", F.posexplode("bands").alias("band", "key")).select("band", "key", "rep", F.xxhash64("rep", "band").alias("o"))
-    sizes = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    open_rows = space.save(rows.join(sizes.drop("n"), ["band", "key"]).withColumn("class", F.col("rep")), "open-0")
-    links, labels = None, None
-    for turn in range(star_rounds + 1):
-        ends = open_rows.groupBy("band", "key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.min(F.struct("o", "rep", "class")).alias("c")).where("lo < hi")
-        ends = space.save(ends.select("band", "key", "c"), f"ends-{turn}")
-        if ends.isEmpty():
-            break
-        if turn < star_rounds:
-            pairs = open_rows.join(ends, ["band", "key"]).where("o > c.o and class <> c.class").select(F.col("c.rep").alias("centre"), F.col("rep").alias("member"))
-        else:
-            rest = open_rows.join(ends.select("band", "key"), ["band", "key"])
-            other = rest.select("band", "key", F.col("rep").alias("centre"), F.col("class").alias("its"), F.col("o").alias("p"))
-            pairs = rest.join(other, ["band", "key"]).where("p < o and its <> class").select("centre", F.col("rep").alias("member"))
-        pairs = space.save(pairs.distinct(), f"pairs-{turn}")
-        found = space.save(verify(docs, pairs, threshold).select("a", "b").distinct(), f"links-{turn}")
-        space.drop(f"pairs-{turn}")
-        links = found if links is None else links.union(found)
-        labels = components(space, links, f"classes-{turn}")
-        if turn == star_rounds:
-            break
-        rest = open_rows.join(ends, ["band", "key"]).where("o > c.o").drop("class", "c")
-        rest = rest.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("band", "key", "rep", "o", F.coalesce("class", "rep").alias("class"))
-        open_rows = space.save(rest, f"open-{turn + 1}")
-        space.drop(f"open-{turn}", f"ends-{turn}")
+    centres = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("o", "rep")).alias("c")).where("n > 1")
+    centres = space.save(centres, "centres")
+    members = space.save(rows.join(centres, ["band", "key"]).where("o > c.o").select("band", "key", "n", F.col("c.rep").alias("centre"), "rep"), "members")
+    space.drop("centres")
+    pairs = space.save(members.select("centre", F.col("rep").alias("member")).distinct(), "pairs")
+    links = space.save(verify(docs, pairs, threshold).select("a", "b").distinct(), "star-links")
+    labels = components(space, links, "star")
+    # members that were no centres, in buckets where they are of several classes
+    rest = members.where("n > 2").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("band", "key", "n", "rep", F.coalesce("class", "rep").alias("class"))
+    rest = space.save(rest, "rest")
+    several = rest.groupBy("band", "key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("band", "key")
+    rest = rest.join(several, ["band", "key"]).join(reps.select("rep", "bands"), "rep")
+    more = space.save(verify_blocks(docs, space.save(rest, "open"), threshold).distinct(), "block-links")
+    space.drop("members", "pairs", "rest", "open")
+    if not more.isEmpty():
+        labels = components(space, links.union(more), "all")
     out = sketches.select("doc_id", "h").join(reps.select("h", "rep"), "h")
-    if labels is None:
-        return out.select("doc_id", F.col("rep").alias("class_id"), F.col("rep").alias("copy_of"))
     return out.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("class", "rep").alias("class_id"), F.col("rep").alias("copy_of"))
 
 
