@@ -195,7 +195,7 @@ def _block_rows(threshold: float):
     """Links between classes inside the units (bucket, block i, block j) that arrive one after another."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, held, bands, root = None, [], None, {}
+        unit, held, bands, root, names = None, [], None, {}, {}
 
         def find(x):
             while x in root:
@@ -206,14 +206,19 @@ def _block_rows(threshold: float):
             a, b = [], []
             for band, key, i, j, block, rep, cls, keys, text in zip(*(x.to_pylist() for x in rb.columns)):
                 if (band, key, i, j) != unit:
-                    unit, held, bands, root = (band, key, i, j), [], np.zeros((BLOCK, band + 1), np.int64), {}
-                own, counts = np.array(keys[: band + 1]), shingle_counts(text)
-                total = counts.total()
+                    unit, held, bands, root, names = (band, key, i, j), [], np.zeros((BLOCK, band + 1), np.int64), {}, {}
+                # the n-th occurrence of a shingle has a number of its own, so multisets are sets of numbers
+                own = np.array(keys[: band + 1])
+                counts = {names.setdefault((k, n), len(names)) for k, c in shingle_counts(text).items() for n in range(c)}
+                total = len(counts)
                 if i == j or block == j:
                     earlier = (bands[: len(held), :band] == own[:band]).any(axis=1)
                     for k in np.flatnonzero(~earlier):
                         other, its, n, c = held[k]
-                        if min(n, total) < threshold * max(n, total) or find(its) == find(cls) or similarity(c, counts) < threshold:
+                        if min(n, total) < threshold * max(n, total) or find(its) == find(cls):
+                            continue
+                        both = len(c & counts)
+                        if both < threshold * (n + total - both):
                             continue
                         a.append(other)
                         b.append(rep)
