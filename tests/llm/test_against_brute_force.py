@@ -184,6 +184,24 @@ def test_secret_spans():
     assert secrets.redact("plain", []) == "plain"
 
 
+def test_secrets_in_and_after_urls(spark):
+    keys = [base64.urlsafe_b64encode(np.random.default_rng(i).bytes(24)).decode() for i in range(40, 47)]
+    texts = [
+        f'{{"endpoint":"https://a.example/v1","cfg":"{keys[0]}"}}',
+        f"postgres://app:{keys[1]}@db.example/main",
+        f"https://hooks.example.org/services/a-long-name-of-words/and-other-words-that-follow/{keys[2]}",
+        f"mail@x.org\t{keys[3]}",
+        f"see http://a.example/find?page=one&key={keys[4]}#top",
+        f"https://a.example,{keys[5]}",
+        f"store://{keys[6]} and more",
+        "https://kq7x2vj9zt4wp1mhb8d3.cdn.example.org/some-long-path-of-words/index.html and someone.with.a.name@mail.example.org",
+    ]
+    rows = {r.doc_id: r.secrets for r in secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), redacted=True).collect()}
+    for i, key in enumerate(keys):
+        assert rows[i].n_random == 1 and key not in rows[i].redacted, texts[i]
+    assert rows[7].spans == ""
+
+
 def test_toxicity_learns_and_tolerates_gaps(spark):
     rng = random.Random(8)
     syllables = "ka lo mi te ru sa no vi pe da".split()

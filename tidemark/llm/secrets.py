@@ -2,8 +2,9 @@
 
 A random string needs many tokens of a byte-level BPE vocabulary for its length.
 Long runs of key characters whose characters-per-token ratio is low are spans of
-kind ``random``, after known digests and identifiers are excluded. The scan is a
-single pass over whole texts without a shuffle.
+kind ``random``, after known digests and identifiers are excluded. In URLs the dotted
+host name is left out, while userinfo and the rest are tested: each run as a whole, else
+segment by segment. The scan is a single pass over whole texts without a shuffle.
 
 Defined results: a null text counts as empty and has no spans; repeated rows get
 the same spans; the longest text is scanned as a whole. Positions are code points,
@@ -28,6 +29,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_WORDS = ("passw", "secret", "token", "api_key", "apikey")
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+#: What follows ``://`` in a URL, and a run between its slashes and equal signs.
+URL_REST = re.compile(r"""[^\s"'`<>(){}\[\]|\\^,;]*""")
+SEGMENT = re.compile(r"[A-Za-z0-9+_-]{20,}")
 #: Lengths in hex digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
@@ -67,18 +71,44 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def url_parts(text: str) -> Iterator[tuple[int, int, int, int]]:
+    """(start, start of the host, end of the host, end) of what follows each ``://``; an undotted host is empty."""
+    at = text.find("://")
+    while at >= 0:
+        a, b = at + 3, URL_REST.match(text, at + 3).end()
+        end = min((x for x in (text.find(c, a, b) for c in "/?#") if x >= 0), default=b)
+        host = max(a, text.rfind("@", a, end) + 1)
+        yield a, host, end if "." in text[host:end] else host, b
+        at = text.find("://", b)
+
+
+def efficient(run: str, vocabulary: str, max_ratio: float) -> bool:
+    """Identifiers, and runs with many characters a token."""
+    return identifier(run) or len(run) >= max_ratio * len(encoder(vocabulary).encode_ordinary(run))
+
+
 def random_spans(text: str, base: list[tuple[int, int, int]], vocabulary: str, max_ratio: float) -> list[tuple[int, int, int]]:
-    """Runs with few characters a token that no base span covers."""
+    """Runs outside URLs with few characters a token that no base span covers."""
+    found, at = [], 0
+    for start, end in [*((a, b) for a, _, _, b in url_parts(text)), (len(text), len(text))]:
+        for m in RUN.finditer(text, at, start):
+            a, b = m.span()
+            if not any(x <= a and b <= y for x, _, y in base) and not efficient(m.group(), vocabulary, max_ratio):
+                found.append((a, 3, b))
+        at = end
+    return found
+
+
+def url_spans(text: str, base: list[tuple[int, int, int]], vocabulary: str, max_ratio: float) -> list[tuple[int, int, int]]:
+    """The same for the userinfo, path, query and fragment of URLs."""
     found = []
-    for m in RUN.finditer(text):
-        a, b, run = m.start(), m.end(), m.group()
-        if identifier(run) or any(x <= a and b <= y for x, _, y in base):
-            continue
-        left = max(text.rfind(" ", 0, a), text.rfind("\n", 0, a)) + 1
-        if "://" in text[left:a] or "@" in text[left:a] or text[b : b + 1] == "@":
-            continue
-        if len(run) < max_ratio * len(encoder(vocabulary).encode_ordinary(run)):
-            found.append((a, 3, b))
+    for start, host, host_end, end in url_parts(text):
+        for at, part in ((start, text[start:host]), (host_end, text[host_end:end])):
+            for m in RUN.finditer(part):
+                for r in [m.span()] if not efficient(m.group(), vocabulary, max_ratio) else [x.span() for x in SEGMENT.finditer(part, *m.span()) if not efficient(x.group(), vocabulary, max_ratio)]:
+                    a, b = at + r[0], at + r[1]
+                    if not any(x <= a and b <= y for x, _, y in base):
+                        found.append((a, 3, b))
     return found
 
 
@@ -101,7 +131,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for text in texts.to_pylist():
                 text = text or ""
                 base = base_spans(text)
-                spans = sorted(base + random_spans(text, base, vocabulary, max_ratio))
+                spans = sorted(base + random_spans(text, base, vocabulary, max_ratio) + url_spans(text, base, vocabulary, max_ratio))
                 said = lambda xs: ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in xs)
                 n = [sum(k == i for _, k, _ in spans) for i in range(4)]
                 rows.append({"n_assign": n[0], "n_access": n[1], "n_hex": n[2], "n_random": n[3], "base_sha256": hashlib.sha256(said(base).encode()).hexdigest(), "spans": said(spans), "redacted": redact(text, spans) if redacted and spans else None})
