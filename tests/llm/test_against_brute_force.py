@@ -128,6 +128,25 @@ def test_best_fit_decreasing():
         assert all(v <= max(cap, max(n for n, _ in h)) for v in used.values())
 
 
+def test_even_bins_level_skew():
+    rng = random.Random(9)
+    small = [(n, rng.randint(1, 40)) for n in range(1, 60)]
+    rest = sum(n * c for n, c in small)
+    for share in (0.14, 0.2, 0.33):
+        for bigs in (1, 2):
+            big = int(share * rest / (1 - bigs * share))
+            runs = sharding.even_bins([*small, (big, bigs)], 8)
+            sums = [0] * 8
+            for n, a, b, s in runs:
+                sums[s] += n * (b - a)
+            assert sum(s == big for s in sums) == bigs
+            others = [s for s in sums if s != big]
+            assert max(others) - min(others) < 60, sums
+            for size, count in [*small, (big, bigs)]:
+                assert sorted(i for n, a, b, _ in runs if n == size for i in range(a, b)) == list(range(count))
+    assert sorted(s for *_, s in sharding.even_bins([(11, 9)], 8)) == list(range(8))
+
+
 def test_viterbi_is_the_best_path():
     vocab = pieces.Vocabulary.load(pieces.MODEL)
     rng = random.Random(4)

@@ -107,6 +107,38 @@ def best_fit_decreasing(histogram: list[tuple[int, int]], capacity: int, limit:
 
 
 def even_bins(histogram: list[tuple[int, int]], bins: int) -> list[tuple[int, int, int, int]]:
+    """A packing into at most ``bins`` bins of nearly equal sums.
+
+    Items above the fair share of what is left get bins of their own. The others are
+    packed at the least capacity that suffices, by bisection, and levelled.
+    """
+    rest, own = {}, []
+    for size, count in histogram:
+        rest[size] = rest.get(size, 0) + count
+    total, left = sum(s * c for s, c in rest.items()), bins
+    for size in sorted(rest, reverse=True):
+        while rest[size] and left > 1 and size * left > total:
+            own.append((size, left - 1))
+            rest[size], total, left = rest[size] - 1, total - size, left - 1
+        if rest[size]:
+            break
+    rest = [(s, c) for s, c in rest.items() if c]
+    held = [{} for _ in range(bins)]
+    for size, shard in own:
+        held[shard] = {size: 1}
+    for size, first, end, shard in _least_capacity(rest, left):
+        held[shard][size] = held[shard].get(size, 0) + end - first
+    _level(held[:left], total // left // 2**20)
+    runs, at = [], {}
+    for shard, sizes in enumerate(held):
+        for size, n in sizes.items():
+            first = at.get(size, 0)
+            runs.append((size, first, first + n, shard))
+            at[size] = first + n
+    return runs
+
+
+def _least_capacity(histogram: list[tuple[int, int]], bins: int) -> list[tuple[int, int, int, int]]:
     """The packing of least capacity into at most ``bins`` bins, by bisection."""
     if not histogram:
         return []
@@ -130,6 +162,31 @@ def even_bins(histogram: list[tuple[int, int]], bins: int) -> list[tuple[int, in
     return best
 
 
+def _level(held: list[dict[int, int]], slack: int) -> None:
+    """Moves items from fuller bins to the emptiest while that brings the two nearer; bins map size to count.
+
+    No sum of a bin rises above the greatest, and the sum of squares falls with each move.
+    """
+    sums = [sum(s * n for s, n in b.items()) for b in held]
+    while True:
+        to = min(range(len(held)), key=sums.__getitem__)
+        for of in sorted(range(len(held)), key=sums.__getitem__, reverse=True):
+            gap = sums[of] - sums[to]
+            if gap <= slack:
+                return
+            size = max((s for s in held[of] if s < gap), default=None)
+            if size is not None:
+                break
+        else:
+            return
+        n = min(held[of][size], max(1, gap // (2 * size)))
+        held[of][size] -= n
+        if not held[of][size]:
+            del held[of][size]
+        held[to][size] = held[to].get(size, 0) + n
+        sums[of], sums[to] = sums[of] - n * size, sums[to] + n * size
+
+
 def assign_shards(docs: DataFrame, shards: int | None = None, capacity: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, size, text_crc32, shard, slot`` for every row.
 
