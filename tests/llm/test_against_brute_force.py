@@ -239,6 +239,24 @@ def test_toxicity_learns_and_tolerates_gaps(spark):
     assert [out[i].predicted for i in (1000, 1001, 1002, 1003)] == [1, 1, 1, 0]
 
 
+def test_toxicity_keeps_all_significant_words(spark, monkeypatch):
+    """80 insults, more than 64, and each in a small share of the toxic sentences."""
+    rng = random.Random(12)
+    word = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    plain, insults = [word("aeioklmnst", 6) for _ in range(400)], sorted({word("bdfghjpruvwz", 7) for _ in range(80)})
+    rows, labels, sentence = [], [], lambda: " ".join(rng.choice(plain) for _ in range(8))
+    for i in range(900):
+        said = [sentence() for _ in range(20)]
+        if i % 3 == 0:
+            said += [f"{sentence()} {insults[(i // 3 * 6 + k) % len(insults)]}" for k in range(6)]
+        rows.append((i, ". ".join(said)))
+        labels.append((i, int(i % 3 == 0)))
+    seen = []
+    monkeypatch.setattr(toxicity, "variants", lambda w, f=toxicity.variants: (seen.append(w), f(w))[1])
+    toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert set(insults) <= set(seen) and len(set(seen) - set(insults)) <= 4
+
+
 def test_word_pattern_matches_bytes_split():
     text = "a\x0bb\x1fc\x85d e\r\n"
     assert [w.decode() for w in text.encode().split()] == re.findall(r"[^\x20\x09-\x0D]+", text)

@@ -17,7 +17,8 @@ still score highest. A logistic fit on the best word and the number of positive
 turns decisions into probabilities. Runs of single letters are read as one word.
 
 Bounds: ``max_toxic`` and ``max_clean`` labelled rows are sampled by hash for the fit;
-everything is scored. Learnt are only rows whose crc32(doc_id) mod 3 is not 1.
+everything is scored. ``level`` is the false discovery rate of the witnesses and
+``min_rate`` their least ratio of frequencies. Learnt are only rows whose crc32(doc_id) mod 3 is not 1.
 
 Defined results: a null text counts as empty and scores like a text without positive
 words; without toxic labels every score is 0; rows with several labels count by each;
@@ -201,7 +202,31 @@ def held_out(doc_id):
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_clean: int = 2500, max_words: int = 20_000) -> Model:
+def significant(t: np.ndarray, c: np.ndarray, words: np.ndarray, share: float, level: float) -> np.ndarray:
+    """Which of the classes of words in t toxic and c clean sentences are more toxic than chance.
+
+    One-sided binomial test at the toxic share of the sentences (the tail's geometric
+    bound), Benjamini-Hochberg over the words in at least n sentences. Words in fewer
+    could not pass; the n that keeps most words is taken.
+    """
+    n = t + c
+    logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n.max(initial=0) + 1)))])
+    ratio = c * share / ((t + 1) * (1 - share))
+    p = np.where(t > n * share, logs[n] - logs[t] - logs[c] + t * np.log(share) + c * np.log1p(-share) - np.log1p(-np.minimum(ratio, 1 - 1e-9)), 0.0)
+    order, best, most = np.argsort(p, kind="stable"), np.zeros(len(t), bool), 0
+    for least in np.unique(n):
+        at = order[n[order] >= least]
+        rank = np.cumsum(words[at])
+        ok = np.flatnonzero(p[at] <= np.log(level * rank / rank[-1]))
+        if len(ok) and rank[ok[-1]] > most:
+            best, most = np.zeros(len(t), bool), rank[ok[-1]]
+            best[at[: ok[-1] + 1]] = True
+        if share**least * rank[-1] < 1e-3 * level:
+            break
+    return best
+
+
+def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_clean: int = 2500, max_words: int = 20_000, level: float = 0.05, min_rate: float = 10.0) -> Model:
     space = Workspace(docs.sparkSession, "toxicity")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"))).distinct()
     picked = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for t, n in ((1, max_toxic), (0, max_clean))]
@@ -214,8 +239,11 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_clean:
     words = sentences.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all("sentence", F.lit("[a-z]{3,24}"), F.lit(0)))).alias("word"))
     stats = space.save(words.groupBy("word").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).select("word", "t", (F.col("n") - F.col("t")).alias("c")), "stats")
     rate = (F.col("t") / F.lit(totals[1])) / ((F.col("c") + 1) / F.lit(totals[0]))
-    least = max(3, totals[1] // 1000)
-    seeds = [r.word for r in stats.where((F.col("t") >= least) & (rate >= 10)).orderBy(rate.desc(), "word").limit(64).collect()]
+    classes = stats.groupBy("t", "c").agg(F.count(F.lit(1)).alias("n")).orderBy("t", "c").collect()
+    t, c, n = (np.array([r[i] for r in classes], np.int64) for i in range(3))
+    found = significant(t, c, n, totals[1] / (totals[1] + totals[0]), level)
+    found = docs.sparkSession.createDataFrame([(int(x), int(y)) for x, y in zip(t[found], c[found])], "t long, c long")
+    seeds = [r.word for r in stats.where(rate >= min_rate).join(F.broadcast(found), ["t", "c"]).orderBy(rate.desc(), "word").collect()]
     if not seeds:
         return Model()
     other = stats.where((rate < 3) & (F.col("c") > 0))
@@ -223,7 +251,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_clean:
     common = [r.word for r in other.orderBy(F.desc("c"), "word").limit(500).collect()]
     positive, negative = list(chain.from_iterable(map(variants, seeds))), list(dict.fromkeys(common + clean[:2000]))
     for _ in range(3):
-        table, bias = fit_svm(positive, negative)
+        table, bias = fit_svm(positive, negative, landmarks=max(160, 5 * len(seeds) // 2))
         f = decisions([w.encode() for w in clean], table, bias)
         hard = [clean[i] for i in np.argsort(-f)[:300]]
         negative = list(dict.fromkeys(hard + negative))
