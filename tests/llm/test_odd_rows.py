@@ -1,5 +1,8 @@
 """Every operator on nulls, empty and long texts, repeats, clashing columns and empty tables."""
 
+import random
+import string
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +51,14 @@ def test_secrets(odd, none):
     assert secrets.scan_secrets(none).count() == 0
 
 
+def test_secrets_of_one_case(spark):
+    rng = random.Random(13)
+    keys = ["".join(rng.choice(letters) for _ in range(n)) for letters in (string.ascii_lowercase, string.ascii_uppercase) for n in (32, 40, 64)] + ["".join(rng.choice(string.ascii_lowercase) for _ in range(40)) + "7"]
+    names = ["thankyouverymuchindeedx", "internationalization_of_messages", "SOME_LONG_CONSTANT_NAME_HERE", "12345678901234567890123"]
+    rows = {r.doc_id: r.secrets.n_random for r in secrets.scan_secrets(spark.createDataFrame(list(enumerate(keys + names)), "doc_id long, text string")).collect()}
+    assert [rows[i] for i in range(len(rows))] == [1] * len(keys) + [0] * len(names)
+
+
 def test_recompress(odd, none):
     rows = {r.doc_id: r for r in recompress.repeat_digests(odd).collect()}
     assert all(r.n_removed == 0 for r in rows.values()) and rows[5].n_words == 30000

@@ -36,6 +36,8 @@ SEGMENT = re.compile(r"[A-Za-z0-9+_-]{20,}")
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 HEXADECIMAL = re.compile(r"[0-9a-fA-F]+")
+#: Letters in a part of an identifier; runs with longer parts are left to the token ratio.
+PART = 12
 #: The pre-split pattern of the byte-level vocabularies.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -52,11 +54,11 @@ def encoder(path: str):
 
 
 def identifier(run: str) -> bool:
-    """Known digests, UUIDs, numbers, plain words, and names made of words and short numbers."""
+    """Known digests, UUIDs, numbers, short plain words, and names made of short words and short numbers."""
     if HEXADECIMAL.fullmatch(run) and len(run) in DIGEST_LENGTHS or UUID.fullmatch(run):
         return True
     parts = [x for x in re.split(r"[+/_=-]+", run) if x]
-    return all(x.isdigit() or x.isalpha() and (x.islower() or x.isupper() or x[1:].islower()) or re.fullmatch(r"[A-Za-z]?[a-z]*[0-9]{1,4}|[0-9]{1,4}[A-Za-z][a-z]*", x) for x in parts)
+    return all(x.isdigit() or len(x.strip("0123456789")) <= PART and (x.isalpha() and (x.islower() or x.isupper() or x[1:].islower()) or re.fullmatch(r"[A-Za-z]?[a-z]*[0-9]{1,4}|[0-9]{1,4}[A-Za-z][a-z]*", x)) for x in parts)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
