@@ -7,7 +7,7 @@ columns of ``documents``; ``n_chars`` follows the text where a stage changes it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bagminhash, packing, quality, recompress, secrets
@@ -29,19 +29,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays: the one with the least doc_id.
+    """One row of each class stays: the one with the least doc_id, null last.
 
-    Of rows that share a doc_id the one with the least text stays; rows without a
-    doc_id go, since no later stage could refer to them.
+    A row is known by a hash of doc_id and text, so rows without a doc_id, and rows
+    that share one but differ in text, are documents of their own.
     """
-    docs = docs.select(*COLUMNS)
-    classes = Workspace(spark, "classes").save(bagminhash.near_duplicate_classes(docs), "classes")
-    firsts = classes.where("class_id = doc_id").select("doc_id")
-    kept = docs.join(firsts.distinct().hint("merge"), "doc_id").select(*COLUMNS)
-    if firsts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        return kept
-    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return kept.withColumn("__n", n).where("__n = 1").select(*COLUMNS)
+    docs = docs.select(*COLUMNS).withColumn("__row", F.xxhash64("doc_id", "text"))
+    classes = Workspace(spark, "classes").save(bagminhash.near_duplicate_classes(docs, id_col="__row"), "classes")
+    classes = classes.groupBy(F.col("doc_id").alias("__row")).agg(F.first("class_id").alias("class_id"), F.count(F.lit(1)).alias("n"))
+    ids = docs.groupBy("__row").agg(F.min("doc_id").alias("id"))
+    least = F.min(F.struct(F.col("id").isNull(), "id", "__row", "n"))
+    firsts = Workspace(spark, "firsts").save(classes.join(ids, "__row").groupBy("class_id").agg(least.alias("c")).select("c.__row", "c.n"), "firsts")
+    kept = docs.join(firsts.select("__row").hint("merge"), "__row")
+    if firsts.where("n > 1").isEmpty():
+        return kept.select(*COLUMNS)
+    return kept.groupBy("__row").agg(F.min(F.struct(*COLUMNS)).alias("c")).select("c.*")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,14 @@ def test_stages_keep_clean_documents(spark, tmp_path):
     assert set(seen["packing"]) == {*range(6), 13, 14, 15}
 
 
+def test_null_and_shared_ids_stay(spark):
+    story = lambda i: " ".join(f"w{i}x{j}" for j in range(40))
+    rows = [(None, story(1)), (None, story(2)), (None, story(3)), (7, story(3)), (5, story(4)), (5, story(5)), (5, story(5)), (8, story(6)), (9, story(6)), (None, story(7)), (None, story(7))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.text, r.doc_id) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert got == [(story(1), None), (story(2), None), (story(3), 7), (story(4), 5), (story(5), 5), (story(6), 8), (story(7), None)]
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
