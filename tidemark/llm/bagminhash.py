@@ -14,9 +14,12 @@ similarity. Points are made only up to a time by which all components are filled
 0.9998. A band's bucket never emits all its pairs. First every bucket's centre is
 verified against its members, and links join classes. Only buckets whose other
 members are still of several classes go on: they are cut in blocks of 256 members,
-and pairs of blocks are compared inside a task, where pairs of one class, or of a
-band that was compared already, are skipped. So no link between classes is lost, and
-what is shuffled is a member once for each block of its bucket.
+and twice, with other blocks, each block is compared in itself. What still is of
+several classes after that is compared block with block, where pairs of one class, or
+of a band that is compared already, are skipped. So no link between classes is lost.
+Each step emits pairs of classes, the lesser id first, and the classes of a bucket are
+contracted before the next step: a group of n near copies gives about n links, and
+only the buckets whose texts stay apart shuffle a member once for each block.
 
 Equal texts are one class without verification, so a group of copies costs one row
 for each copy. Verification carries a centre's text once for each 256 members.
@@ -45,6 +48,7 @@ ROWS = 4
 BANDS = COMPONENTS // ROWS
 MEMBERS_PER_COPY = 256
 BLOCK = 256
+ROUNDS = 2
 
 
 def weighted_shingles(batch: WordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,9 +162,9 @@ def _verify_rows(threshold: float):
     return apply
 
 
-def verify(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+def verify(space: Workspace, docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """Exact similarity of (centre, member) pairs; only links at the threshold stay."""
-    per = pairs.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / MEMBERS_PER_COPY).cast("int").alias("copies"))
+    per = space.save(pairs.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / MEMBERS_PER_COPY).cast("int").alias("copies")), "copies")
     members = pairs.join(per, "centre").select(F.col("member").alias("doc_id"), "centre", F.pmod(F.xxhash64("member"), F.col("copies")).cast("int").alias("salt"), F.lit(1).alias("kind"))
     centres = per.select(F.col("centre").alias("doc_id"), "centre", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.lit(0).alias("kind"))
     rows = docs.join(members.unionByName(centres).hint("merge"), "doc_id").select("centre", "salt", "kind", "doc_id", "text")
@@ -191,8 +195,33 @@ def components(space: Workspace, links: DataFrame, name: str) -> DataFrame:
             return labels
 
 
+def star_classes(space: Workspace, links: DataFrame) -> DataFrame:
+    """``id, class`` of the links (a: centre, b: member).
+
+    A member keeps its least centre, and the centres that it links are joined with
+    that one; so only centres enter the rounds of ``components``, however many members
+    they have. A member has one centre a band at most.
+    """
+    firsts = space.save(links.groupBy("b").agg(F.min("a").alias("first"), F.collect_set("a").alias("centres")), "firsts")
+    centres = links.select(F.col("a").alias("b")).distinct()
+    edges = firsts.select("first", F.explode("centres").alias("b")).where("first <> b").union(firsts.join(centres, "b", "left_semi").select("first", "b"))
+    roots = components(space, space.save(edges.select(F.col("first").alias("a"), "b").distinct(), "centre-links"), "centres")
+    rows = firsts.select(F.col("b").alias("id"), "first").union(centres.select(F.col("b").alias("id"), F.col("b").alias("first")))
+    rows = space.save(rows.join(roots.select(F.col("id").alias("first"), "class"), "first", "left").select("id", F.coalesce("class", "first").alias("root")).distinct(), "rooted")
+    least = space.save(rows.groupBy("root").agg(F.min("id").alias("class")), "least")
+    labels = space.save(rows.join(least, "root").select("id", "class"), "labels-0")
+    space.drop("firsts", "centre-links", "rooted", "least")
+    return labels
+
+
+def moved_classes(labels: DataFrame, moves: DataFrame) -> DataFrame:
+    """``labels`` after classes have moved; ``moves`` (id, class) also has texts that were alone."""
+    known = labels.join(moves.select(F.col("id").alias("class"), F.col("class").alias("to")), "class", "left").select("id", F.coalesce("to", "class").alias("class"))
+    return known.union(moves.join(labels, "id", "left_anti").select("id", "class"))
+
+
 def _block_rows(threshold: float):
-    """Links between classes inside the units (bucket, block i, block j) that arrive one after another."""
+    """Pairs of linked classes inside the units (bucket, block i, block j) that arrive one after another."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, held, bands, root, names = None, [], None, {}, {}
@@ -204,7 +233,7 @@ def _block_rows(threshold: float):
 
         for rb in batches:
             a, b = [], []
-            for band, key, i, j, block, rep, cls, keys, text in zip(*(x.to_pylist() for x in rb.columns)):
+            for band, key, i, j, block, cls, keys, text in zip(*(x.to_pylist() for x in rb.columns)):
                 if (band, key, i, j) != unit:
                     unit, held, bands, root, names = (band, key, i, j), [], np.zeros((BLOCK, band + 1), np.int64), {}, {}
                 # the n-th occurrence of a shingle has a number of its own, so multisets are sets of numbers
@@ -214,34 +243,44 @@ def _block_rows(threshold: float):
                 if i == j or block == j:
                     earlier = (bands[: len(held), :band] == own[:band]).any(axis=1)
                     for k in np.flatnonzero(~earlier):
-                        other, its, n, c = held[k]
+                        its, n, c = held[k]
                         if min(n, total) < threshold * max(n, total) or find(its) == find(cls):
                             continue
                         both = len(c & counts)
                         if both < threshold * (n + total - both):
                             continue
-                        a.append(other)
-                        b.append(rep)
+                        a.append(min(its, cls))
+                        b.append(max(its, cls))
                         root[find(its)] = find(cls)
                 if block == i:
                     if len(held) == len(bands):
                         bands = np.concatenate([bands, np.zeros_like(bands)])
                     bands[len(held)] = own
-                    held.append((rep, cls, total, counts))
+                    held.append((cls, total, counts))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return apply
 
 
-def verify_blocks(docs: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
-    """``members``: band, key, n, rep, class, bands of unresolved buckets; returns links (a, b)."""
+def verify_blocks(docs: DataFrame, members: DataFrame, threshold: float, turn: int, diagonal: bool) -> DataFrame:
+    """Linked classes (a, b), the lesser first, of ``members``: band, key, n, rep, class, bands.
+
+    A bucket is dealt into blocks by a hash that depends on ``turn``; ``diagonal``
+    compares each block in itself, else every block with every other. A pair that
+    agrees in an earlier one of ``bands`` is skipped, for it is compared there.
+    """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("rep", F.lit(1)), blocks).cast("int")
-    rows = members.select("band", "key", "rep", "class", "bands", block.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    block = F.pmod(F.xxhash64("rep", F.lit(turn)), blocks).cast("int")
+    rows = members.withColumn("block", block)
+    if diagonal:
+        rows = rows.withColumn("other", F.col("block"))
+    else:
+        others = F.filter(F.sequence(F.lit(0), blocks - 1), lambda x: x != F.col("block"))
+        rows = rows.withColumn("other", F.explode(others))
     rows = rows.select("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", F.col("rep").alias("doc_id"), "class", "bands")
-    rows = docs.join(rows.hint("merge"), "doc_id").select("band", "key", "i", "j", "block", "doc_id", "class", "bands", "text")
-    rows = rows.repartition(task_count(docs.sparkSession), "band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j", "block", "doc_id")
-    return rows.mapInArrow(_block_rows(threshold), "a long, b long")
+    rows = docs.join(rows.hint("merge"), "doc_id").select("band", "key", "i", "j", "block", "class", "bands", "text")
+    rows = rows.repartition(task_count(docs.sparkSession), "band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j", "block", "class")
+    return rows.mapInArrow(_block_rows(threshold), "a long, b long").distinct()
 
 
 def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,17 +297,44 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, id_col: str
     members = space.save(rows.join(centres, ["band", "key"]).where("o > c.o").select("band", "key", "n", F.col("c.rep").alias("centre"), "rep"), "members")
     space.drop("centres")
     pairs = space.save(members.select("centre", F.col("rep").alias("member")).distinct(), "pairs")
-    links = space.save(verify(docs, pairs, threshold).select("a", "b").distinct(), "star-links")
-    labels = components(space, links, "star")
-    # members that were no centres, in buckets where they are of several classes
-    rest = members.where("n > 2").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("band", "key", "n", "rep", F.coalesce("class", "rep").alias("class"))
-    rest = space.save(rest, "rest")
-    several = rest.groupBy("band", "key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("band", "key")
-    rest = rest.join(several, ["band", "key"]).join(reps.select("rep", "bands"), "rep")
-    more = space.save(verify_blocks(docs, space.save(rest, "open"), threshold).distinct(), "block-links")
-    space.drop("members", "pairs", "rest", "open")
-    if not more.isEmpty():
-        labels = components(space, links.union(more), "all")
+    # the texts that share a band at all, so that later steps do not shuffle the whole corpus again
+    wanted = members.select(F.col("rep").alias("doc_id")).union(members.select(F.col("centre").alias("doc_id"))).distinct()
+    texts = space.save(docs.join(wanted.hint("merge"), "doc_id", "left_semi"), "texts")
+    links = space.save(verify(space, texts, pairs, threshold).select("a", "b").distinct(), "star-links")
+    labels = star_classes(space, links)
+    space.drop("pairs", "copies", "star-links")
+    # members that were no centres, in buckets where they are of several classes; two rounds compare
+    # within blocks, so that classes grow, and the last one all blocks of the buckets still open
+    rest = members.where("n > 2").select("band", "key", "n", "rep")
+    small = members.where(F.col("n").between(3, BLOCK)).groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("band", "key"))).alias("small"))
+    small = space.save(small, "small")  # a text's buckets of one block, which the first round settles
+    for turn in range(ROUNDS + 1):
+        diagonal = turn < ROUNDS
+        if turn:
+            rest = rest.where(F.col("n") > BLOCK)
+        rest = rest.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("band", "key", "n", "rep", F.coalesce("class", "rep").alias("class"))
+        rest = space.save(rest, f"rest-{turn}")
+        several = space.save(rest.groupBy("band", "key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("band", "key"), f"several-{turn}")
+        rest = rest.join(several, ["band", "key"])
+        if diagonal:
+            done = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.coalesce(F.try_element_at("small", i), F.xxhash64("rep", i)))
+            rest = rest.join(small, "rep", "left").withColumn("bands", done).drop("small")
+        else:
+            rest = rest.join(reps.select("rep", "bands"), "rep")
+        rest = space.save(rest, f"open-{turn}")
+        space.drop(f"rest-{turn}", f"several-{turn}", f"open-{turn - 1}")
+        if rest.isEmpty():
+            break
+        more = space.save(verify_blocks(texts, rest, threshold, min(turn, ROUNDS - 1), diagonal), f"block-links-{turn}")
+        if not more.isEmpty():
+            moves = components(space, more, f"moves-{turn}")
+            old, labels = f"labels-{turn}", space.save(moved_classes(labels, moves), f"labels-{turn + 1}")
+            space.drop(old)
+        else:
+            labels = space.save(labels, f"labels-{turn + 1}")
+        space.drop(f"block-links-{turn}")
+        rest = rest.drop("class", "bands")
+    space.drop("members", "small", "texts")
     out = sketches.select("doc_id", "h").join(reps.select("h", "rep"), "h")
     return out.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("class", "rep").alias("class_id"), F.col("rep").alias("copy_of"))
 
