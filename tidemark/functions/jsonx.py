@@ -3,28 +3,62 @@
 from __future__ import annotations
 
 import json
-import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Keys that make an identity out of a finding's evidence where none is given.
+IDENTITY_KEYS = ("field", "observed", "expected")
+LONGEST_IDENTITY, LONGEST_EVIDENCE = 10_000, 20_000
+
 
 def canonical(value) -> str:
     """Sorted keys, no spaces, no escapes beyond JSON's own; floats stay floats."""
     return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
 
 
-def normal(value):
-    """Compatibility form, single spaces and case folding, through all strings of a value."""
-    if isinstance(value, str):
-        return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", value)).strip().casefold()
-    if isinstance(value, list):
-        return [normal(x) for x in value]
-    if isinstance(value, dict):
-        return {k: normal(v) for k, v in value.items()}
-    return value
+def over_strings(value, change: Callable[[str], str]):
+    """The value with ``change`` applied to every string that is not a key."""
+    stack, out = [(value, None, None)], [None]
+    while stack:
+        item, holder, at = stack.pop()
+        if type(item) is str:
+            made = change(item)
+        elif type(item) is list:
+            made = [None] * len(item)
+            stack.extend((x, made, i) for i, x in enumerate(item))
+        elif type(item) is dict:
+            made = dict.fromkeys(item)
+            stack.extend((x, made, k) for k, x in item.items())
+        else:
+            made = item
+        if holder is None:
+            out[0] = made
+        else:
+            holder[at] = made
+    return out[0]
+
+
+def plain_text(text: str) -> str:
+    """Compatibility form, single spaces, case folded."""
+    return " ".join(unicodedata.normalize("NFKC", text).split()).casefold()
+
+
+def identity_of(finding) -> str | None:
+    """The canonical identity of a finding; null where its evidence gives none or is too long."""
+    if not isinstance(finding, dict):
+        return None
+    evidence, given = finding.get("evidence"), finding.get("identity")
+    if given is None:
+        whole = isinstance(evidence, dict) and all(k in evidence for k in IDENTITY_KEYS)
+        given = {k: evidence[k] for k in IDENTITY_KEYS} if whole else evidence
+    if not given or not isinstance(given, dict | list):
+        return None
+    said = canonical(over_strings(given, plain_text))
+    return said if len(said) <= LONGEST_IDENTITY and len(canonical(evidence)) <= LONGEST_EVIDENCE else None
 
 
 def _each(f):
@@ -46,13 +80,25 @@ def canonical_json(col: Column) -> Column:
 
 
 def identity_json(col: Column) -> Column:
-    return F.pandas_udf(_each(lambda x: canonical(normal(x))), "string")(col)
+    return F.pandas_udf(_each(lambda x: canonical(over_strings(x, plain_text))), "string")(col)
+
+
+def finding_identity(col: Column) -> Column:
+    """The canonical identity of a finding's JSON text."""
+    return F.pandas_udf(_each(identity_of), "string")(col)
+
+
+def json_string(col: Column) -> Column:
+    """A JSON string literal."""
+    return F.regexp_extract(F.to_json(F.array(col)), "(?s)^\\[(.*)\\]$", 1)
+
+
+def fingerprint_of(subject: Column, identity: Column, category: Column | None = None) -> Column:
+    """SHA-256 of subject and canonical identity; the older form also has the category."""
+    head = F.lit('{"identity":') if category is None else F.concat(F.lit('{"category":'), json_string(category), F.lit(',"identity":'))
+    return F.sha2(F.concat(head, identity, F.lit(',"subject_id":'), json_string(subject), F.lit("}")), 256)
 
 
 def fingerprint(subject: Column, identity: Column, category: Column | None = None) -> Column:
-    """SHA-256 of subject and normalised identity; the older form also has the category."""
-    parts = [F.lit('{"identity":'), identity_json(identity), F.lit(',"subject_id":'), F.to_json(F.array(subject))]
-    body = F.concat(*parts[:3], F.regexp_extract(parts[3], "^\\[(.*)\\]$", 1), F.lit("}"))
-    if category is not None:
-        body = F.concat(F.lit('{"category":'), F.regexp_extract(F.to_json(F.array(category)), "^\\[(.*)\\]$", 1), F.lit(","), F.substring(body, 2, 2**31 - 1))
-    return F.sha2(body, 256)
+    """The fingerprint of an identity that is not normalised yet."""
+    return fingerprint_of(subject, identity_json(identity), category)

@@ -13,24 +13,15 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import audit, expect, intervals, mutate
-from tidemark.plans import adapter
+from tidemark.plans import adapter, audit_catalog, ingest_catalog, registry, review_catalog  # noqa: F401  (the catalogues register their queries)
 from tidemark.plans.adapter import table
 from tidemark.sources import links
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 
 
 def query(sql: str | None, audit_rows: bool = False):
-    """Registers a query under its function's name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = adapter.SQL + sql if audit_rows else sql
-        return f
-
-    return add
+    """Registers a query; the SQL of one on audit relations begins with their definition."""
+    return registry.query(sql, adapter.SQL if audit_rows else "")
 
 
 def _relations(spark, d):
@@ -173,13 +164,6 @@ def disagreement_subjects(spark, d):
     return v.where(F.size("v") > 1).select("run_id", "subject_id", F.array_join("v", "|").alias("verdicts"))
 
 
-@query("SELECT run_id, pass_number, string_agg(subject_id::VARCHAR, ',' ORDER BY subject_id) AS subjects FROM scope WHERE subject_id % 3 = 0 AND pass_number <= 3 GROUP BY ALL", True)
-def scope_intersection(spark, d):
-    wanted = table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("subject_id"))
-    rows = _relations(spark, d)[0].where("pass_number <= 3").join(wanted, "subject_id", "left_semi")
-    return rows.groupBy("run_id", "pass_number").agg(F.array_join(F.transform(F.array_sort(F.collect_list("subject_id")), lambda x: x.cast("string")), ",").alias("subjects"))
-
-
 @query("SELECT subject_id FROM scope WHERE run_id = 'run-1995' EXCEPT SELECT subject_id FROM scope WHERE run_id = 'run-1996'", True)
 def set_difference(spark, d):
     sc = _relations(spark, d)[0]
@@ -515,8 +499,8 @@ def checkpoint_monotone(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return dict(registry.SQL)
