@@ -98,11 +98,46 @@ def test_warc(spark, tmp_path):
     rows = [(1, "u", big), (2, None, big), (2, None, big), (3, "http://a/\r\nb", None), (4, "u", "short"), (5, "u", "short"), (None, "u", big), (6, "é", "日本" * 100)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("bucket", F.lit(1))
     root = f"file://{tmp_path}/a"
-    manifest = warc.write_warc(pages, root, roll_bytes=300, rows_per_range=3)
+    manifest = warc.write_warc(pages, root, roll_bytes=300, range_bytes=1700)
     got = sorted(((r.page_id or -1, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_warc(manifest, root).collect()))
     assert got == [(-1, "revisit", 1, 203), (1, "response", None, 203), (2, "revisit", 1, 203), (2, "revisit", 1, 203), (3, "response", None, 0), (4, "response", None, 5), (5, "response", None, 5), (6, "response", None, 600)]
-    again = warc.write_warc(pages.repartition(3), f"file://{tmp_path}/b", roll_bytes=300, rows_per_range=3)
+    again = warc.write_warc(pages.repartition(3), f"file://{tmp_path}/b", roll_bytes=300, range_bytes=1700)
     assert sorted(map(tuple, manifest.collect())) == sorted(map(tuple, again.collect()))
     assert manifest.count() > 2
     none = warc.write_warc(pages.where("false"), f"file://{tmp_path}/c")
     assert warc.read_warc(none, f"file://{tmp_path}/c").count() == 0
+
+
+def test_warc_ranges_follow_bytes(spark, tmp_path):
+    """Null and repeated page_ids are cut by digest; ranges are sorted, and files begin with a warcinfo."""
+    pages = spark.range(4000).selectExpr("case when id % 3 = 0 then null when id % 3 = 1 then 7 else id end as page_id", "concat('http://a/', id) as url", "concat('page ', id) as html")
+    root = f"file://{tmp_path}/a"
+    manifest = warc.write_warc(pages, root, range_bytes=1, least_ranges=8, max_ranges=40)
+    rows = warc.read_warc(manifest, root)
+    assert sorted((r.page_id is None, r.page_id or 0, r.url) for r in rows.collect()) == sorted((r.page_id is None, r.page_id or 0, r.url) for r in pages.collect())
+    per = {r.bucket: r.records for r in manifest.collect()}
+    assert len(per) > 30 and max(per.values()) < 3 * 4000 / 40
+    by = {}
+    for r in rows.select("page_id", "file").collect():
+        by.setdefault(int(r.file.split("-")[1]), []).append(-1 if r.page_id is None else r.page_id)
+    buckets = sorted(by)
+    assert all(max(by[a]) <= min(by[b]) for a, b in zip(buckets, buckets[1:]))
+    name = manifest.first().file
+    with open(f"{tmp_path}/a/data/{name}", "rb") as stream:
+        first = next(warc.members(stream))
+    assert first.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo") and name.encode() in first
+
+
+def test_range_edges_of_millions_of_keys(spark):
+    from tidemark.llm._common import bucket_of, range_edges
+
+    keys = spark.range(2_500_000).selectExpr("case when id % 10 < 3 then id % 7 else id * id end as k")
+    ranges = range_edges(keys, "k", 500)
+    assert len(ranges) > 3000 and ranges == range_edges(keys.repartition(3), "k", 500)
+    held = keys.groupBy(bucket_of(F.col("k"), [r.upper for r in ranges]).alias("b")).count().collect()
+    assert sum(r["count"] for r in held) == 2_500_000
+    parts = [r.parts for r in ranges]
+    assert max(r["count"] / parts[r.b] for r in held) <= 1000
+    far = spark.createDataFrame([(-(2**63),), (2**63 - 1,), (0,), (None,)], "k long")
+    assert [r.top for r in range_edges(far, "k", 1)] == [-(2**63), 0, 2**63 - 1]
+    assert range_edges(far.where("k is null"), "k", 1) == []

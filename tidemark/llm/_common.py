@@ -9,6 +9,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from bisect import bisect_right
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,9 +20,11 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share; one is made only where none is set."""
+    """The folder all executors share. A session on one machine gets one where none is set; a cluster without one is refused."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(root)
     if root.startswith("file:/") and not root.startswith("file://"):
@@ -67,50 +71,66 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, "[ \\t-\\r]+"), "")
 
 
-def range_edges(df: DataFrame, key: str, buckets: int, fanout: int = 4096) -> tuple[list[int], list[int]]:
-    """Deterministic range bounds of a long column.
+class Range(NamedTuple):
+    """An inclusive upper bound, the largest key below it, and the parts of a single heavy key."""
 
-    Returns ``(uppers, maxima)``: inclusive upper bounds of at most about
-    ``2 * buckets`` ranges with similar row counts, and the largest key in each.
-    Counts come from equal-width bins; a bin with too many rows is divided again,
-    so only ``fanout`` counts per heavy bin reach the driver. Null keys are left
-    out. A bound depends on the keys alone, never on the order of tasks.
+    upper: int
+    top: int
+    parts: int
+
+
+def range_edges(df: DataFrame, key: str, target: int, weight: Column | None = None, fanout: int = 16384) -> list[Range]:
+    """Deterministic ranges of a long column, each of about ``target`` rows, or weight.
+
+    Weights come from equal-width cells. A cell that weighs more than the target is cut
+    again, into no more cells than its weight calls for; which cells go on is told to the
+    tasks by a broadcast table. So the driver sees at most ``fanout`` counts and about five
+    for each range, and no expression grows with the data. A single key beyond the target
+    is a range of its own and has ``parts`` above 1. Null keys are left out. A bound depends
+    on the keys alone, never on the order of tasks.
     """
-    df = df.select(F.col(key).cast("long").alias("k")).where("k is not null")
-    lo, hi, n = df.agg(F.min("k"), F.max("k"), F.count("k")).first()
-    if not n:
-        return [], []
-    target = max(1, -(-n // buckets))
-    done: list[tuple[int, int, int]] = []  # upper bound, rows, largest key
-    heavy = [(lo, hi)]
+    spark = df.sparkSession
+    rows = df.select(F.col(key).cast("long").alias("k"), (F.lit(1) if weight is None else weight).cast("long").alias("w")).where("k is not null")
+    lo, hi = rows.agg(F.min("k"), F.max("k")).first()
+    if lo is None:
+        return []
+    apart = "cast((cast(k as decimal(20,0)) - start) div width as bigint)" if hi - lo >= 2**62 else "(k - start) div width"
+    done: list[tuple[int, int, int]] = []  # upper bound, weight, largest key
+    cells = rows.withColumn("cell", F.lit(0).cast("long"))
+    heavy = {0: (lo, hi, fanout)}
     while heavy:
-        parts = []
-        for start, end in heavy:
-            width = -(-(end - start + 1) // fanout)
-            inside = F.col("k").between(start, end)
-            cell = ((F.col("k").cast("decimal(20,0)") - F.lit(start).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")) if hi - lo >= 2**62 else (F.col("k") - start) / width
-            parts.append((start, end, width, inside, F.floor(cell).cast("long")))
-        which, cell = F.lit(None).cast("int"), F.lit(None).cast("long")
-        for i, (_, _, _, inside, c) in enumerate(parts):
-            which, cell = F.when(inside, i).otherwise(which), F.when(inside, c).otherwise(cell)
-        rows = df.select("k", which.alias("w"), cell.alias("c")).where("w is not null").groupBy("w", "c").agg(F.count("k").alias("n"), F.max("k").alias("m")).collect()
-        heavy = []
-        for w, c, count, top in rows:
-            start, end, width, _, _ = parts[w]
-            a, b = start + c * width, min(end, start + (c + 1) * width - 1)
-            if count > target and width > 1:
-                heavy.append((a, b))
+        cuts, base = [], 0
+        for cell, (start, end, most) in sorted(heavy.items()):
+            width = -(-(end - start + 1) // most)
+            cuts.append((cell, start, width, base, end))
+            base += -(-(end - start + 1) // width)
+        table = spark.createDataFrame([c[:4] for c in cuts], "cell long, start long, width long, base long")
+        cells = cells.join(F.broadcast(table), "cell").select("k", "w", F.expr(f"base + {apart}").alias("cell"))
+        bases, heavy = [c[3] for c in cuts], {}
+        for cell, held, top in cells.groupBy("cell").agg(F.sum("w"), F.max("k")).collect():
+            _, start, width, base, end = cuts[bisect_right(bases, cell) - 1]
+            a = start + (cell - base) * width
+            b = min(end, a + width - 1)
+            if held > target and a < b:
+                heavy[cell] = (a, b, min(b - a + 1, 4 * (held // target) + 5))
             else:
-                done.append((b, count, top))
-    uppers, maxima, held = [], [], 0
-    for upper, count, top in sorted(done):
-        if not held:
-            uppers.append(upper)
-            maxima.append(top)
-        uppers[-1], maxima[-1], held = upper, top, held + count
-        if held >= target:
-            held = 0
-    return uppers, maxima
+                done.append((b, held, top))
+    out, open_ = [], 0
+    for upper, held, top in sorted(done):
+        if held > target:
+            out.append(Range(upper, top, -(-held // target)))
+            open_ = 0
+            continue
+        if open_:
+            out.pop()
+        out.append(Range(upper, top, 1))
+        open_ = 0 if open_ + held >= target else open_ + held
+    return out
+
+
+def long_array(values: list[int]) -> Column:
+    """A constant array; one literal that the optimizer folds, however many values there are."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
 def bucket_of(key: Column, uppers: list[int]) -> Column:
@@ -119,8 +139,7 @@ def bucket_of(key: Column, uppers: list[int]) -> Column:
         return F.lit(0)
     inner = uppers[:-1]
     steps = [2**i for i in reversed(range(len(inner).bit_length()))]
-    bounds = F.lit(inner) if len(inner) > 1 else F.array(F.lit(inner[0]))
-    bounds = bounds.cast("array<bigint>")
+    bounds = long_array(inner)
     return F.aggregate(
         F.lit(steps).cast("array<int>") if len(steps) > 1 else F.array(F.lit(1)),
         F.lit(0),

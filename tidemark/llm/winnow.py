@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import bucket_of, range_edges, task_count, text_of
+from tidemark.llm._common import bucket_of, long_array, range_edges, task_count, text_of
 
 TOKEN = "[\\p{L}\\p{M}\\p{N}_]{1,6}"
 K = 4
@@ -78,15 +78,16 @@ def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def with_next(docs: DataFrame) -> DataFrame:
     """``doc_id, text, bucket, ghost`` in ranges; ghosts are the rows that follow a range."""
-    n = 8 * task_count(docs.sparkSession)
-    uppers, heads = range_edges(docs, "doc_id", n)
+    n = docs.select("doc_id").count()
+    ranges = range_edges(docs, "doc_id", max(1, -(-n // (8 * task_count(docs.sparkSession)))))
+    uppers, heads = [r.upper for r in ranges], [r.top for r in ranges]
     bucket = bucket_of(F.col("doc_id"), uppers).cast("int")
     rows = docs.select("doc_id", "text").withColumn("bucket", bucket)
-    last = max(len(uppers) - 1, 0)
-    at = bucket_of(F.col("doc_id"), heads) if heads else F.lit(0)
-    head = F.coalesce(F.get(F.lit(heads).cast("array<bigint>"), at.cast("int")) == F.col("doc_id"), F.lit(False)) if len(heads) > 1 else F.coalesce(F.col("doc_id") == (heads or [0])[0], F.lit(False)) if heads else F.lit(True)
-    follows = F.when(head, F.when(F.col("bucket") == last, F.lit(0)).otherwise(F.col("bucket") + 1))
-    copies = F.when(head, F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("g")), F.struct(follows.alias("b"), F.lit(True).alias("g")))).otherwise(F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("g"))))
+    last = max(len(ranges) - 1, 0)
+    head = F.coalesce(F.get(long_array(heads), bucket_of(F.col("doc_id"), heads).cast("int")) == F.col("doc_id"), F.lit(False)) if heads else F.lit(True)
+    own = F.struct(F.col("bucket").alias("b"), F.lit(False).alias("g"))
+    follows = F.when(F.col("bucket") == last, F.lit(0)).otherwise(F.col("bucket") + 1)
+    copies = F.when(head, F.array(own, F.struct(follows.alias("b"), F.lit(True).alias("g")))).otherwise(F.array(own))
     return rows.select("doc_id", "text", F.explode(copies).alias("c")).select("doc_id", "text", F.col("c.b").alias("bucket"), F.col("c.g").alias("ghost"))
 
 
