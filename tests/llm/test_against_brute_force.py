@@ -182,14 +182,42 @@ def test_winnowing_guarantee(spark):
     assert [g.position for g in same.grams] == list(range(3, 37))
 
 
+def brute_fingerprint(spark, texts):
+    """(hash, position) lists by the plain definition; token hashes come from the engine."""
+    token = re.compile(r"[^\W]{1,6}")
+    split = {t: token.findall(t.lower()) for t in texts}
+    known = sorted({x for w in split.values() for x in w} | set(texts))
+    number = dict(spark.createDataFrame([(x,) for x in known], "x string").selectExpr("x", "pmod(cast(hash(x) as long), 2147483647)").collect())
+    out = {}
+    for text, tokens in split.items():
+        h = [number[x] for x in tokens]
+        poly = lambda part: sum(x * pow(winnow.BASE, len(part) - 1 - i, winnow.PRIME) for i, x in enumerate(part)) % winnow.PRIME
+        grams = [poly(h[i : i + winnow.K]) for i in range(len(h) - winnow.K + 1)] or ([poly(h)] if h else [number[text]] if text else [])
+        chosen = set()
+        for i in range(max(1, len(grams) - winnow.W + 1) if grams else 0):
+            window = range(i, min(i + winnow.W, len(grams)))
+            chosen.add(min(window, key=lambda p: (grams[p], -p)))
+        out[text] = [(grams[p], p) for p in sorted(chosen)]
+    return out
+
+
 def test_winnow_query(spark, con):
-    docs = con.sql("select doc_id, text from documents order by doc_id desc").fetchall()
+    docs = [(i, t or "") for i, t in con.sql("select doc_id, text from documents order by doc_id desc").fetchall()]
     got = {r.doc_id: r for r in winnow.op8_fingerprints(spark, SF).collect()}
-    for (i, text), (_, after) in zip(docs, docs[1:] + docs[:1]):
-        n = len(text)
-        edited = text[: n - n // 3] + after[: n // 3]
-        assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[i].n_chars == n
-        assert 0 <= got[i].near_next <= 1 and (n < 300 or got[i].near_edited > got[i].near_next)
+    assert len(got) == len(docs)
+    pairs = [(i, text, text[: len(text) - len(text) // 3] + after[: len(text) // 3], after) for (i, text), (_, after) in zip(docs, docs[1:] + docs[:1])]
+    want = brute_fingerprint(spark, {t for _, *texts in pairs for t in texts})
+    said = lambda fp: ",".join(f"{h:x}:{p}" for h, p in fp)
+
+    def like(a, b):
+        x, y = ({h for h, _ in want[t]} for t in (a, b))
+        return len(x & y) / len(x | y) if x | y else 1.0
+
+    for i, text, edited, after in pairs:
+        r = got[i]
+        assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and r.n_chars == len(text)
+        assert r.fingerprint == said(want[text]) and r.edited_fingerprint == said(want[edited])
+        assert abs(r.near_edited - like(text, edited)) < 1e-12 and abs(r.near_next - like(text, after)) < 1e-12
 
 
 def test_secret_spans():

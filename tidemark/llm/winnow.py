@@ -7,8 +7,10 @@ so two texts that share k + w - 1 = 7 consecutive tokens are sure to share a gra
 Hash and position are packed in one long, high bits first, with the position counted
 down: the least long of a window is the least hash, rightmost on a tie.
 
-A text of fewer than 16 grams keeps every gram, that is, its windows are of one
-gram, so that short texts can be compared at all.
+A token is hashed once. A gram's hash is the polynomial of its token hashes, which is
+rolled over the text in two sweeps that combine neighbours: tokens to pairs, and pairs
+to grams of four, since a scan that carries a value along cannot be a column function
+of bounded cost. A text of fewer than w grams is one window.
 
 All of it happens inside the row. The query's next document is found in ordered
 ranges of doc_id; the head of each range is copied to the end of the range before
@@ -30,27 +32,31 @@ from tidemark.llm._common import bucket_of, long_array, range_edges, task_count,
 TOKEN = "[\\p{L}\\p{M}\\p{N}_]{1,6}"
 K = 4
 W = 4
-#: Texts of fewer grams keep them all: a window of one gram.
-SHORT = 16
+#: Gram hashes are polynomials of the token hashes in BASE modulo PRIME.
+PRIME = 2**31 - 1
+BASE = 1_103_515_245
 LAST = 2**31 - 1
 
 
 def with_grams(df: DataFrame, text: str, name: str) -> DataFrame:
     """Adds ``name``: the chosen grams of a text column as packed longs in order of position."""
-    tokens, grams = f"{name}_t", f"{name}_g"
+    tokens, numbers, twos, fours, grams, pairs = (f"{name}_{x}" for x in ("t", "h", "h2", "h4", "g", "g2"))
     df = df.withColumn(tokens, F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)))
-    t, n = F.col(tokens), F.size(tokens)
-    packed = lambda h, i: F.shiftleft(h.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)), 31).bitwiseOR(F.lit(LAST) - i)
-    many = F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - K), lambda i: packed(F.hash(*[F.get(t, (i + j).cast("int")) for j in range(K)]), i))
+    df = df.withColumn(numbers, F.transform(tokens, lambda x: F.pmod(F.hash(x).cast("long"), F.lit(PRIME))))
+    h, n = F.col(numbers), F.size(numbers)
+    rolled = lambda a, step, count, power: F.zip_with(F.slice(a, 1, count), F.slice(a, 1 + step, count), lambda x, y: (x * power + y) % PRIME)
+    df = df.withColumn(twos, F.when(n >= K, rolled(h, 1, n - 1, BASE)))
+    df = df.withColumn(fours, F.when(n >= K, rolled(F.col(twos), 2, n - 3, BASE * BASE % PRIME)))
+    packed = lambda x, i: F.shiftleft(x, 31).bitwiseOR(F.lit(LAST) - i)
+    few = F.aggregate(h, F.lit(0).cast("long"), lambda held, x: (held * BASE + x) % PRIME)
     zero = F.lit(0).cast("long")
-    df = df.withColumn(grams, F.when(n >= K, many).when(n > 0, F.array(packed(F.hash(t), zero))).when(F.length(text) > 0, F.array(packed(F.hash(text), zero))).otherwise(F.array().cast("array<bigint>")))
+    df = df.withColumn(grams, F.when(n >= K, F.transform(fours, packed)).when(n > 0, F.array(packed(few, zero))).when(F.length(text) > 0, F.array(packed(F.pmod(F.hash(text).cast("long"), F.lit(PRIME)), zero))).otherwise(F.array().cast("array<bigint>")))
     g, m = F.col(grams), F.size(grams)
-    pairs, half = f"{name}_2", m - 1
-    df = df.withColumn(pairs, F.when(m >= SHORT, F.zip_with(F.slice(g, 1, half), F.slice(g, 2, half), lambda x, y: F.least(x, y))))
+    df = df.withColumn(pairs, F.when(m >= W, F.zip_with(F.slice(g, 1, m - 1), F.slice(g, 2, m - 1), lambda x, y: F.least(x, y))))
     p = F.col(pairs)
-    fours = F.zip_with(F.slice(p, 1, m - 3), F.slice(p, 3, m - 3), lambda x, y: F.least(x, y))
-    df = df.withColumn(name, F.when(m >= SHORT, F.array_distinct(fours)).otherwise(g))
-    return df.drop(tokens, grams, pairs)
+    least = F.zip_with(F.slice(p, 1, m - 3), F.slice(p, 3, m - 3), lambda x, y: F.least(x, y))
+    df = df.withColumn(name, F.when(m >= W, F.array_distinct(least)).when(m > 0, F.array(F.array_min(g))).otherwise(g))
+    return df.drop(tokens, numbers, twos, fours, grams, pairs)
 
 
 def fingerprint_string(chosen: Column) -> Column:
