@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import audit, expect, intervals, mutate
-from tidemark.plans import adapter, audit_catalog, ingest_catalog, registry, review_catalog  # noqa: F401  (the catalogues register their queries)
+from tidemark.plans import adapter, audit_catalog, extract_catalog, ingest_catalog, registry, review_catalog  # noqa: F401  (the catalogues register their queries)
 from tidemark.plans.adapter import table
 from tidemark.sources import links
 
@@ -296,10 +296,10 @@ def check_violations(spark, d):
     return expect.check_violations(rows, rules).select("l_orderkey", "l_linenumber", F.array_join("broken", ",").alias("broken"))
 
 
-@query("""WITH a AS (SELECT count(*) AS n, count(DISTINCT l_returnflag) AS f, count(*) FILTER (l_quantity <= 0) AS q, count(*) FILTER (l_orderkey IS NULL) AS k FROM lineitem)
-SELECT check_name, expected, actual, expected = actual AS ok FROM (SELECT 'flags' AS check_name, '3' AS expected, f::VARCHAR AS actual FROM a UNION ALL SELECT 'bad_quantity', '0', q::VARCHAR FROM a UNION ALL SELECT 'null_keys', '0', k::VARCHAR FROM a UNION ALL SELECT 'rows', '60000', n::VARCHAR FROM a)""")
-def quality_gate(spark, d):
-    checks = {"flags": (F.count_distinct("l_returnflag"), 3), "bad_quantity": (F.count_if(F.col("l_quantity") <= 0), 0), "null_keys": (F.count_if(F.col("l_orderkey").isNull()), 0), "rows": (F.count(F.lit(1)), 60000)}
+@query("""WITH a AS (SELECT count(*) AS n, count(DISTINCT l_returnflag) AS f, count(*) FILTER (l_quantity <= 0) AS q, count(*) FILTER (l_orderkey IS NULL) AS k, count(DISTINCT l_linestatus) AS s FROM lineitem)
+SELECT check_name, expected, actual, expected = actual AS ok FROM (SELECT 'flags' AS check_name, '3' AS expected, f::VARCHAR AS actual FROM a UNION ALL SELECT 'bad_quantity', '0', q::VARCHAR FROM a UNION ALL SELECT 'null_keys', '0', k::VARCHAR FROM a UNION ALL SELECT 'line_statuses', '3', s::VARCHAR FROM a)""")
+def expectation_suite(spark, d):
+    checks = {"flags": (F.count_distinct("l_returnflag"), 3), "bad_quantity": (F.count_if(F.col("l_quantity") <= 0), 0), "null_keys": (F.count_if(F.col("l_orderkey").isNull()), 0), "line_statuses": (F.count_distinct("l_linestatus"), 3)}
     return expect.suite(table(spark, d, "lineitem"), checks)
 
 
@@ -368,12 +368,6 @@ def link_dedup_last(spark, d):
     return links.dedup_last(l).select("page_id", "pos", "href", "label")
 
 
-@query(LINKS + "SELECT page_id, count(*) AS candidates, count(*) FILTER (pos > 3) AS skipped, count(*) FILTER (pos <= 3) AS indexed FROM k GROUP BY page_id")
-def collection_summary(spark, d):
-    l = links.export_status(links.link_index(table(spark, d, "pages")), 3)
-    return l.groupBy("page_id").agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("status") == "skipped_limit").alias("skipped"), F.count_if(F.col("status") == "indexed").alias("indexed"))
-
-
 # --- text -----------------------------------------------------------------------------------
 
 SPACED = r"regexp_replace(regexp_replace(text, '(\pL)([.,])(\pL)', '\1\2 \3', 'g'), '(\pL)([.,])(\pL)', '\1\2 \3', 'g')"
