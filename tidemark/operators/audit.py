@@ -117,22 +117,25 @@ def finding_history(presence: DataFrame, occurrences: DataFrame) -> DataFrame:
     """Per subject and fingerprint: where it was seen, and its state in the newest run.
 
     Presence counts over completed runs only; runs where it was seen count all runs.
-    A finding that is not reproduced is never called resolved.
+    A finding that is not reproduced is never called resolved. Runs are joined by subject,
+    and only findings that came back look at the runs between.
     """
-    seen = presence.where(F.size("fingerprints") > 0).select("subject_id", "run_id", "rank", F.explode("fingerprints").alias("fingerprint"))
-    seen = seen.groupBy("subject_id", "fingerprint").agg(F.count(F.lit(1)).alias("seen_run_count"), F.max_by("run_id", "rank").alias("first_seen_run_id"), F.min_by("run_id", "rank").alias("latest_seen_run_id"))
-    n = occurrences.groupBy("subject_id", "fingerprint").agg(F.count(F.lit(1)).alias("occurrence_count"))
-    grid = presence.groupBy("subject_id").agg(F.sort_array(F.collect_list(F.struct("rank", "complete", "run_id", "fingerprints"))).alias("runs"))
-    rows = seen.join(n, ["subject_id", "fingerprint"]).join(grid, "subject_id")
-    done = F.filter("runs", lambda r: r["complete"])
-    rows = rows.withColumn("p", F.transform(done, lambda r: F.array_contains(r["fingerprints"], F.col("fingerprint"))))
-    latest_complete = F.get("runs", F.lit(0))["complete"]
-    present = latest_complete & F.coalesce(F.get("p", F.lit(0)), F.lit(False))
-    second = F.array_position(F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0))), True)
-    again = present & (second > 1)
-    state = F.when(~latest_complete, "latest_run_incomplete").when(again, "reappeared_in_latest_run").when(present, "present_in_latest_run").otherwise("not_reproduced_in_latest_run")
-    missing = F.when(again, F.array_join(F.transform(F.slice(done, F.lit(2), F.greatest(second - 1, F.lit(0)).cast("int")), lambda r: r["run_id"]), ",")).otherwise("")
-    return rows.select("subject_id", "fingerprint", "seen_run_count", "occurrence_count", "first_seen_run_id", "latest_seen_run_id", state.alias("latest_state"), missing.alias("intervening_runs"))
+    keys = ["subject_id", "fingerprint"]
+    done = Window.partitionBy("subject_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    runs = presence.select("subject_id", "run_id", "rank", "complete").withColumn("k", F.when(F.col("complete"), F.sum(F.col("complete").cast("int")).over(done)))
+    per_run = occurrences.groupBy(*keys, "run_id").agg(F.count(F.lit(1)).alias("n")).join(runs, ["subject_id", "run_id"])
+    seen = per_run.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("seen_run_count"), F.sum("n").alias("occurrence_count"), F.max_by("run_id", "rank").alias("first_seen_run_id"), F.min_by("run_id", "rank").alias("latest_seen_run_id"),
+        F.count_if(F.col("k") == 1).alias("now"), F.min(F.when(F.col("k") > 1, F.col("k"))).alias("prev"),
+    )
+    rows = seen.join(runs.where("rank = 1").select("subject_id", F.col("complete").alias("latest_complete")), "subject_id")
+    present = F.col("now") > 0
+    again = F.col("latest_complete") & present & F.coalesce(F.col("prev") > 2, F.lit(False))
+    state = F.when(~F.col("latest_complete"), "latest_run_incomplete").when(again, "reappeared_in_latest_run").when(present, "present_in_latest_run").otherwise("not_reproduced_in_latest_run")
+    rows = rows.withColumns({"again": again, "latest_state": state})
+    between = rows.where("again").select(*keys, "prev").join(runs.where("k > 1").select("subject_id", "k", "run_id"), "subject_id").where("k < prev")
+    between = between.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "run_id"))), lambda x: x["run_id"]), ",").alias("runs"))
+    return rows.join(between, keys, "left").select(*keys, "seen_run_count", "occurrence_count", "first_seen_run_id", "latest_seen_run_id", "latest_state", F.coalesce("runs", F.lit("")).alias("intervening_runs"))
 
 
 def pass_status(scope: DataFrame) -> DataFrame:

@@ -7,10 +7,22 @@ from pyspark.sql import functions as F
 
 
 def insert_ignore(old: DataFrame, new: DataFrame, key: str, content: str) -> DataFrame:
-    """Classifies new rows: inserted, already_imported, or conflict where the content differs."""
+    """Classifies new rows: inserted, already_imported, or conflict where the content differs.
+
+    Of new rows that share a key the least content is inserted first, and the others are
+    compared with it.
+    """
     stored = old.select(key, F.col(content).alias("__old"))
-    status = F.when(F.col("__old").isNull(), "inserted").when(F.col("__old") == F.col(content), "already_imported").otherwise("conflict")
-    return new.join(stored, key, "left").select(key, content, status.alias("status"))
+    same = Window.partitionBy(key)
+    rows = new.join(stored, key, "left").withColumns({"__first": F.min(content).over(same), "__turn": F.row_number().over(same.orderBy(content))})
+    against = F.coalesce("__old", "__first")
+    status = F.when(F.col("__old").isNull() & (F.col("__turn") == 1), "inserted").when(against == F.col(content), "already_imported").otherwise("conflict")
+    return rows.select(key, content, status.alias("status"))
+
+
+def replace_values(old: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """Rows of the same keys are replaced, others stay, new ones are added."""
+    return old.join(changes.select(key), key, "left_anti").unionByName(changes)
 
 
 def upsert_versioned(old: DataFrame, changes: DataFrame, key: str, value: str) -> DataFrame:

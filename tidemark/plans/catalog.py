@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import audit, expect, intervals, mutate
-from tidemark.plans import adapter, audit_catalog, extract_catalog, ingest_catalog, registry, review_catalog  # noqa: F401  (the catalogues register their queries)
+from tidemark.plans import adapter, audit_catalog, basic_catalog, extract_catalog, files_catalog, ingest_catalog, registry, review_catalog  # noqa: F401  (the catalogues register their queries)
 from tidemark.plans.adapter import table
 from tidemark.sources import links
 
