@@ -1,27 +1,36 @@
 """Exact removal of repeated word runs by recompression.
 
-Rounds name token runs and pairs: first every run of exactly two equal words, then,
-three times, adjacent pairs (a, b) where a falls in the left and b in the right half
-of the names of that round. A name is a hash of what it stands for, so names are
-global over the corpus without a dictionary join, and equal substrings get equal
-interior symbols whatever surrounds them. Symbols hold at most 4 words.
+Naming. Rounds name token runs and pairs: first every run of exactly two equal words,
+then, three times, adjacent pairs (a, b) where a falls in the left and b in the right half
+of the names of that round. A name is a hash of what it stands for, so names are global
+over the corpus without a dictionary join, and equal substrings get equal interior
+symbols whatever surrounds them. Symbols of these rounds hold at most 4 words. Of the
+symbols that start in any 23 consecutive words, those with the least name are anchors,
+and the words from one anchor to the next are named as a phrase, the high-level symbol.
 
 Boundary loss: naming runs can disturb 2 words at each end of a common stretch, the
 pair rounds 2, 4 and 4 more. Inside a common window of 50 words the symbols that
-start 12 to 37 words after its start are thus the same in both documents. Of the
-symbols that start in any 23 consecutive words, those with the least name are
-anchors; an anchor and the 16 words from it form a key. Every common window holds
-the same anchor, 12 to 34 words after its start, in both documents, so shared keys
-reveal all repeats, and none is lost.
-
-Only windows around shared keys are then compared, by a 128-bit hash of all their
-50 words, against the smallest document that holds them. Work per document is linear
-in its words; a passage in a third of all documents is pre-aggregated by key before
-the shuffle and joined back from written tables, where hot keys can be split.
+start 12 to 37 words after its start are thus the same in both documents. So every
+common window holds the same anchor, 12 to 34 words after its start, in both, and the 16
+words from it, its key, are in both: shared keys reveal all repeats, and none is lost.
+
+Rounds over the corpus. The first finds the keys that several documents share, and the
+smallest of them; anchors that are not shared go no further. The second finds, for every
+shared anchor, the place of the same key and phrase in that smallest document. Phrases
+that follow each other in a document and, at the same distances, in the smaller one are
+joined to one symbol, whose words all stand in the smaller document: that verifies a
+long repeat as a whole. Only windows at its ends, and those whose phrases came from
+several places, are compared one by one, by a 128-bit hash of all their 50 words, against
+the smallest document that holds them. A window that is verified is held by a smaller
+document as well, so the smallest holder of a window is always compared.
+
+Work per document is linear in its words; a passage in a third of all documents is
+pre-aggregated by key before the shuffle and joined back from written tables, where hot
+keys can be split.
 
 Defined results: a null text has no words; a text under 50 words loses none; rows
 that repeat a doc_id do not lose words to each other; a null doc_id neither loses
-words nor takes words from others.
+words nor takes words from others; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -43,7 +52,9 @@ PAIR_ROUNDS = 3
 LOSS = 12
 KEY = 16
 SPAN = WINDOW - 2 * LOSS - 3
-ANCHORS = "doc_id long, tag long, key long, pos int"
+#: The bits of a place that hold the words to the next anchor, 0 for the last one.
+GAP_BITS = 5
+ANCHORS = "doc_id long, tag long, key long, phrase long, place long"
 WINDOWS = "doc_id long, tag long, a long, b long, pos int, taker boolean"
 KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
@@ -85,8 +96,8 @@ def _sliding(v: np.ndarray, width: int, op) -> np.ndarray:
     return out
 
 
-def anchors(batch: WordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text index, word position, key) of the anchors of all texts of WINDOW words or more."""
+def anchors(batch: WordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text index, word position, words to the next anchor, key, phrase) of the anchors of all texts of WINDOW words or more."""
     h = batch.hashes()
     name, at = symbols(mix(h), batch.starts[:-1][batch.n > 0])
     value = np.full(len(h), np.uint64(2**64 - 1))
@@ -97,50 +108,88 @@ def anchors(batch: WordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     chosen = at[(value[at] == top[at])]
     ends = batch.starts[1:][doc[chosen]]
     chosen = chosen[(batch.n[doc[chosen]] >= WINDOW) & (chosen + KEY <= ends)]
-    return doc[chosen], chosen - batch.starts[doc[chosen]], batch.windows(chosen, KEY)
+    gap = np.zeros(len(chosen), np.int64)
+    gap[:-1] = np.where(doc[chosen[1:]] == doc[chosen[:-1]], np.diff(chosen), 0)
+    gap[gap >= 1 << GAP_BITS] = 0  # only between anchors that a text's end has parted
+    phrase = batch.windows(chosen, gap, 1) + gap.astype(np.uint64)
+    return doc[chosen], chosen - batch.starts[doc[chosen]], gap, batch.windows(chosen, KEY), phrase
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rb in batches:
         texts, ids, tags = rb.column(2).to_pylist(), rb.column(0).to_numpy(zero_copy_only=False), rb.column(1).to_numpy(zero_copy_only=False)
         for a, b in batches_of(texts):
-            d, pos, key = anchors(WordBatch(texts[a:b]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][d].astype(np.int64)), pa.array(tags[a:b][d].astype(np.int64)), pa.array(key.view(np.int64)), pa.array(pos.astype(np.int32))], ["doc_id", "tag", "key", "pos"])
+            d, pos, gap, key, phrase = anchors(WordBatch(texts[a:b]))
+            place = (pos << GAP_BITS) + gap
+            columns = [ids[a:b][d].astype(np.int64), tags[a:b][d].astype(np.int64), key.view(np.int64), phrase.view(np.int64), place]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["doc_id", "tag", "key", "phrase", "place"])
+
+
+def verified_starts(pos: np.ndarray, gap: np.ndarray, there: np.ndarray, source: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of window starts that joined phrases cover.
+
+    ``pos`` and ``gap``: the places of shared anchors in order and the words to the next
+    anchor; ``there``: the place of the same phrase in a smaller document, -1 for none;
+    ``source``: that document's text.
+    """
+    known = np.flatnonzero((there >= 0) & (gap > 0))
+    if not len(known):
+        return []
+    p, t, g, q = pos[known], there[known], gap[known], source[known]
+    joined = (p[:-1] + g[:-1] == p[1:]) & (t[:-1] + g[:-1] == t[1:]) & (q[:-1] == q[1:])
+    first = np.flatnonzero(np.concatenate([[True], ~joined]))
+    last = np.append(first[1:], len(known)) - 1
+    return [(int(x), int(y)) for x, y in zip(p[first], p[last] + g[last] - WINDOW + 1) if y > x]
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows that hold a shared key; ``marks`` are 2 * position + 1 where a smaller document has the key."""
+    """The windows that hold a shared key, but for the verified ones, whose starts come as ranges (a, b) at pos -1.
+
+    ``marks`` are (place, whether a smaller document has the key, place and text of the phrase there).
+    """
     for rb in batches:
-        ids, tags, texts, marks = (rb.column(i) for i in range(4))
-        ids, tags, texts, marks = ids.to_numpy(zero_copy_only=False), tags.to_numpy(zero_copy_only=False), texts.to_pylist(), marks.to_pylist()
+        ids, tags, texts = (rb.column(i) for i in range(3))
+        ids, tags, texts = ids.to_numpy(zero_copy_only=False), tags.to_numpy(zero_copy_only=False), texts.to_pylist()
+        marks = rb.column(3)
+        cuts, flat = marks.offsets.to_numpy(), marks.values
+        place, take, there, source = (flat.field(i).fill_null(0 if i == 1 else -1).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
         for a, b in batches_of(texts):
             batch = WordBatch(texts[a:b])
             got: list[list[np.ndarray]] = []
+            sure: list[tuple[int, int, int]] = []
             for i in range(b - a):
                 n = int(batch.n[i]) - WINDOW + 1
-                m = np.unique(np.array(marks[a + i], np.int64))
-                held, take = np.zeros(n + 1, np.int32), np.zeros(n + 1, np.int32)
-                for counts, p in ((held, m >> 1), (take, m[m & 1 == 1] >> 1)):
-                    np.add.at(counts, np.clip(p + KEY - WINDOW, 0, n), 1)
-                    np.add.at(counts, np.clip(p + 1, 0, n), -1)
-                s = np.flatnonzero(np.cumsum(held[:-1]) > 0)
-                got.append([np.full(len(s), a + i), s, np.cumsum(take[:-1])[s] > 0])
+                own = slice(cuts[a + i], cuts[a + i + 1])
+                order = np.argsort(place[own], kind="stable")
+                p, taken = place[own][order] >> GAP_BITS, take[own][order] > 0
+                held, taker, known = np.zeros(n + 1, np.int32), np.zeros(n + 1, np.int32), np.zeros(n + 1, np.int32)
+                for counts, at in ((held, p), (taker, p[taken])):
+                    np.add.at(counts, np.clip(at + KEY - WINDOW, 0, n), 1)
+                    np.add.at(counts, np.clip(at + 1, 0, n), -1)
+                for x, y in verified_starts(p, place[own][order] & ((1 << GAP_BITS) - 1), there[own][order], source[own][order]):
+                    known[x] += 1
+                    known[y] -= 1
+                    sure.append((a + i, x, y))
+                s = np.flatnonzero((np.cumsum(held[:-1]) > 0) & (np.cumsum(known[:-1]) == 0))
+                got.append([np.full(len(s), a + i), s, np.cumsum(taker[:-1])[s] > 0])
             i, s, taker = (np.concatenate(x) for x in zip(*got))
             at = s + batch.starts[i - a]
+            k, x, y = (np.array(c, np.int64) for c in zip(*sure)) if sure else (np.zeros(0, np.int64),) * 3
+            join = lambda u, v: pa.array(np.concatenate([u, v]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[i].astype(np.int64)), pa.array(tags[i].astype(np.int64)), pa.array(batch.windows(at, WINDOW, 0).view(np.int64)), pa.array(batch.windows(at, WINDOW, 1).view(np.int64)), pa.array(s.astype(np.int32)), pa.array(taker)],
+                [join(ids[i].astype(np.int64), ids[k].astype(np.int64)), join(tags[i].astype(np.int64), tags[k].astype(np.int64)), join(batch.windows(at, WINDOW, 0).view(np.int64), x), join(batch.windows(at, WINDOW, 1).view(np.int64), y), join(s.astype(np.int32), np.full(len(k), -1, np.int32)), join(taker, np.ones(len(k), bool))],
                 ["doc_id", "tag", "a", "b", "pos", "taker"],
             )
 
 
 def kept_words(words: list[bytes], gone: list[int]) -> list[bytes]:
-    """The words that no window with a start in ``gone`` covers; [-1] stands for every start."""
+    """The words that no window covers whose start is in the ranges ``from << 32 | to``; [-1] stands for every start."""
     if gone[0] < 0:
         return [] if len(words) >= WINDOW else words
     edge = np.zeros(len(words) + 1, np.int32)
-    p = np.unique(np.array(gone, np.int64))
-    edge[p] += 1
-    np.subtract.at(edge, p + WINDOW, 1)
+    ranges = np.array(gone, np.int64)
+    np.add.at(edge, ranges >> 32, 1)
+    np.subtract.at(edge, (ranges & 0xFFFFFFFF) + WINDOW - 1, 1)
     return [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
 
 
@@ -157,7 +206,7 @@ def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_windows(docs: DataFrame, space: Workspace, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, tag, gone``: starts of the windows that a smaller document also holds.
+    """``doc_id, tag, gone``: ranges of starts of the windows that a smaller document also holds.
 
     ``tag`` is a hash of the text and tells rows of one doc_id apart. A copy of a
     smaller document's whole text has ``gone = [-1]``: all its windows are repeats,
@@ -172,15 +221,26 @@ def repeated_windows(docs: DataFrame, space: Workspace, id_col: str = "doc_id",
     found = space.save(rows.mapInArrow(_anchor_rows, ANCHORS), "anchors")
     ends = [f(c).alias(n) for c, f, n in (("doc_id", F.min, "lo"), ("doc_id", F.max, "hi"), ("tag", F.min, "t"), ("tag", F.max, "u"))]
     shared = space.save(found.groupBy("key").agg(*ends).where("lo < hi and t <> u").select("key", "lo"), "shared")
-    marks = found.join(shared, "key").groupBy("doc_id", "tag").agg(F.collect_list(F.col("pos") * 2 + (F.col("lo") < F.col("doc_id")).cast("int")).alias("marks"))
-    marks = space.save(marks.join(copies, ["doc_id", "tag"], "left_anti"), "marks")
+    known = found.join(shared, "key").join(copies.hint("merge"), ["doc_id", "tag"], "left_anti")
+    known = space.save(known, "known")
     space.drop("anchors", "shared")
+    # where the smallest document has the same key and phrase; of several texts of one id none can be told
+    there = known.where("doc_id = lo").groupBy("key", "phrase").agg(F.min("place").alias("there"), F.min("tag").alias("t"), F.max("tag").alias("u")).where("t = u")
+    there = space.save(there.select("key", "phrase", F.shiftright("there", GAP_BITS).alias("there"), F.col("t").alias("source")), "there")
+    takers = known.where("lo < doc_id").join(there, ["key", "phrase"], "left").select("doc_id", "tag", F.struct("place", F.lit(1).alias("taker"), "there", "source").alias("m"))
+    holders = known.where("lo = doc_id").select("doc_id", "tag", F.struct("place", F.lit(0).alias("taker"), F.lit(None).cast("long").alias("there"), F.lit(None).cast("long").alias("source")).alias("m"))
+    marks = space.save(takers.unionByName(holders).groupBy("doc_id", "tag").agg(F.collect_list("m").alias("marks")), "marks")
+    space.drop("known", "there")
     windows = space.save(rows.join(marks, ["doc_id", "tag"]).select("doc_id", "tag", "text", "marks").mapInArrow(_window_rows, WINDOWS), "windows")
     space.drop("marks")
-    least = windows.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("a", "b", "lo")
+    single = windows.where("pos >= 0")
+    least = single.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("a", "b", "lo")
     least = space.save(least, "least")
-    gone = windows.where("taker").join(least, ["a", "b"]).where("lo < doc_id").groupBy("doc_id", "tag").agg(F.collect_list("pos").alias("gone"))
-    gone = space.save(gone.unionByName(copies.withColumn("gone", F.array(F.lit(-1)))), "gone")
+    of = lambda x, y: F.shiftleft(x.cast("long"), 32) + y
+    parts = single.where("taker").join(least, ["a", "b"]).where("lo < doc_id").select("doc_id", "tag", of(F.col("pos"), F.col("pos") + 1).alias("r"))
+    parts = parts.union(windows.where("pos < 0").select("doc_id", "tag", of(F.col("a"), F.col("b"))))
+    gone = parts.groupBy("doc_id", "tag").agg(F.collect_list("r").alias("gone"))
+    gone = space.save(gone.unionByName(copies.withColumn("gone", F.array(F.lit(-1).cast("long")))), "gone")
     space.drop("windows", "least", "copies")
     return gone
 
