@@ -51,10 +51,30 @@ def test_links(spark):
     found = links.link_index(pages)
     rows = links.classified(links.candidates(found), "EXAM").orderBy("pos").collect()
     assert [(r.link, r.level, r.kind) for r in rows[:2]] == [("https://e.org/a.pdf", "I", "QUESTIONS"), ("https://e.org/x/b.pdf", "II", "ANSWER_KEY")]
-    assert len(rows) == 4
+    assert [r.level for r in rows] == ["I", "II", "II", "I"]  # a heading without a level does not end the level before it
     last = links.dedup_last(links.candidates(found)).orderBy("pos").collect()
     assert [(r.pos, r.label) for r in last] == [(1, "Reading question"), (2, "second b"), (4, "EXAM II answer")]
-    assert [r.status for r in links.export_status(found, 2).orderBy("pos").collect()] == ["indexed", "indexed", "skipped_limit", "skipped_limit", "skipped_limit"]
+
+
+def test_anchor_rules(spark):
+    html = '<a href="">none</a><a>none</a><a href="/x.pdf">out<a href="/in.pdf">in</a> rest</a><a href="//[bad">b</a><a href="go?id=1">LISTENING TEXT</a><a href="ftp://e.org/f.pdf">f</a>'
+    found = links.link_index(spark.createDataFrame([(1, "https://e.org/", html)], "page_id long, url string, html string"))
+    assert [(r.pos, r.href, r.label) for r in found.orderBy("pos").collect()] == [(1, "/x.pdf", "outin"), (2, "//[bad", "b"), (3, "go?id=1", "LISTENING TEXT"), (4, "ftp://e.org/f.pdf", "f")]
+    assert [r.link for r in links.candidates(found).orderBy("pos").collect()] == ["https://e.org/x.pdf", "https://e.org/go?id=1"]
+
+
+def test_inventory_of_unread_pages(spark):
+    pages = spark.createDataFrame([(7, "https://e.org/", "<a href='a.pdf'>EXAM I question</a>" + " " * 50), (8, "https://e.org/b", "x" * 200), (9, "u", None)], "page_id long, url string, html string")
+    rows = {r.session: r for r in links.inventory(pages, "EXAM", 100).collect()}
+    assert rows[7].status == "indexed" and rows[7].level == "I" and rows[8].status == rows[9].status == "page_error" and rows[8].url == ""
+    summary = links.collection_summary(links.inventory(pages, "EXAM", 100), pages).first()
+    assert (summary.source_count, summary.candidate_count, summary.error_count, summary.incomplete) == (3, 1, 2, True)
+
+
+def test_dialogue_edges(spark):
+    d = lambda t: one(spark, t, lambda c: T.dialogue(c, ("a", "b")))
+    assert d("x\r\na : hi\r\n\t\r\n\u3000go on\u00a0\nb: yo") == "a : hi\ngo on\nb: yo"
+    assert d("nobody speaks") == "" and d(None) is None and d("") == ""
 
 
 def test_canonical_json(spark):
