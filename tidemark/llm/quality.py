@@ -6,7 +6,9 @@ is done inside the row: no shuffle, no Python, so neither a hot source nor a ver
 long document concentrates on one task beyond its own bytes.
 
 Defined results: a null text counts as empty; an empty text has no words and fails
-the base rules; repeated rows are judged alike; other columns pass through.
+the base rules; repeated rows are judged alike, and ties cannot arise; the longest text
+is judged whole; other columns pass through, but for one named ``quality``, which the
+result replaces; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,8 +23,18 @@ SEPARATORS = "|»›•·"
 SENTENCE_END = "[.!?…。！？]"
 #: A line ends well with an end mark, also before closing quotes or brackets.
 TERMINAL = "[.!?…:;。！？][\"'”’»)\\]]*$"
-NAVIGATION = "(?i)^[ \\t-\\r]*(home|menu|log ?in|sign (in|up)|read more|click here|next page|previous page|back to top|share (this|on)|skip to content|subscribe)([^a-z]|$)"
-BOILERPLATE = ("all rights reserved", "privacy policy", "cookie policy", "use cookies", "uses cookies", "terms of use", "terms of service", "copyright (c)", "copyright ©", "lorem ipsum", "enable javascript", "licensed under")
+#: What a line of navigation begins with, in English, German, French and Spanish.
+NAVIGATION_WORDS = (
+    "home", "menu", "log ?in", "sign (in|up)", "read more", "click here", "next page", "previous page", "back to top", "share (this|on)", "skip to content", "subscribe",
+    "startseite", "menü", "anmelden", "weiterlesen", "mehr lesen", "nächste seite", "zum inhalt", "nach oben", "accueil", "connexion", "lire la suite", "page suivante", "aller au contenu",
+    "inicio", "menú", "iniciar sesión", "leer más", "página siguiente", "ir al contenido",
+)
+NAVIGATION = f"(?i)^[ \\t-\\r]*({'|'.join(NAVIGATION_WORDS)})(\\P{{L}}|$)"
+BOILERPLATE = (
+    "all rights reserved", "privacy policy", "cookie policy", "use cookies", "uses cookies", "terms of use", "terms of service", "copyright (c)", "copyright ©", "lorem ipsum", "enable javascript", "licensed under",
+    "alle rechte vorbehalten", "datenschutzerklärung", "verwendet cookies", "nutzungsbedingungen", "tous droits réservés", "politique de confidentialité", "utilise des cookies", "conditions d'utilisation",
+    "todos los derechos reservados", "política de privacidad", "utiliza cookies", "términos de uso",
+)
 
 
 def count_of(text: Column, chars: str) -> Column:
@@ -71,8 +83,9 @@ def quality_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def line_verdicts(lines: Column) -> Column:
     """For each line its characters in words, and whether it breaks a rule.
 
-    The cheap counts are bound once for each line, and the last 8 characters stand
-    for its end, so that no pattern runs over a long line.
+    The cheap counts and the lower case are bound once for each line, the last 8
+    characters stand for its end, and phrases are sought in lines of 40 words at most, so
+    that no pattern runs over a long line.
     """
     facts = F.transform(
         F.transform(lines, lambda x: F.struct(x.alias("x"), words_of(x).alias("words"))),
@@ -83,6 +96,7 @@ def line_verdicts(lines: Column) -> Column:
             count_of(s["x"], "!?").alias("shouts"),
             count_of(s["x"], SEPARATORS).alias("marks"),
             F.substring(F.rtrim(s["x"], F.lit(SPACES)), -8, 8).alias("tail"),
+            F.when(F.size(s["words"]) <= 40, F.lower(s["x"])).alias("low"),
             s["x"].alias("x"),
         ),
     )
@@ -93,8 +107,8 @@ def line_verdicts(lines: Column) -> Column:
         menu = ((s["marks"] >= 2) & (3 * s["marks"] >= s["words"])) | ((s["words"] <= 8) & s["x"].rlike(NAVIGATION))
         phrase = F.lit(False)
         for text in BOILERPLATE:
-            phrase = phrase | F.lower(s["x"]).contains(text)
-        return (s["chars"] > 0) & (symbols | menu | unended | ((s["words"] <= 40) & phrase))
+            phrase = phrase | s["low"].contains(text)
+        return (s["chars"] > 0) & (symbols | menu | unended | F.coalesce(phrase, F.lit(False)))
 
     return F.transform(facts, lambda s: F.struct(s["chars"].alias("chars"), fails(s).alias("bad"), s["x"].alias("x")))
 
@@ -163,8 +177,8 @@ l AS (
     (NOT regexp_matches(right(rtrim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 8), '[.!?…:;。！？]["''”’»)\]]*$') AND NOT regexp_matches(line, '[.!?…。！？]'))
     OR 10 * syms > 3 * words OR 10 * shouts > 5 * greatest(words, 4)
     OR (seps >= 2 AND 3 * seps >= words)
-    OR (regexp_matches(line, '(?i)^[\x20\x09-\x0D]*(home|menu|log ?in|sign (in|up)|read more|click here|next page|previous page|back to top|share (this|on)|skip to content|subscribe)([^a-z]|$)') AND words <= 8)
-    OR (words <= 40 AND len(list_filter(['all rights reserved', 'privacy policy', 'cookie policy', 'use cookies', 'uses cookies', 'terms of use', 'terms of service', 'copyright (c)', 'copyright ©', 'lorem ipsum', 'enable javascript', 'licensed under'], lambda p: contains(lower(line), p))) > 0)) AS bad
+    OR (regexp_matches(line, '(?i)^[\x20\x09-\x0D]*({NAVIGATION})(\P{L}|$)') AND words <= 8)
+    OR (words <= 40 AND len(list_filter([{BOILERPLATE}], lambda p: contains(lower(line), p))) > 0)) AS bad
   FROM l
 ), lines AS (
   SELECT doc_id, sum(CASE WHEN bad THEN chars ELSE 0 END) AS lost, count(*) FILTER (bad) AS n_bad,
@@ -180,4 +194,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * lost <= 50 * word_chars AS kept,
   n_bad::BIGINT AS n_removed_lines
 FROM base
-"""
+""".replace("{NAVIGATION}", "|".join(NAVIGATION_WORDS)).replace("{BOILERPLATE}", ", ".join("'" + x.replace("'", "''") + "'" for x in BOILERPLATE))
