@@ -2,13 +2,17 @@
 
 A random string needs many tokens of a byte-level BPE vocabulary for its length.
 Long runs of key characters whose characters-per-token ratio is low are spans of
-kind ``random``, after known digests and identifiers are excluded. In URLs the dotted
-host name is left out, while userinfo and the rest are tested: each run as a whole, else
-segment by segment. The scan is a single pass over whole texts without a shuffle.
+kind ``random``, after known digests and identifiers are excluded. An identifier is a run
+whose parts between separators have a high ratio of their own, so the ratio decides on
+names as well: words joined by dashes pass, random groups joined by dashes do not. In
+URLs the dotted host name is left out, while userinfo and the rest are tested: each run as
+a whole, else segment by segment. The scan is a single pass over whole texts without a
+shuffle, and linear in a text.
 
 Defined results: a null text counts as empty and has no spans; repeated rows get
-the same spans; the longest text is scanned as a whole. Positions are code points,
-ends exclusive.
+the same spans; of spans that share a start the kind listed first comes first; the longest
+text is scanned as a whole; an empty table gives an empty result. Positions are code
+points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -16,8 +20,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,8 +42,8 @@ SEGMENT = re.compile(r"[A-Za-z0-9+_-]{20,}")
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 HEXADECIMAL = re.compile(r"[0-9a-fA-F]+")
-#: Letters in a part of an identifier; runs with longer parts are left to the token ratio.
-PART = 12
+#: Parts of a run up to this length tell nothing about it.
+SHORT_PART = 3
 #: The pre-split pattern of the byte-level vocabularies.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -53,12 +59,31 @@ def encoder(path: str):
     return tiktoken.Encoding("secrets", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def identifier(run: str) -> bool:
-    """Known digests, UUIDs, numbers, short plain words, and names made of short words and short numbers."""
-    if HEXADECIMAL.fullmatch(run) and len(run) in DIGEST_LENGTHS or UUID.fullmatch(run):
-        return True
-    parts = [x for x in re.split(r"[+/_=-]+", run) if x]
-    return all(x.isdigit() or len(x.strip("0123456789")) <= PART and (x.isalpha() and (x.islower() or x.isupper() or x[1:].islower()) or re.fullmatch(r"[A-Za-z]?[a-z]*[0-9]{1,4}|[0-9]{1,4}[A-Za-z][a-z]*", x)) for x in parts)
+def known(run: str) -> bool:
+    """Digests, UUIDs and numbers."""
+    return bool(HEXADECIMAL.fullmatch(run) and len(run) in DIGEST_LENGTHS or UUID.fullmatch(run)) or not any(c.isalpha() for c in run)
+
+
+def identifier_parts(run: str) -> list[str]:
+    """The parts of a run between its separators and numbers, but for short ones."""
+    return [x for x in re.split(r"[+/_=-]+|(?<![A-Za-z])[0-9]+(?![A-Za-z])|(?<=[a-z]{2})[0-9]{1,4}(?![A-Za-z0-9])", run) if len(x) > SHORT_PART]
+
+
+def ratio(parts: list[str], vocabulary: str) -> float:
+    """Characters per token of some strings together; endless without any."""
+    tokens = sum(len(encoder(vocabulary).encode_ordinary(x)) for x in parts)
+    return sum(map(len, parts)) / tokens if tokens else float("inf")
+
+
+class Cover:
+    """Whether a base span covers a range; spans in order of their starts."""
+
+    def __init__(self, base: list[tuple[int, int, int]]):
+        self.starts, self.ends = [x for x, _, _ in base], list(accumulate((y for _, _, y in base), max))
+
+    def holds(self, a: int, b: int) -> bool:
+        i = bisect_right(self.starts, a)
+        return i > 0 and self.ends[i - 1] >= b
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -85,17 +110,17 @@ def url_parts(text: str) -> Iterator[tuple[int, int, int, int]]:
 
 
 def efficient(run: str, vocabulary: str, max_ratio: float) -> bool:
-    """Identifiers, and runs with many characters a token."""
-    return identifier(run) or len(run) >= max_ratio * len(encoder(vocabulary).encode_ordinary(run))
+    """Known strings, and runs with many characters a token, as a whole or in their parts."""
+    return known(run) or ratio([run], vocabulary) >= max_ratio or ratio(identifier_parts(run), vocabulary) >= max_ratio
 
 
 def random_spans(text: str, base: list[tuple[int, int, int]], vocabulary: str, max_ratio: float) -> list[tuple[int, int, int]]:
     """Runs outside URLs with few characters a token that no base span covers."""
-    found, at = [], 0
+    found, at, cover = [], 0, Cover(base)
     for start, end in [*((a, b) for a, _, _, b in url_parts(text)), (len(text), len(text))]:
         for m in RUN.finditer(text, at, start):
             a, b = m.span()
-            if not any(x <= a and b <= y for x, _, y in base) and not efficient(m.group(), vocabulary, max_ratio):
+            if not cover.holds(a, b) and not efficient(m.group(), vocabulary, max_ratio):
                 found.append((a, 3, b))
         at = end
     return found
@@ -103,14 +128,14 @@ def random_spans(text: str, base: list[tuple[int, int, int]], vocabulary: str, m
 
 def url_spans(text: str, base: list[tuple[int, int, int]], vocabulary: str, max_ratio: float) -> list[tuple[int, int, int]]:
     """The same for the userinfo, path, query and fragment of URLs."""
-    found = []
+    found, cover = [], Cover(base)
     for start, host, host_end, end in url_parts(text):
         for at, part in ((start, text[start:host]), (host_end, text[host_end:end])):
             for m in RUN.finditer(part):
-                for r in [m.span()] if not efficient(m.group(), vocabulary, max_ratio) else [x.span() for x in SEGMENT.finditer(part, *m.span()) if not efficient(x.group(), vocabulary, max_ratio)]:
-                    a, b = at + r[0], at + r[1]
-                    if not any(x <= a and b <= y for x, _, y in base):
-                        found.append((a, 3, b))
+                whole = not efficient(m.group(), vocabulary, max_ratio)
+                for a, b in [m.span()] if whole else [x.span() for x in SEGMENT.finditer(part, *m.span()) if not efficient(x.group(), vocabulary, max_ratio)]:
+                    if not cover.holds(at + a, at + b):
+                        found.append((at + a, 3, at + b))
     return found
 
 
