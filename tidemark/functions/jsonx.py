@@ -102,3 +102,13 @@ def fingerprint_of(subject: Column, identity: Column, category: Column | None =
 def fingerprint(subject: Column, identity: Column, category: Column | None = None) -> Column:
     """The fingerprint of an identity that is not normalised yet."""
     return fingerprint_of(subject, identity_json(identity), category)
+
+
+def pretty(value, encoding: str = "utf-8") -> str:
+    """Indented JSON whose characters the given encoding can hold; others are escaped."""
+    plain = json.dumps(value, ensure_ascii=False, indent=2)
+    try:
+        plain.encode(encoding)
+    except UnicodeEncodeError:
+        return json.dumps(value, ensure_ascii=True, indent=2)
+    return plain

@@ -166,3 +166,15 @@ def before_after(changes: dict[str, tuple[Column, Column]]) -> Column:
 def differing_fields(a: str, b: str, names: tuple[str, ...]) -> Column:
     """The names of the fields in which two structs differ."""
     return F.filter(F.array(*[F.when(~F.col(f"{a}.{n}").eqNullSafe(F.col(f"{b}.{n}")), n) for n in names]), lambda x: x.isNotNull())
+
+
+def pixel_rows(data: Column, stride: int, first: Column | int, rows: Column | int) -> Column:
+    """Whole rows of an uncompressed image."""
+    at = first if isinstance(first, Column) else F.lit(first)
+    n = rows if isinstance(rows, Column) else F.lit(rows)
+    return F.substring(data, at * stride + 1, n * stride)
+
+
+def utc_seconds(ts: Column) -> Column:
+    """An instant as UTC text to the second."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")

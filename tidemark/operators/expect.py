@@ -139,6 +139,13 @@ def schema_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, "column_name", "full").where("not a <=> b").select("column_name", what.alias("difference"), F.col("a.type").alias("left_type"), F.col("b.type").alias("right_type"))
 
 
+def same_sets(expected: DataFrame, actual: DataFrame, group: str, cols: list[str]) -> DataFrame:
+    """Per group, whether both sides hold the same set of rows, and how many rows only one side has."""
+    a, b = expected.select(group, *cols).distinct().withColumn("__a", F.lit(1)), actual.select(group, *cols).distinct().withColumn("__b", F.lit(1))
+    rows = a.join(b, [group, *cols], "full").groupBy(group).agg(F.count_if(F.col("__b").isNull()).alias("missing"), F.count_if(F.col("__a").isNull()).alias("unexpected"))
+    return rows.withColumn("same", (F.col("missing") == 0) & (F.col("unexpected") == 0))
+
+
 def manifest_compare(expected: DataFrame, actual: DataFrame, key: str, value: str) -> DataFrame:
     """Full outer comparison of two manifests."""
     a, b = expected.select(key, F.col(value).alias("a")), actual.select(key, F.col(value).alias("b"))

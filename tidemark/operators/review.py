@@ -131,8 +131,8 @@ def save_segments(q: DataFrame, assets: DataFrame, segments: DataFrame, payloads
     """Applies intervals to all questions of a shared recording, or to none of them.
 
     ``payloads``: subject_id, version, start_ms, end_ms, segment_status, source_sha256. A
-    changed interval counts the version up and drops the clip; an equal one changes
-    nothing. One payload a recording is expected at a time.
+    changed interval counts the version up, drops the clip and leaves a record of both
+    states; an equal one changes nothing. One payload a recording is expected at a time.
     """
     own = q.select("subject_id", "exam_id", F.col("number").alias("own_number"), "section")
     rows = payloads.select("subject_id", "version", "start_ms", "end_ms", F.col("segment_status").alias("new_status"), "source_sha256").join(own, "subject_id")
@@ -158,7 +158,11 @@ def save_segments(q: DataFrame, assets: DataFrame, segments: DataFrame, payloads
     saved = F.col("outcome") == "saved"
     pick = lambda new, old: F.when(saved, F.col(new)).otherwise(F.col(old))
     version = F.when(saved, F.coalesce(F.col("version") + 1, F.lit(1))).otherwise(F.col("version"))
-    return rows.select("payload_id", "subject_id", "outcome", "fault", pick("new_start", "start_ms").alias("start_ms"), pick("new_end", "end_ms").alias("end_ms"), pick("new_status", "segment_status").alias("segment_status"), version.alias("version"), F.when(~saved, F.col("clip")).alias("clip"))
+    state = lambda *names: F.struct(*[F.col(n).alias(a) for a, n in zip(("end_ms", "start_ms", "status"), names)])
+    before = F.when(F.col("version").isNotNull(), state("end_ms", "start_ms", "segment_status"))
+    record = to_json(F.struct(state("new_end", "new_start", "new_status").alias("after"), before.alias("before")))
+    rows = rows.withColumn("evidence", F.when(saved, record))
+    return rows.select("payload_id", "subject_id", "outcome", "fault", pick("new_start", "start_ms").alias("start_ms"), pick("new_end", "end_ms").alias("end_ms"), pick("new_status", "segment_status").alias("segment_status"), version.alias("version"), F.when(~saved, F.col("clip")).alias("clip"), "evidence")
 
 
 def clip_identity(segments: DataFrame) -> DataFrame:

@@ -7,11 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import sqltext
 from tidemark.functions import text as T
-from tidemark.operators import expect, mutate, report
+from tidemark.operators import expect, intervals, mutate, report
 from tidemark.plans import exam
 from tidemark.plans.audit_catalog import FINDINGS, LEVEL
 from tidemark.plans.registry import query, table
+from tidemark.sinks import files as sinks
+from tidemark.sources.files import scratch
 
 # --- parity and structure ----------------------------------------------------------------
 
@@ -212,3 +215,53 @@ def magic_bytes(spark, d):
     data = F.concat(F.unhex(F.when(k == 0, "89504E470D0A1A0A").when(k == 1, "255044462D").when(k == 2, "FFFB").otherwise("00")), body)
     rows = table(spark, d, "supplier").select("s_suppkey", data.alias("b"))
     return rows.select("s_suppkey", T.magic(F.col("b")).alias("kind"), F.coalesce(T.whole_pdf(F.col("b")), F.lit(False)).alias("whole"))
+
+
+@query("SELECT o_orderstatus, count(*) AS n, 'what?' AS question FROM orders WHERE o_totalprice > 100000 AND o_orderpriority <> '5-LOW' GROUP BY o_orderstatus")
+def bound_sql(spark, d):
+    """SQL with positional marks; one inside a string is none."""
+    text = "SELECT o_orderstatus, count(*) AS n, 'what?' AS question /* really? */ FROM {o} WHERE o_totalprice > ? AND o_orderpriority <> ? GROUP BY o_orderstatus -- done?"
+    return sqltext.run(spark, text, 100000, "5-LOW", o=table(spark, d, "orders"))
+
+
+@query("SELECT s_suppkey, s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 3 AS stable, (31 - CASE WHEN s_suppkey % 5 = 0 THEN 1 ELSE 0 END)::BIGINT AS pauses FROM supplier")
+def threshold_gate(spark, d):
+    """Pauses at four thresholds: 31 each and near the primary ones, or not."""
+    s = table(spark, d, "supplier").select("s_suppkey", F.explode(F.array(*[F.lit(t) for t in ("-30", "-35", "-40", "-50")])).alias("threshold"))
+    p = s.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(31)))).where("s_suppkey % 5 <> 0 or i <= 30")
+    late = F.when(F.expr("s_suppkey % 7 = 3 and threshold = '-50' and i = 9"), 121).otherwise(F.expr("cast(threshold as int) + 35"))
+    p = p.select("s_suppkey", "threshold", (F.col("i") * 30000 + late).cast("long").alias("start_ms"), (F.col("i") * 30000 + 9000).cast("long").alias("end_ms"))
+    return intervals.threshold_stability(p, "s_suppkey", "-35")
+
+
+@query("SELECT n_regionkey AS region, CASE WHEN n_regionkey = 2 THEN count(*) ELSE 0 END AS missing, CASE WHEN n_regionkey = 3 THEN 1 ELSE 0 END::BIGINT AS unexpected, n_regionkey NOT IN (2, 3) AS same FROM nation GROUP BY n_regionkey")
+def recorded_sets(spark, d):
+    """Recorded against expected pairs of name and hash for each region."""
+    n = table(spark, d, "nation").select(F.col("n_regionkey").alias("region"), F.col("n_name").alias("path"), F.sha2("n_name", 256).alias("sha"))
+    extra = n.where("region = 3").groupBy("region").agg(F.lit("more").alias("path"), F.lit("x").alias("sha"))
+    return expect.same_sets(n, n.where("region <> 2").unionByName(n.where("region = 1")).unionByName(extra), "region", ["path", "sha"])
+
+
+@query("SELECT l_orderkey, i::BIGINT AS i, parts[i] AS part, flags[i] AS flag FROM (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS parts, list(l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey)[1:2] AS flags FROM lineitem GROUP BY l_orderkey), LATERAL (SELECT unnest(range(1, len(parts) + 1)) AS i)")
+def parallel_unnest(spark, d):
+    """Two arrays unnested side by side; the shorter one is filled with nulls."""
+    row = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(row)).alias("a"))
+    both = F.arrays_zip(F.transform("a", lambda x: x["l_partkey"]).alias("part"), F.slice(F.transform("a", lambda x: x["l_returnflag"]), 1, 2).alias("flag"))
+    return rows.select("l_orderkey", F.posexplode(both).alias("i", "x")).select("l_orderkey", (F.col("i") + 1).cast("long").alias("i"), F.col("x.part").alias("part"), F.col("x.flag").alias("flag"))
+
+
+@query(r"SELECT page_id, sha256(substr(html, 21, 30)) AS rows FROM (SELECT page_id, left(regexp_replace(html, '[^\x20-\x7E]', '', 'g'), 200) AS html FROM pages)")
+def pixel_rows(spark, d):
+    """Three rows of ten bytes, from the third on."""
+    plain = F.substring(F.regexp_replace("html", r"[^\x20-\x7E]", ""), 1, 200)
+    return table(spark, d, "pages").select("page_id", F.sha2(T.pixel_rows(F.encode(plain, "UTF-8"), 10, 2, 3), 256).alias("rows"))
+
+
+@query("SELECT 2 AS run, count(*) AS n FROM orders")
+def summary_replaced(spark, d):
+    """A summary that was written twice; readers get the newest."""
+    root, o = scratch(spark, "summaries"), table(spark, d, "orders")
+    for run in (1, 2):
+        sinks.replace_summary(o.agg(F.lit(run).alias("run"), F.count(F.lit(1)).alias("n")), root, run)
+    return sinks.newest_summary(spark, root, "run int, n long")

@@ -111,7 +111,7 @@ sy AS (SELECT *, CASE WHEN fault IS NOT NULL THEN 'invalid' WHEN bool_or(coalesc
 """
 
 
-@query("SELECT payload_id, subject_id, outcome, fault, CASE WHEN outcome = 'saved' THEN s ELSE start_ms END AS start_ms, CASE WHEN outcome = 'saved' THEN e ELSE end_ms END AS end_ms, CASE WHEN outcome = 'saved' THEN st ELSE segment_status END AS segment_status, CASE WHEN outcome = 'saved' THEN coalesce(version + 1, 1) ELSE version END::BIGINT AS version, CASE WHEN outcome <> 'saved' THEN clip END AS clip FROM sy", SEGMENTS)
+@query("SELECT payload_id, subject_id, outcome, fault, CASE WHEN outcome = 'saved' THEN s ELSE start_ms END AS start_ms, CASE WHEN outcome = 'saved' THEN e ELSE end_ms END AS end_ms, CASE WHEN outcome = 'saved' THEN st ELSE segment_status END AS segment_status, CASE WHEN outcome = 'saved' THEN coalesce(version + 1, 1) ELSE version END::BIGINT AS version, CASE WHEN outcome <> 'saved' THEN clip END AS clip, CASE WHEN outcome = 'saved' THEN to_json({after: {end_ms: e, start_ms: s, status: st}, before: CASE WHEN version IS NOT NULL THEN {end_ms: end_ms, start_ms: start_ms, status: segment_status} END})::VARCHAR END AS evidence FROM sy", SEGMENTS)
 def segment_save(spark, d):
     """A payload for every stored segment, of eight kinds."""
     q = exam.questions(spark, d)

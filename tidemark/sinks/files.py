@@ -25,6 +25,17 @@ def write_summary(row: DataFrame, path: str) -> None:
     row.coalesce(1).write.mode("errorifexists").json(path, ignoreNullFields=False)
 
 
+def replace_summary(row: DataFrame, root: str, version: int) -> None:
+    """A new version of a summary; readers see the old one until the new one is whole, for a folder appears at once."""
+    write_summary(row, f"{root}/version={version:06d}")
+
+
+def newest_summary(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    rows = spark.read.schema(f"{schema}, version int").option("basePath", root).json(root)
+    newest = rows.agg(F.max("version").alias("version"))
+    return rows.join(F.broadcast(newest), "version").drop("version")
+
+
 def publish(df: DataFrame, path: str) -> str:
     """Writes a table unless the path is taken: ``published`` or ``exists``."""
     try:
