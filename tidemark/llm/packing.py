@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import Workspace, bucket_of, text_of, with_slots, words_of
+from tidemark.llm._common import Workspace, bucket_of, long_array, text_of, with_slots, words_of
 
 CELL_ROWS = 50_000
 
@@ -79,8 +79,10 @@ def pack(docs: DataFrame, buckets: int = 16, budget: int = 65_536, seed: int = 0
     bounds = best_bounds(histogram, buckets)
     parts = max(64, -(-sum(c for _, c in histogram) // CELL_ROWS))
     cell = F.shiftright("h", 64 - (parts - 1).bit_length())  # the sign stays, so cells keep the order of h
-    rows = rows.withColumn("bucket", bucket_of(F.col("n_tokens"), bounds).cast("int")).withColumn("cell", cell)
-    bound = F.get(F.lit(bounds or [0]).cast("array<bigint>") if len(bounds) > 1 else F.array(F.lit((bounds or [0])[0]).cast("long")), F.col("bucket"))
+    # written, for numbering reads it twice, and the optimizer may otherwise mix up the two copies of the search
+    rows = space.save(rows.withColumn("bucket", bucket_of(F.col("n_tokens"), bounds).cast("int")).withColumn("cell", cell), "placed")
+    space.drop("rows")
+    bound = F.get(long_array(bounds or [0]), F.col("bucket"))
     rows = with_slots(rows, ["bucket"], "cell", ["h", id_col], "slot").withColumn("bucket_len", bound)
     per_batch = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / F.greatest(F.col("bucket_len"), F.lit(1)))).cast("long")
     return rows.select(id_col, "n_tokens", "bucket", "bucket_len", F.floor(F.col("slot") / per_batch).cast("long").alias("batch"), "slot", (F.col("bucket_len") - F.col("n_tokens")).alias("padding"))
