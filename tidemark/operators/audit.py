@@ -62,6 +62,57 @@ def question_summary(scope: DataFrame, verdicts: DataFrame, occurrences: DataFra
     return rows.select("run_id", "subject_id", verdict.alias("verdict"), "total", *VERDICTS, disagreement.alias("disagreement"), "risk_score", risk_level(F.col("risk_score")).alias("risk_level"), F.coalesce("n_findings", F.lit(0).cast("long")).alias("n_findings"), "pass_total", F.col("total").alias("completed_passes"))
 
 
+def _items(passes: DataFrame, *keys: str) -> DataFrame:
+    """Per run and subject, its passes counted and the findings of them all in one list, which is as long as a subject has findings."""
+    item = F.transform("found", lambda x: F.struct(F.col("pass_number").alias("pass_number"), x["kind"].alias("kind"), x["score"].alias("score"), x["occ_id"].alias("occ_id")))
+    return passes.groupBy("run_id", "subject_id", *keys).agg(
+        F.count(F.lit(1)).alias("pass_total"), F.count("verdict").alias("total"), *[F.count_if(F.col("verdict") == v).alias(v) for v in VERDICTS], F.flatten(F.collect_list(item)).alias("items")
+    )
+
+
+def _per_finding(items: Column) -> Column:
+    """(kind, passes, worst score) of each finding of a list of items."""
+    kinds = F.array_distinct(F.transform(items, lambda x: x["kind"]))
+
+    def one(kind: Column) -> Column:
+        own = F.filter(items, lambda x: x["kind"] == kind)
+        return F.struct(kind.alias("kind"), F.size(F.array_distinct(F.transform(own, lambda x: x["pass_number"]))).alias("n"), F.array_max(F.transform(own, lambda x: x["score"])).alias("top"), F.array_min(F.transform(own, lambda x: x["occ_id"])).alias("occ_id"))
+
+    return F.transform(kinds, one)
+
+
+def consensus_of_passes(passes: DataFrame, fingerprint) -> DataFrame:
+    """``run_consensus`` in one grouping; ``passes`` as ``plans.adapter.passes`` gives them."""
+    rows = _items(passes).select("run_id", "subject_id", F.col("total").alias("eligible"), F.explode(_per_finding(F.col("items"))).alias("f"))
+    n, top = F.col("f.n").cast("long"), F.col("f.top")
+    score = F.least(F.lit(100), top + (n - 1) * 10)
+    return rows.select(
+        "run_id", "subject_id", fingerprint(F.col("subject_id"), F.col("f.kind")).alias("fingerprint"), F.concat(F.lit("kind-"), F.col("f.kind").cast("string")).alias("category"), n.alias("consensus_count"), "eligible",
+        F.bround(n / F.col("eligible"), 4).alias("ratio"), severity_name(top).alias("max_severity"), score.cast("long").alias("risk_score"), risk_level(score, False).alias("risk_level"),
+    )
+
+
+def summary_of_passes(passes: DataFrame) -> DataFrame:
+    """``question_summary`` in one grouping."""
+    rows = _items(passes).where("total > 0").withColumn("f", _per_finding(F.col("items")))
+    zero = F.lit(0)
+    best = lambda name: F.coalesce(F.array_max(F.transform("f", lambda x: x[name])), zero)
+    rows = rows.withColumns({"top": best("top"), "recurrence": best("n")})
+    disagreement = sum(((F.col(v) > 0).cast("int") for v in VERDICTS[1:]), (F.col(VERDICTS[0]) > 0).cast("int")) > 1
+    risk = F.col("top") + F.when(F.col("recurrence") > 1, F.least(F.lit(20), (F.col("recurrence") - 1) * 10)).otherwise(0) + F.when(disagreement, 15).otherwise(0) + F.least(F.lit(10), F.col("uncertain") * 5)
+    rows = rows.withColumn("risk_score", F.least(F.lit(100), risk).cast("long"))
+    verdict = F.when(F.col("finding") > 0, "finding").when(F.col("uncertain") > 0, "uncertain").otherwise("clear")
+    return rows.select("run_id", "subject_id", verdict.alias("verdict"), "total", *VERDICTS, disagreement.alias("disagreement"), "risk_score", risk_level(F.col("risk_score")).alias("risk_level"), F.size("f").cast("long").alias("n_findings"), "pass_total", F.col("total").alias("completed_passes"))
+
+
+def presence_of_passes(passes: DataFrame, fingerprint) -> DataFrame:
+    """``run_presence`` in one grouping."""
+    rows = passes.groupBy("run_id", "subject_id", "created_at").agg(F.count(F.lit(1)).alias("pass_total"), F.count("verdict").alias("n"), F.array_sort(F.collect_set("verdict")).alias("verdicts"), F.array_distinct(F.flatten(F.collect_list(F.transform("found", lambda x: x["kind"])))).alias("kinds"))
+    prints = F.array_sort(F.transform("kinds", lambda k: fingerprint(F.col("subject_id"), k)))
+    rows = rows.select("run_id", "subject_id", "created_at", "pass_total", "n", F.when(F.col("n") > 0, F.col("verdicts")).alias("verdicts"), prints.alias("fingerprints"), (F.col("n") == F.col("pass_total")).alias("complete"))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("subject_id").orderBy(F.desc("created_at"), F.desc("run_id"))))
+
+
 def latest_run_per_subject(rows: DataFrame) -> DataFrame:
     """The newest run of each subject; ties of created_at go to the greater run id."""
     return rows.groupBy("subject_id").agg(F.max(F.struct("created_at", "run_id")).alias("m")).select("subject_id", "m.created_at", "m.run_id")
@@ -120,10 +171,22 @@ def finding_history(presence: DataFrame, occurrences: DataFrame) -> DataFrame:
     A finding that is not reproduced is never called resolved. Runs are joined by subject,
     and only findings that came back look at the runs between.
     """
+    return finding_history_of(presence, occurrences.groupBy("subject_id", "fingerprint", "run_id").agg(F.count(F.lit(1)).alias("n")))
+
+
+def found_runs(passes: DataFrame, fingerprint) -> DataFrame:
+    """``subject_id, fingerprint, run_id, n``: in how many passes of each run a finding was."""
+    f = F.col("f")
+    rows = _items(passes).select("run_id", "subject_id", F.explode(_per_finding(F.col("items"))).alias("f"))
+    return rows.select("subject_id", fingerprint(F.col("subject_id"), f["kind"]).alias("fingerprint"), "run_id", f["n"].cast("long").alias("n"))
+
+
+def finding_history_of(presence: DataFrame, found: DataFrame) -> DataFrame:
+    """``finding_history`` of the counts of ``found_runs``."""
     keys = ["subject_id", "fingerprint"]
     done = Window.partitionBy("subject_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     runs = presence.select("subject_id", "run_id", "rank", "complete").withColumn("k", F.when(F.col("complete"), F.sum(F.col("complete").cast("int")).over(done)))
-    per_run = occurrences.groupBy(*keys, "run_id").agg(F.count(F.lit(1)).alias("n")).join(runs, ["subject_id", "run_id"])
+    per_run = found.join(runs, ["subject_id", "run_id"])
     seen = per_run.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("seen_run_count"), F.sum("n").alias("occurrence_count"), F.max_by("run_id", "rank").alias("first_seen_run_id"), F.min_by("run_id", "rank").alias("latest_seen_run_id"),
         F.count_if(F.col("k") == 1).alias("now"), F.min(F.when(F.col("k") > 1, F.col("k"))).alias("prev"),

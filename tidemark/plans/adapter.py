@@ -6,7 +6,7 @@ are subjects, return flags are verdicts, and returned lines are findings.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -45,10 +45,28 @@ def verdicts(ls: DataFrame) -> DataFrame:
 def occurrences(ls: DataFrame) -> DataFrame:
     """Findings of completed passes, one for a fingerprint and pass, with the worst severity."""
     score = F.when(F.col("cents") >= 9, 90).when(F.col("cents") >= 6, 65).when(F.col("cents") >= 3, 35).otherwise(15)
-    rows = ls.where("completed and flag = 'R'").withColumn("fingerprint", F.sha2(F.concat_ws(":", F.col("subject_id").cast("string"), F.col("kind").cast("string")), 256))
+    rows = ls.where("completed and flag = 'R'").withColumn("fingerprint", fingerprint(F.col("subject_id"), F.col("kind")))
     return rows.groupBy("run_id", "created_at", "pass_number", "subject_id", "fingerprint").agg(F.max(score).alias("score"), F.min("occ_id").alias("occ_id"), F.min(F.concat(F.lit("kind-"), F.col("kind").cast("string"))).alias("category"))
 
 
+def passes(ls: DataFrame) -> DataFrame:
+    """One row for a run, pass and subject: the verdict where the pass is done, and its returned lines.
+
+    The rows are dealt by run and subject once, and every report by run and subject groups
+    them where they are.
+    """
+    score = F.when(F.col("cents") >= 9, 90).when(F.col("cents") >= 6, 65).when(F.col("cents") >= 3, 35).otherwise(15)
+    rank = F.max(F.when(F.col("flag") == "R", 2).when(F.col("flag") == "A", 1).otherwise(0))
+    verdict = F.when(F.col("completed"), F.element_at(F.array(F.lit("clear"), F.lit("uncertain"), F.lit("finding")), rank + 1))
+    found = F.collect_list(F.when(F.expr("completed and flag = 'R'"), F.struct("kind", score.alias("score"), "occ_id")))
+    keys = ["run_id", "created_at", "pass_number", "subject_id", "completed"]
+    return ls.repartition("run_id", "subject_id").groupBy(*keys).agg(verdict.alias("verdict"), found.alias("found"))
+
+
+def fingerprint(subject: Column, kind: Column) -> Column:
+    return F.sha2(F.concat_ws(":", subject.cast("string"), kind.cast("string")), 256)
+
+
 #: The same relations for DuckDB; a query's SQL begins with this prefix.
 SQL = """
 WITH lines AS (
