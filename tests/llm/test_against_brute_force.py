@@ -124,6 +124,42 @@ def test_near_classes(spark):
     bagminhash.BLOCK = 256
 
 
+def test_links_of_a_large_near_group_grow_in_proportion(spark, monkeypatch):
+    """Texts around the threshold, in many blocks: the classes are exact, and links do not grow with the square."""
+    monkeypatch.setattr(bagminhash, "BLOCK", 16)
+    saved, save = {}, bagminhash.Workspace.save
+
+    def counted(self, df, label):
+        out = save(self, df, label)
+        if "links" in label:
+            saved[label] = out.count()
+        return out
+
+    monkeypatch.setattr(bagminhash.Workspace, "save", counted)
+    made = {}
+    for n in (80, 160):
+        rng = random.Random(23)
+        base = [f"w{i}" for i in range(120)]
+        texts = {}
+        for i in range(n):
+            w = list(base)
+            for _ in range(rng.randint(2, 4)):
+                w[rng.randrange(len(w))] = f"x{rng.randint(0, 10**6)}"
+            texts[i] = " ".join(w)
+        counts = {i: bagminhash.shingle_counts(t) for i, t in texts.items()}
+        root = {i: i for i in texts}
+        find = lambda x: x if root[x] == x else find(root[x])  # noqa: E731, B023
+        for a, b in itertools.combinations(texts, 2):
+            if bagminhash.similarity(counts[a], counts[b]) >= 0.8:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+        saved.clear()
+        got = bagminhash.near_duplicate_classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+        assert {r.doc_id: r.class_id for r in got.collect()} == {i: find(i) for i in texts}
+        made[n] = sum(v for k, v in saved.items() if not k.startswith("star"))
+    assert made[160] <= 3 * made[80] + 20, made
+
+
 def test_least_padding():
     rng = random.Random(1)
     for _ in range(80):

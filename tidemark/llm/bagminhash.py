@@ -4,8 +4,9 @@ A text is the multiset of its 5-word shingles; two texts are linked where the su
 the lesser counts is at least 0.8 of the sum of the greater. Signatures: the weight
 axis of a shingle is cut into the dyadic levels (0, 1], (1, 2], (2, 4], ... Each level
 that begins below the shingle's count carries a Poisson process with one point per
-unit of weight on average; a point of a level that reaches beyond the count is kept
-only if its weight lies below it, which splits the level further. Points arrive in
+unit of weight on average. The weight of a point is drawn bit by bit with its hash: the
+bits split the level's process into halves, quarters and so on, and of a level that
+reaches beyond the count the points in the parts below it are kept. Points arrive in
 order, each falls on one of the 64 components, and a component keeps its earliest
 point. Two texts agree in a component with the probability of their weighted Jaccard
 similarity. Points are made only up to a time by which all components are filled.
@@ -26,7 +27,9 @@ for each copy. Verification carries a centre's text once for each 256 members.
 
 Defined results: a null text counts as empty; texts without words are linked only
 to equal texts; a text of 1 to 4 words is one shingle; rows that share a doc_id are
-one document; a null doc_id takes the class of its text, or null.
+one document, whose class may come from any of their texts; a null doc_id takes the class
+of its text, or null; ties of ids cannot arise; the longest text is read whole; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations

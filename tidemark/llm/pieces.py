@@ -14,7 +14,8 @@ probabilities -ln(1 - r) - 6. The path can then differ from the one of the merge
 (the README has figures); the text that it decodes to is the same.
 
 Defined results: a null text counts as empty and has no pieces; every text is encoded
-whole, with one dummy prefix space as in the model; repeated rows get equal results.
+whole, with one dummy prefix space as in the model; repeated rows get equal results; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations

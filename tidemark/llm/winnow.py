@@ -19,7 +19,9 @@ it, so no window spans more than one range.
 Defined results: a null text counts as empty; a text of fewer than k tokens is one
 gram, a text without tokens but with other characters is one gram of the text, an
 empty text has none; two empty fingerprints have likeness 1, an empty and another
-one 0. Rows that share a doc_id follow each other by text; null doc_ids come last.
+one 0. The longest text is fingerprinted whole; an empty table gives an empty result.
+In the query rows that share a doc_id follow each other by text, null doc_ids come
+last, and rows of one doc_id, or of none, are ordered by one task.
 """
 
 from __future__ import annotations
