@@ -2,7 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's docs. All stages but the last return the
-columns of ``documents``; ``n_chars`` follows the text where a stage changes it.
+columns of ``documents``; ``n_chars`` follows the text where a stage changes it. Columns
+beside those of ``documents`` are left out.
+
+Defined results of the stages: a null or empty text has no words, so the quality rules
+reject it; repeated rows are judged alike and are near-duplicates of each other, so one
+stays; rows without a doc_id, or of one doc_id with different texts, are documents of their
+own up to packing; the substring stage takes no words from rows without a doc_id, nor
+between rows of one; an empty table gives an empty result at each stage.
 """
 
 from __future__ import annotations
