@@ -135,6 +135,16 @@ def pass_jaccard(verdicts: DataFrame, occurrences: DataFrame) -> DataFrame:
     sets = occurrences.groupBy("run_id", "subject_id", "pass_number").agg(F.collect_set("fingerprint").alias("f"))
     rows = verdicts.select("run_id", "subject_id", "pass_number").join(sets, ["run_id", "subject_id", "pass_number"], "left")
     rows = rows.withColumn("f", F.coalesce("f", F.array().cast("array<string>")))
+    return _overlap(rows)
+
+
+def jaccard_of_passes(passes: DataFrame) -> DataFrame:
+    """``pass_jaccard`` in one grouping; a subject's findings differ by their kind."""
+    return _overlap(passes.where("completed").withColumn("f", F.array_distinct(F.transform("found", lambda x: x["kind"]))))
+
+
+def _overlap(rows: DataFrame) -> DataFrame:
+    """``rows``: run_id, subject_id, pass_number and f, the findings of the pass."""
     runs = rows.groupBy("run_id", "subject_id").agg(F.sort_array(F.collect_list(F.struct("pass_number", "f"))).alias("p"))
     last, prev = F.element_at("p", -1)["f"], F.get(F.col("p"), F.size("p") - 2)["f"]
     earlier = F.flatten(F.transform(F.slice("p", 1, F.size("p") - 1), lambda x: x["f"]))

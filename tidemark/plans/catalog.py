@@ -102,8 +102,7 @@ c AS (SELECT run_id, subject_id, count(*) FILTER (a AND b) AS common, count(*) F
 SELECT run_id, subject_id, n AS completed_passes, coalesce(fresh, 0) AS new_findings_latest_pass, CASE WHEN n >= 2 THEN CASE WHEN coalesce(u, 0) > 0 THEN round_even(common / u, 4) ELSE 1.0::DOUBLE END END AS jaccard, n >= 2 AND coalesce(fresh, 0) = 0 AS converged
 FROM (SELECT DISTINCT run_id, subject_id, n FROM p) LEFT JOIN c USING (run_id, subject_id)""", True)
 def pass_jaccard(spark, d):
-    _, v, o = _relations(spark, d)
-    return audit.pass_jaccard(v, o)
+    return audit.jaccard_of_passes(_passes(spark, d))
 
 
 PRESENCE = """, pt AS (SELECT run_id, created_at, subject_id, count(*) AS total FROM scope GROUP BY ALL),
