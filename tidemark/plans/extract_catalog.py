@@ -68,14 +68,14 @@ def _downloads(spark, d):
     listed = links.inventory(p, "EXAM")
     name = F.concat_ws("/", F.format_string("%03d", "session"), "level", T.unique_filename("EXAM", F.col("session"), F.col("level"), F.col("section"), F.col("kind"), F.col("pos")))
     good = listed.where("status = 'indexed'").withColumn("name", name)
-    have = good.where("pos % 5 in (1, 2)").select(F.col("name").alias("file"), F.expr("pos % 5 = 1").alias("present_sound"))
+    have = good.where("pos % 5 in (1, 2)").select(F.col("name").alias("file"), F.expr("pos % 5 = 1").alias("present_sound"), F.sha2("name", 256).alias("present_sha256"))
     body = F.concat(F.lit("%PDF-1.4 "), "name", F.when(F.expr("pos % 7 = 3"), F.lit(" cut")).otherwise(F.lit(" %%EOF\n")))
     bodies = good.select(F.concat_ws(" ", "session", "url").alias("url"), F.encode(body, "UTF-8").alias("body"))
     keyed = listed.withColumn("url", F.when(F.col("status") == "indexed", F.concat_ws(" ", "session", "url")).otherwise(F.col("url")))
     return p, links.downloads(keyed, "EXAM", 200, have, bodies, T.whole_pdf)
 
 
-@query("""SELECT session, session || ' ' || url AS url, status, CASE WHEN status IN ('saved', 'already_present') THEN name ELSE '' END AS file, CASE WHEN status = 'saved' THEN sha256('%PDF-1.4 ' || name || ' %%EOF' || chr(10)) ELSE '' END AS sha256, CASE WHEN status <> 'file_error' THEN '' WHEN stale THEN 'existing file is not a PDF' ELSE 'response is not a whole PDF' END AS error FROM dl
+@query("""SELECT session, session || ' ' || url AS url, status, CASE WHEN status IN ('saved', 'already_present') THEN name ELSE '' END AS file, CASE WHEN status = 'saved' THEN sha256('%PDF-1.4 ' || name || ' %%EOF' || chr(10)) WHEN status = 'already_present' THEN sha256(name) ELSE '' END AS sha256, CASE WHEN status <> 'file_error' THEN '' WHEN stale THEN 'existing file is not a PDF' ELSE 'response is not a whole PDF' END AS error FROM dl
 UNION ALL SELECT page_id, '', 'page_error', '', '', 'no response' FROM big""", DOWNLOADS)
 def download_status(spark, d):
     return _downloads(spark, d)[1].select("session", "url", "status", "file", "sha256", "error")
