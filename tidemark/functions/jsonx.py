@@ -69,7 +69,7 @@ def _each(f):
             except ValueError:
                 return None
 
-        return values.map(one)
+        return pd.Series([one(x) for x in values], index=values.index, dtype=object)
 
     return apply
 
@@ -88,6 +88,16 @@ def finding_identity(col: Column) -> Column:
     return F.pandas_udf(_each(identity_of), "string")(col)
 
 
+def finding_identities(col: Column) -> Column:
+    """The canonical identities of an array of findings' JSON texts."""
+
+    def apply(values: pd.Series) -> pd.Series:
+        one = _each(identity_of)
+        return values.map(lambda xs: None if xs is None else one(pd.Series(list(xs), dtype=object)).tolist())
+
+    return F.pandas_udf(apply, "array<string>")(col)
+
+
 def json_string(col: Column) -> Column:
     """A JSON string literal."""
     return F.regexp_extract(F.to_json(F.array(col)), "(?s)^\\[(.*)\\]$", 1)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.jsonx import canonical_json, finding_identity, fingerprint_of
+from tidemark.functions.jsonx import canonical_json, finding_identities, fingerprint_of
 
 #: The fields of a result, of its verdicts and of its findings, and their enumerations.
 RESULT_FIELDS = ("completed_subject_ids", "contract_version", "findings", "input_sha256", "notes", "pass_id", "verdicts")
@@ -23,6 +23,16 @@ SEVERITIES = ("low", "medium", "high", "critical")
 LIMITS = {"subject_id": 80, "rationale": 4000, "category": 120, "summary": 2000, "detail": 8000, "note": 4000, "notes": 100}
 
 
+def _once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with columns that are computed once for a row.
+
+    The optimizer would write an expression out again wherever a later step or a pushed
+    filter uses it; it does not look through a generator, here of one element.
+    """
+    one = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.select("*", one.alias("__once")).select(*df.columns, "__once.*")
+
+
 def _names(*names: str) -> Column:
     return F.array(*[F.lit(n) for n in sorted(names)])
 
@@ -76,19 +86,24 @@ def _same_set(a: Column, b: Column) -> Column:
 
 
 def read_responses(responses: DataFrame, passes: DataFrame, complete: bool = True) -> DataFrame:
-    """Each response with its parts, the texts of its findings, and ``error``, the first fault or null."""
+    """Each response with its parts, the identities and fingerprints of its findings, and ``error``, the first fault or null.
+
+    Where ``passes`` have a column ``legacy``, its true rows have the older fingerprints,
+    which hold the category as well.
+    """
     # variants accept text after the value, which JSON does not
-    rows = responses.join(passes, "pass_id").withColumns({"v": F.try_parse_json("raw"), "canonical": canonical_json(F.col("raw"))})
+    rows = _once(responses.join(passes, "pass_id").withColumn("canonical", canonical_json(F.col("raw"))), {"v": F.try_parse_json("raw")})
     v = F.col("v")
     m = _map(v)
-    rows = rows.withColumns({
+    rows = _once(rows, {
         "keys": F.when(F.schema_of_variant(v).startswith("OBJECT"), F.array_sort(F.map_keys(m))),
         "said_contract": _string(m, "contract_version"), "said_pass": _string(m, "pass_id"), "said_input": _string(m, "input_sha256"),
         "completed": F.transform(_array(v, "completed_subject_ids"), lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))),
         "verdicts": F.transform(_array(v, "verdicts"), _verdict), "findings": F.transform(_array(v, "findings"), _finding),
         "notes": F.transform(_array(v, "notes"), lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))),
-        "finding_texts": F.from_json("raw", "findings array<string>")["findings"],
+        "texts": F.from_json("raw", "findings array<string>")["findings"],
     }).drop("v")
+    rows = rows.withColumn("identities", finding_identities(F.col("texts"))).drop("texts")
     c, vs, fs = F.col("completed"), F.col("verdicts"), F.col("findings")
     inside = lambda x: F.array_contains(F.col("subjects"), x["subject"])
     confidence = lambda x: x["confidence"].isNull() | (x["confidence"] < 0) | (x["confidence"] > 1)
@@ -125,37 +140,31 @@ def read_responses(responses: DataFrame, passes: DataFrame, complete: bool = Tru
         "notes": F.col("notes").isNull() | (F.size("notes") > LIMITS["notes"]) | F.exists("notes", lambda x: x.isNull() | (F.length(x) > LIMITS["note"])),
     }
     first = lambda found: F.coalesce(*[F.when(bad, code) for code, bad in found.items()])
-    return rows.withColumns({"early": first(checks), "late": first(later)})
-
-
-def found_occurrences(rows: DataFrame, legacy: Column | None = None) -> DataFrame:
-    """The findings of responses without an early fault, with identity and fingerprint."""
-    one = rows.where("early is null").select("pass_id", F.posexplode(F.arrays_zip("findings", "finding_texts")).alias("pos", "x"))
-    one = one.select("pass_id", "pos", "x.findings.*", F.col("x.finding_texts").alias("text")).drop("fields", "evidence")
-    one = one.withColumn("identity", finding_identity(F.col("text"))).drop("text")
-    new = fingerprint_of(F.col("subject"), F.col("identity"))
-    old = fingerprint_of(F.col("subject"), F.col("identity"), F.col("category"))
-    return one.withColumn("fingerprint", new if legacy is None else F.when(legacy, old).otherwise(new))
+    # the later checks read parts that the earlier ones have found sound
+    legacy = F.col("legacy") if "legacy" in rows.columns else F.lit(False)
+    one = lambda x: F.when(legacy, fingerprint_of(x["findings"]["subject"], x["identities"], x["findings"]["category"])).otherwise(fingerprint_of(x["findings"]["subject"], x["identities"]))
+    rows = _once(rows, {"early": first(checks)})
+    rows = _once(rows, {"fingerprints": F.when(F.col("early").isNull(), F.transform(F.arrays_zip("findings", "identities"), one))})
+    prints = F.col("fingerprints")
+    twice = {"finding_identity": F.exists(prints, lambda x: x.isNull()), "duplicate_fingerprint": F.size(F.array_distinct(prints)) < F.size(prints)}
+    return _once(rows, {"error": F.coalesce("early", first(twice | later))})
 
 
 def ingest(responses: DataFrame, passes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(verdicts, occurrences, attempts) of the responses; rows of faulty responses stay out of the first two."""
     rows = read_responses(responses, passes)
-    found = found_occurrences(rows)
-    worst = found.groupBy("pass_id").agg(F.count_if(F.col("identity").isNull()).alias("no_identity"), F.count_distinct("fingerprint").alias("kinds"), F.count("fingerprint").alias("n"))
-    rows = rows.join(worst, "pass_id", "left")
-    error = F.coalesce("early", F.when(F.col("no_identity") > 0, "finding_identity"), F.when(F.col("kinds") < F.col("n"), "duplicate_fingerprint"), "late")
-    rows = rows.withColumn("error", error)
     attempts = rows.select("pass_id", F.when(F.col("error").isNull(), "succeeded").otherwise("invalid").alias("status"), "error", F.sha2(F.coalesce("canonical", "raw"), 256).alias("response_sha256"))
     sound = rows.where("error is null")
     verdicts = sound.select("pass_id", F.explode("verdicts").alias("x"), "subjects").select("pass_id", F.col("x.subject").alias("subject"), "x.verdict", "x.confidence", "x.rationale", F.array_position("subjects", F.col("x.subject")).alias("position"))
-    return verdicts, found.join(sound.select("pass_id"), "pass_id", "left_semi"), attempts
+    found = sound.select("pass_id", F.explode(F.arrays_zip("findings", "identities", "fingerprints")).alias("x"))
+    parts = [F.col(f"x.findings.{c}").alias(c) for c in ("subject", "category", "severity", "summary", "detail")]
+    return verdicts, found.select("pass_id", *parts, F.col("x.identities").alias("identity"), F.col("x.fingerprints").alias("fingerprint")), attempts
 
 
-def normal_result(rows: DataFrame, found: DataFrame) -> DataFrame:
+def normal_result(rows: DataFrame) -> DataFrame:
     """Per sound response: completed ids and verdicts in the order of the pass, findings by that order and fingerprint."""
     at = lambda s: F.array_position(F.col("subjects"), s)
     verdicts = F.array_sort(F.transform("verdicts", lambda x: F.struct(at(x["subject"]).alias("at"), x["subject"].alias("subject"), x["verdict"].alias("verdict"))))
     done = F.filter("subjects", lambda s: F.array_contains("completed", s))
-    keys = found.join(rows.select("pass_id", "subjects"), "pass_id").groupBy("pass_id").agg(F.array_sort(F.collect_list(F.struct(at(F.col("subject")).alias("at"), "fingerprint"))).alias("f"))
-    return rows.where("early is null and late is null").join(keys, "pass_id", "left").select("pass_id", done.alias("completed"), F.transform(verdicts, lambda x: F.concat_ws("=", x["subject"], x["verdict"])).alias("verdicts"), F.coalesce(F.transform("f", lambda x: x["fingerprint"]), F.array().cast("array<string>")).alias("fingerprints"))
+    found = F.array_sort(F.transform(F.arrays_zip("findings", "fingerprints"), lambda x: F.struct(at(x["findings"]["subject"]).alias("at"), x["fingerprints"].alias("f"))))
+    return rows.where("error is null").select("pass_id", done.alias("completed"), F.transform(verdicts, lambda x: F.concat_ws("=", x["subject"], x["verdict"])).alias("verdicts"), F.transform(found, lambda x: x["f"]).alias("fingerprints"))

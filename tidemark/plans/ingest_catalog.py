@@ -210,10 +210,7 @@ LEFT JOIN (SELECT run_id, pass_number, string_agg(fp, ',' ORDER BY subject_id, f
 UNION ALL SELECT pass_id, completed, verdicts, '' FROM fe JOIN (SELECT run_id, pass_number, string_agg('q' || subject_id, ',' ORDER BY subject_id) AS completed, string_agg('q' || subject_id || '=' || CASE WHEN fault = 8 THEN 'clear' ELSE verdict END, ',' ORDER BY subject_id) AS verdicts FROM vd JOIN ft USING (run_id, pass_number) GROUP BY ALL) USING (run_id, pass_number) WHERE error IS NULL AND fault IN (7, 8)""", INGEST)
 def result_normal_form(spark, d):
     a = exam.audits(spark, d)
-    rows = ingest.read_responses(*responses(a, exam.occurrences(a)))
-    found = ingest.found_occurrences(rows)
-    twice = found.groupBy("pass_id", "fingerprint").count().where("count > 1").select("pass_id").distinct()
-    n = ingest.normal_result(rows.join(twice, "pass_id", "left_anti"), found)
+    n = ingest.normal_result(ingest.read_responses(*responses(a, exam.occurrences(a))))
     return n.select("pass_id", *[F.array_join(c, ",").alias(c) for c in ("completed", "verdicts", "fingerprints")])
 
 
