@@ -10,6 +10,7 @@ from tidemark.plans import exam, extract_catalog
 from tidemark.plans.registry import query, table
 from tidemark.sinks import files as sinks
 from tidemark.sources import files, links
+from tidemark.streaming import ingest as stream
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations")
 
@@ -188,3 +189,14 @@ def data_uri_images(spark, d):
     data, fault = T.data_uri(F.col("uri"))
     rows = table(spark, d, "customer").select("c_custkey", uri.alias("uri")).select("c_custkey", fault.alias("fault"), data.alias("data"))
     return rows.select("c_custkey", "fault", F.when(F.col("fault").isNull(), F.sha2("data", 256)).alias("sha256"), F.when(F.col("fault").isNull(), T.length_and_digest(F.col("data"))).alias("state"))
+
+
+@query("SELECT pass_id, result, count(*) AS n FROM (SELECT DISTINCT user_id AS pass_id, event_type AS result FROM events) GROUP BY ALL")
+def streamed_results(spark, d):
+    """Results that arrive as files of a stream, some of them again; each is kept once."""
+    root = files.scratch(spark, "stream")
+    rows = table(spark, d, "events").select(F.col("user_id").alias("pass_id"), F.col("event_type").alias("result"))
+    rows.write.json(f"{root}/in")
+    rows.where("result = 'error'").write.mode("append").json(f"{root}/in")
+    stream.append_once(stream.read_results(spark, f"{root}/in", rows.schema), f"{root}/out", f"{root}/state").awaitTermination()
+    return spark.read.parquet(f"{root}/out").groupBy("pass_id", "result").agg(F.count(F.lit(1)).alias("n"))
