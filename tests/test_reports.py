@@ -6,76 +6,77 @@ from pyspark.sql import functions as F
 from tidemark.operators import bundle, extract, report, review
 
 SCORE = {"low": 15, "medium": 35, "high": 65, "critical": 90}
-AUDITS = "exam_id long, run_id string, created_at string, pass_number int, subject_id long, completed boolean, verdict string"
-FOUND = "exam_id long, run_id string, created_at string, pass_number int, subject_id long, occ_id long, score int, fingerprint string, category string, summary string, auditor string"
+FOUND = "fingerprint string, score int, occ_id long, category string, summary string, auditor string"
+AUDITS = f"exam_id long, run_id string, created_at string, pass_number int, subject_id long, completed boolean, verdict string, found array<struct<{FOUND.replace(' ', ':').replace(',:', ',')}>>"
 
 
 @pytest.fixture
-def relations(spark):
+def audits(spark):
     def make(runs):
         """runs: [(run, created, [{subject: verdict, or None while open, or (verdict, {fingerprint: severity})}])]."""
-        audits, found = [], []
+        rows, i = [], 0
         for run, created, passes in runs:
             for n, subjects in enumerate(passes, 1):
                 for s, v in subjects.items():
                     verdict, fps = v if isinstance(v, tuple) else (v, {})
-                    audits.append((1, run, created, n, s, verdict is not None, verdict))
+                    found = []
                     for fp, severity in fps.items():
-                        i = len(found)
-                        found.append((1, run, created, n, s, i, SCORE[severity], fp, f"c{i}", f"s{i}", f"auditor-{n}"))
-        return spark.createDataFrame(audits, AUDITS), spark.createDataFrame(found, FOUND)
+                        found.append((fp, SCORE[severity], i, f"c{i}", f"s{i}", f"auditor-{n}"))
+                        i += 1
+                    rows.append((1, run, created, n, s, verdict is not None, verdict, found))
+        return spark.createDataFrame(rows, AUDITS)
 
     return make
 
 
-def test_consensus_takes_the_last_summary_and_the_worst_severity(relations):
-    a, o = relations([("r", "1", [{1: "clear", 2: ("finding", {"A": "high"})}, {1: "uncertain"}, {1: "clear", 2: ("finding", {"A": "medium", "B": "low"})}])])
-    c = {r.fingerprint: r for r in report.consensus_findings(a, o).collect()}
+def test_consensus_takes_the_last_summary_and_the_worst_severity(audits):
+    a = audits([("r", "1", [{1: "clear", 2: ("finding", {"A": "high"})}, {1: "uncertain"}, {1: "clear", 2: ("finding", {"A": "medium", "B": "low"})}])])
+    c = {r.fingerprint: r for r in report.consensus_findings(a).collect()}
     assert (c["A"].consensus_count, c["A"].eligible, c["A"].ratio, c["A"].max_severity, c["A"].risk_score, c["A"].category, c["A"].last_summary) == (2, 2, 1.0, "high", 75, "c0", "s1")
     assert (c["B"].consensus_count, c["B"].ratio) == (1, 0.5) and c["A"].auditors == ["auditor-1", "auditor-3"]
-    s = {r.subject_id: r for r in report.summaries(a, o).collect()}
+    s = {r.subject_id: r for r in report.summaries(a).collect()}
     assert (s[1].clear, s[1].uncertain, s[1].disagreement, s[1].risk_score) == (2, 1, True, 20) and (s[2].pass_total, s[2].risk_score) == (2, 75)
 
 
-def test_scope_mismatch_does_not_converge(spark, relations):
-    a, o = relations([("r", "1", [{1: "clear", 2: "clear"}, {1: "clear"}])])
+def test_scope_mismatch_does_not_converge(spark, audits):
+    a = audits([("r", "1", [{1: "clear", 2: "clear"}, {1: "clear"}])])
     order = spark.createDataFrame([(1, 1), (2, 2)], "subject_id long, number int")
-    (run,) = report.run_report(a, o, order).collect()
+    (run,) = report.run_report(a, order).collect()
     assert (run.scope_match, run.converged, run.jaccard, run.findings, run.risk_level) == (False, False, 1.0, 0, "none")
-    assert {r.subject_id: r.converged for r in report.subject_convergence(a, o).collect()} == {1: True, 2: False}
+    assert {r.subject_id: r.converged for r in report.subject_convergence(a).collect()} == {1: True, 2: False}
 
 
-def test_scopes_are_compared_in_order(spark, relations):
-    a, o = relations([("r", "1", [{1: "clear", 2: "clear"}, {2: "clear", 1: "clear"}])])
+def test_scopes_are_compared_in_order(spark, audits):
+    a = audits([("r", "1", [{1: "clear", 2: "clear"}, {2: "clear", 1: "clear"}])])
     order = spark.createDataFrame([(1, 2), (2, 1)], "subject_id long, number int")
-    (run,) = report.run_report(a, o, order).collect()
+    (run,) = report.run_report(a, order).collect()
     assert run.scope_match and run.converged
 
 
-def test_history_of_a_subject(relations):
-    a, o = relations([("a", "1", [{1: "clear", 2: ("finding", {"F": "low"})}, {2: "clear"}]), ("b", "2", [{2: "clear"}]), ("c", "3", [{1: "clear"}])])
-    h = {r.subject_id: r for r in report.subject_history(a, o).collect()}
+def test_history_of_a_subject(audits):
+    a = audits([("a", "1", [{1: "clear", 2: ("finding", {"F": "low"})}, {2: "clear"}]), ("b", "2", [{2: "clear"}]), ("c", "3", [{1: "clear"}])])
+    h = {r.subject_id: r for r in report.subject_history(a).collect()}
     assert (h[2].run_count, h[2].audit_count, h[2].clear, h[2].finding, h[2].disagreement_run_count, h[2].latest_run_finding_count) == (2, 3, 2, 1, 1, 0)
-    (f,) = report.finding_history(a, o).collect()
+    (f,) = report.finding_history(a).collect()
     assert f.latest_state == "not_reproduced_in_latest_run"
 
 
-def test_incomplete_newest_run(relations):
-    a, o = relations([("a", "1", [{2: ("finding", {"F": "low"})}]), ("b", "2", [{2: ("finding", {"F": "low"})}, {2: ("finding", {"F": "high"})}]), ("c", "3", [{2: "clear"}, {2: None}])])
-    (f,) = report.finding_history(a, o).collect()
+def test_incomplete_newest_run(audits):
+    a = audits([("a", "1", [{2: ("finding", {"F": "low"})}]), ("b", "2", [{2: ("finding", {"F": "low"})}, {2: ("finding", {"F": "high"})}]), ("c", "3", [{2: "clear"}, {2: None}])])
+    (f,) = report.finding_history(a).collect()
     assert (f.latest_state, f.first_seen_run_id, f.latest_seen_run_id, f.seen_run_count, f.occurrence_count) == ("latest_run_incomplete", "a", "b", 2, 3)
-    (h,) = report.subject_history(a, o).collect()
+    (h,) = report.subject_history(a).collect()
     assert h.latest_run_finding_count is None and not h.latest_run_complete and h.latest_completed_run_id == "b"
 
 
-def test_reappearance(relations):
-    a, o = relations([("a", "1", [{2: ("finding", {"F": "low"})}]), ("b", "2", [{2: "clear"}]), ("c", "3", [{2: ("finding", {"F": "low"})}])])
-    (f,) = report.finding_history(a, o).collect()
+def test_reappearance(audits):
+    a = audits([("a", "1", [{2: ("finding", {"F": "low"})}]), ("b", "2", [{2: "clear"}]), ("c", "3", [{2: ("finding", {"F": "low"})}])])
+    (f,) = report.finding_history(a).collect()
     assert (f.latest_state, f.intervening_runs, f.seen_run_count, f.occurrence_count) == ("reappeared_in_latest_run", "b", 2, 2)
 
 
-def test_pass_status(spark, relations):
-    a, _ = relations([("r", "1", [{1: "clear", 2: "clear"}, {1: None, 2: None}, {1: None}])])
+def test_pass_status(spark, audits):
+    a = audits([("r", "1", [{1: "clear", 2: "clear"}, {1: None, 2: None}, {1: None}])])
     saved = spark.createDataFrame([("r", 2, 1, [1]), ("r", 2, 2, [1, 2])], "run_id string, pass_number int, sequence int, completed array<long>")
     tried = spark.createDataFrame([("r", 2, 1, "timed_out"), ("r", 2, 2, "failed")], "run_id string, pass_number int, attempt_number int, status string")
     p = {r.pass_number: r for r in report.pass_status(a, saved, tried).collect()}

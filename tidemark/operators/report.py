@@ -1,8 +1,10 @@
 """Whole audit reports: consensus, convergence, summaries, history and status.
 
-Inputs are the relations of ``plans.exam``: ``audits`` (one row for a run, pass and
-subject of its scope), and ``verdicts`` and ``occurrences`` made from it. Every report is
-one plan over all runs and subjects.
+The input is one relation, ``audits``: a row for a run, pass and subject of its scope, with
+exam_id, run_id, created_at, pass_number, subject_id, completed, verdict (null while the
+pass is open) and found, an array of (fingerprint, score, occ_id, category, summary,
+auditor). Every report is one plan over all runs and subjects, and what belongs to one
+subject of a run is worked out in one grouping.
 """
 
 from __future__ import annotations
@@ -20,12 +22,10 @@ def _zero(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(0).cast("long"))
 
 
-def entries(a: DataFrame, o: DataFrame) -> DataFrame:
+def entries(a: DataFrame) -> DataFrame:
     """One entry for each done pass with a verdict on the subject, with its findings in order."""
-    found = o.groupBy("run_id", "pass_number", "subject_id").agg(F.array_sort(F.collect_set("fingerprint")).alias("fingerprints"))
-    rows = a.where("completed").select("run_id", "pass_number", "subject_id", "created_at", "verdict")
-    rows = rows.join(found, ["run_id", "pass_number", "subject_id"], "left")
-    return rows.withColumn("fingerprints", F.coalesce("fingerprints", F.array().cast("array<string>")))
+    prints = F.array_sort(F.transform("found", lambda x: x["fingerprint"]))
+    return a.where("completed").select("run_id", "pass_number", "subject_id", "created_at", "verdict", prints.alias("fingerprints"))
 
 
 def execution_counts(a: DataFrame) -> DataFrame:
@@ -33,42 +33,50 @@ def execution_counts(a: DataFrame) -> DataFrame:
     return a.groupBy(*RUN, "subject_id").agg(F.count(F.lit(1)).alias("pass_total"), F.count_if("completed").alias("completed_passes"))
 
 
-def findings(o: DataFrame) -> DataFrame:
-    """Per run, subject and fingerprint: the worst severity, and summary and auditors up to the last occurrence."""
-    order = F.array_sort(F.collect_list(F.struct("occ_id", "summary")))
-    rows = o.groupBy(*RUN, "subject_id", "fingerprint").agg(
-        F.count_distinct("pass_number").alias("consensus_count"), F.count(F.lit(1)).alias("n_occurrences"), F.max("score").alias("top"),
-        F.min_by("category", "occ_id").alias("category"), F.max_by("summary", "occ_id").alias("last_summary"), order.alias("s"), F.array_sort(F.collect_set("auditor")).alias("auditors"),
+def _findings(items: Column) -> Column:
+    """The findings of a list of occurrences: the worst severity, and summaries and auditors up to the last."""
+
+    def one(fingerprint: Column) -> Column:
+        own = F.array_sort(F.transform(F.filter(items, lambda x: x["fingerprint"] == fingerprint), lambda x: F.struct(x["occ_id"].alias("occ_id"), x["category"].alias("category"), x["summary"].alias("summary"), x["auditor"].alias("auditor"), x["score"].alias("score"))))
+        summaries = F.transform(own, lambda x: x["summary"])
+        return F.struct(
+            fingerprint.alias("fingerprint"), F.size(own).cast("long").alias("n_occurrences"), F.array_max(F.transform(own, lambda x: x["score"])).alias("top"), F.element_at(own, 1)["category"].alias("category"),
+            F.element_at(summaries, -1).alias("last_summary"), summaries.alias("summaries"), F.array_sort(F.array_distinct(F.transform(own, lambda x: x["auditor"]))).alias("auditors"),
+        )
+
+    return F.transform(F.array_sort(F.array_distinct(F.transform(items, lambda x: x["fingerprint"]))), one)
+
+
+def by_subject(a: DataFrame) -> DataFrame:
+    """Per run and subject: its passes and verdicts counted, ``findings``, and ``passes``, the fingerprints of each done pass in order."""
+    done = F.struct("pass_number", F.transform("found", lambda x: x["fingerprint"]).alias("f"))
+    rows = a.groupBy(*RUN, "created_at", "subject_id").agg(
+        F.count(F.lit(1)).alias("pass_total"), F.count("verdict").alias("total"), *[F.count_if(F.col("verdict") == v).alias(v) for v in VERDICTS],
+        F.flatten(F.collect_list("found")).alias("items"), F.sort_array(F.collect_list(F.when(F.col("completed"), done))).alias("passes"),
     )
-    return rows.withColumns({"summaries": F.transform("s", lambda x: x["summary"]), "max_severity": severity_name(F.col("top"))}).drop("s")
+    return rows.withColumn("findings", _findings(F.col("items"))).drop("items")
 
 
-def consensus_findings(a: DataFrame, o: DataFrame) -> DataFrame:
-    """Findings of each run with agreement among the done passes that judged their subject."""
-    rows = findings(o).join(execution_counts(a).select("run_id", "subject_id", "completed_passes"), ["run_id", "subject_id"], "left")
-    eligible = F.coalesce("completed_passes", F.lit(0).cast("long"))
+def consensus_findings(a: DataFrame) -> DataFrame:
+    """Findings of each run with agreement among the done passes that judged their subject; a pass has a finding once."""
+    rows = by_subject(a).select(*RUN, "subject_id", F.col("total").alias("eligible"), F.explode("findings").alias("f")).select(*RUN, "subject_id", "eligible", "f.*")
     score = F.least(F.lit(100), F.col("top") + (F.col("n_occurrences") - 1) * 10).cast("long")
-    rows = rows.withColumns({"eligible": eligible, "risk_score": score})
-    ratio = F.when(F.col("eligible") > 0, F.bround(F.col("consensus_count") / F.col("eligible"), 4)).otherwise(0.0)
-    return rows.withColumns({"ratio": ratio, "risk_level": risk_level(F.col("risk_score"), False)}).drop("completed_passes", "top")
+    ratio = F.when(F.col("eligible") > 0, F.bround(F.col("n_occurrences") / F.col("eligible"), 4)).otherwise(0.0)
+    return rows.withColumns({"consensus_count": F.col("n_occurrences"), "max_severity": severity_name(F.col("top")), "risk_score": score, "ratio": ratio, "risk_level": risk_level(score, False)}).drop("top")
 
 
-def run_convergence(a: DataFrame, o: DataFrame, order: DataFrame) -> DataFrame:
+def run_convergence(a: DataFrame, order: DataFrame) -> DataFrame:
     """Per run: novelty of the last done pass, its overlap with the one before, and whether their scopes agree.
 
-    ``order`` (subject_id, number) gives scopes their order, which counts.
+    ``order`` (subject_id, number) gives scopes their order, which counts. A fingerprint
+    belongs to one subject, so what is new is told subject by subject.
     """
-    scopes = a.where("completed").join(order, "subject_id").groupBy(*RUN, "pass_number").agg(F.array_sort(F.collect_list(F.struct("number", "subject_id"))).alias("scope"))
-    first = Window.partitionBy("run_id", "fingerprint")
-    new = o.withColumn("new", F.min("pass_number").over(first) == F.col("pass_number"))
-    sets = new.groupBy("run_id", "pass_number").agg(F.collect_set("fingerprint").alias("f"), F.count_distinct(F.when(F.col("new"), F.col("fingerprint"))).alias("n_new"))
-    rows = scopes.join(sets, ["run_id", "pass_number"], "left")
-    rows = rows.withColumns({"f": F.coalesce("f", F.array().cast("array<string>")), "n_new": _zero("n_new")})
-    last = Window.partitionBy("run_id").orderBy(F.desc("pass_number"))
-    two = rows.withColumn("k", F.row_number().over(last)).groupBy(*RUN).agg(
-        F.count(F.lit(1)).alias("completed_passes"),
-        *[F.max(F.when(F.col("k") == k, F.struct("scope", "f", "n_new"))).alias(f"p{k}") for k in (1, 2)],
-    )
+    before = lambda i: F.flatten(F.transform(F.slice("passes", F.lit(1), i), lambda x: x["f"]))
+    each = F.transform("passes", lambda x, i: F.struct(x["pass_number"].alias("pass_number"), x["f"].alias("f"), F.size(F.array_except(x["f"], before(i))).alias("n_new")))
+    rows = by_subject(a).select(*RUN, "subject_id", F.explode(each).alias("p")).join(order, "subject_id")
+    rows = rows.groupBy(*RUN, "p.pass_number").agg(F.array_sort(F.collect_list(F.struct("number", "subject_id"))).alias("scope"), F.flatten(F.collect_list("p.f")).alias("f"), F.sum("p.n_new").alias("n_new"))
+    two = rows.groupBy(*RUN).agg(F.sort_array(F.collect_list(F.struct("pass_number", "scope", "f", "n_new")), False).alias("p"))
+    two = two.select(*RUN, F.size("p").cast("long").alias("completed_passes"), F.get("p", F.lit(0)).alias("p1"), F.get("p", F.lit(1)).alias("p2"))
     both = F.col("completed_passes") >= 2
     union = F.size(F.array_union("p1.f", "p2.f"))
     jaccard = F.when(both, F.when(union > 0, F.bround(F.size(F.array_intersect("p1.f", "p2.f")) / union, 4)).otherwise(1.0))
@@ -76,38 +84,35 @@ def run_convergence(a: DataFrame, o: DataFrame, order: DataFrame) -> DataFrame:
     return two.select(*RUN, "completed_passes", F.col("p1.n_new").alias("new_findings_latest_pass"), jaccard.alias("jaccard"), match.alias("scope_match"), (both & F.coalesce(match, F.lit(False)) & (F.col("p1.n_new") == 0)).alias("converged"))
 
 
-def run_report(a: DataFrame, o: DataFrame, order: DataFrame) -> DataFrame:
+def run_report(a: DataFrame, order: DataFrame) -> DataFrame:
     """One row for each run with a done pass: findings, risk and convergence."""
-    found = consensus_findings(a, o).groupBy("run_id").agg(F.count(F.lit(1)).alias("findings"), F.max("risk_score").alias("risk_score"))
-    rows = run_convergence(a, o, order).join(found, "run_id", "left")
+    found = consensus_findings(a).groupBy("run_id").agg(F.count(F.lit(1)).alias("findings"), F.max("risk_score").alias("risk_score"))
+    rows = run_convergence(a, order).join(found, "run_id", "left")
     rows = rows.withColumns({"findings": _zero("findings"), "risk_score": _zero("risk_score")})
     return rows.withColumn("risk_level", risk_level(F.col("risk_score")))
 
 
-def subject_convergence(a: DataFrame, o: DataFrame) -> DataFrame:
-    """The same for each subject of a run, whose scope is the subject itself."""
-    rows = entries(a, o).groupBy("run_id", "subject_id").agg(F.sort_array(F.collect_list(F.struct("pass_number", "fingerprints"))).alias("p"))
-    last = F.element_at("p", -1)["fingerprints"]
-    earlier = F.flatten(F.transform(F.slice("p", 1, F.size("p") - 1), lambda x: x["fingerprints"]))
-    return rows.select("run_id", "subject_id", ((F.size("p") >= 2) & (F.size(F.array_except(last, earlier)) == 0)).alias("converged"))
+def _converged() -> Column:
+    """Whether a subject's last done pass brought nothing new; its scope in a run is the subject itself."""
+    earlier = F.flatten(F.transform(F.slice("passes", F.lit(1), F.greatest(F.size("passes") - 1, F.lit(0))), lambda x: x["f"]))
+    return (F.size("passes") >= 2) & (F.size(F.array_except(F.try_element_at("passes", F.lit(-1))["f"], earlier)) == 0)
 
 
-def summaries(a: DataFrame, o: DataFrame) -> DataFrame:
+def subject_convergence(a: DataFrame) -> DataFrame:
+    return by_subject(a).where("total > 0").select("run_id", "subject_id", _converged().alias("converged"))
+
+
+def summaries(a: DataFrame) -> DataFrame:
     """Per run and subject with a verdict: totals, risk, execution, findings and convergence."""
-    totals = a.groupBy(*RUN, "created_at", "subject_id").agg(
-        F.count("verdict").alias("total"), *[F.count_if(F.col("verdict") == v).alias(v) for v in VERDICTS], F.count_distinct("verdict").alias("kinds"), F.count(F.lit(1)).alias("pass_total"),
-    ).where("total > 0")
-    per = findings(o).groupBy("run_id", "subject_id").agg(
-        F.max("top").alias("top"), F.max("n_occurrences").alias("recurrence"), F.count(F.lit(1)).alias("n_findings"),
-        F.array_sort(F.collect_list(F.struct("fingerprint", "n_occurrences", "max_severity", "last_summary", "auditors"))).alias("findings"),
-    )
-    rows = totals.join(per, ["run_id", "subject_id"], "left").join(subject_convergence(a, o), ["run_id", "subject_id"], "left")
-    again = F.coalesce("recurrence", F.lit(0))
-    disagreement = F.col("kinds") > 1
-    risk = F.coalesce("top", F.lit(0)) + F.when(again > 1, F.least(F.lit(20), (again - 1) * 10)).otherwise(0) + F.when(disagreement, 15).otherwise(0) + F.least(F.lit(10), F.col("uncertain") * 5)
-    rows = rows.withColumns({"risk_score": F.least(F.lit(100), risk).cast("long"), "disagreement": disagreement, "n_findings": _zero("n_findings")})
+    rows = by_subject(a).where("total > 0")
+    best = lambda name: F.coalesce(F.array_max(F.transform("findings", lambda x: x[name])), F.lit(0))
+    kinds = sum(((F.col(v) > 0).cast("int") for v in VERDICTS[1:]), (F.col(VERDICTS[0]) > 0).cast("int"))
+    rows = rows.withColumns({"top": best("top"), "again": best("n_occurrences"), "disagreement": kinds > 1, "converged": _converged(), "n_findings": F.size("findings").cast("long")})
+    risk = F.col("top") + F.when(F.col("again") > 1, F.least(F.lit(20), (F.col("again") - 1) * 10)).otherwise(0) + F.when(F.col("disagreement"), 15).otherwise(0) + F.least(F.lit(10), F.col("uncertain") * 5)
+    rows = rows.withColumn("risk_score", F.least(F.lit(100), risk).cast("long"))
     verdict = F.when(F.col("finding") > 0, "finding").when(F.col("uncertain") > 0, "uncertain").otherwise("clear")
-    return rows.withColumns({"verdict": verdict, "risk_level": risk_level(F.col("risk_score")), "completed_passes": F.col("total")}).drop("kinds", "top", "recurrence")
+    named = F.transform("findings", lambda x: x.withField("max_severity", severity_name(x["top"])))
+    return rows.withColumns({"verdict": verdict, "risk_level": risk_level(F.col("risk_score")), "completed_passes": F.col("total"), "findings": named}).drop("top", "again", "passes")
 
 
 def latest_run(rows: DataFrame) -> DataFrame:
@@ -115,14 +120,15 @@ def latest_run(rows: DataFrame) -> DataFrame:
     return rows.groupBy("subject_id").agg(F.max(F.struct("created_at", "run_id")).alias("m")).select("subject_id", F.col("m.run_id").alias("run_id"))
 
 
-def newest_summaries(a: DataFrame, o: DataFrame) -> DataFrame:
+def newest_summaries(a: DataFrame) -> DataFrame:
     """The summary of each subject in its newest run that has a verdict on it."""
-    return summaries(a, o).join(latest_run(a.where("completed")), ["subject_id", "run_id"], "left_semi")
+    newest = F.row_number().over(Window.partitionBy("subject_id").orderBy(F.desc("created_at"), F.desc("run_id")))
+    return summaries(a).withColumn("__k", newest).where("__k = 1").drop("__k")
 
 
-def all_questions(a: DataFrame, o: DataFrame) -> DataFrame:
+def all_questions(a: DataFrame) -> DataFrame:
     """Per exam, the newest summary of each question rolled up."""
-    rows = newest_summaries(a, o)
+    rows = newest_summaries(a)
     passes = a.where("completed").join(rows.select("run_id", "subject_id"), ["run_id", "subject_id"], "left_semi").groupBy("exam_id").agg(F.count_distinct("run_id", "pass_number").alias("entries"))
     out = rows.groupBy("exam_id").agg(
         F.count(F.lit(1)).alias("questions"), *[F.count_if(F.col("verdict") == v).alias(v) for v in VERDICTS], F.sum("total").alias("total_pass_observations"), F.count_if("disagreement").alias("disagreement"),
@@ -132,41 +138,39 @@ def all_questions(a: DataFrame, o: DataFrame) -> DataFrame:
     return out.withColumn("not_converged_questions", F.col("questions") - F.col("converged_questions"))
 
 
-def audit_status(a: DataFrame, o: DataFrame) -> DataFrame:
-    """Per run: audited questions, risk histogram and convergence."""
-    rows = summaries(a, o)
-    unique = o.groupBy("run_id").agg(F.count_distinct("fingerprint").alias("unique_unresolved_findings"))
-    out = rows.groupBy("run_id").agg(
+def audit_status(a: DataFrame) -> DataFrame:
+    """Per run: audited questions, risk histogram and convergence. A fingerprint belongs to one subject."""
+    return summaries(a).groupBy("run_id").agg(
         F.count(F.lit(1)).alias("audited_questions"), F.sum("total").alias("total_pass_observations"), F.count_if("disagreement").alias("questions_with_disagreement"),
         *[F.count_if(F.col("risk_level") == level).alias(f"risk_{level}") for level in ("none", "low", "medium", "high", "critical")],
-        F.count_if("converged").alias("converged"), F.count_if(~F.col("converged")).alias("not_converged"),
+        F.count_if("converged").alias("converged"), F.count_if(~F.col("converged")).alias("not_converged"), F.sum("n_findings").alias("unique_unresolved_findings"),
     )
-    return out.join(unique, "run_id", "left").withColumn("unique_unresolved_findings", _zero("unique_unresolved_findings"))
 
 
 def ranked_runs(a: DataFrame) -> DataFrame:
     """Per subject and run in scope: newest first, whether all passes are done, and the rank among such runs."""
     runs = a.groupBy("run_id", "created_at", "subject_id").agg(
-        F.count(F.lit(1)).alias("pass_total"), F.count_if("completed").alias("done"), *[F.count_if(F.col("verdict") == v).alias(v) for v in VERDICTS], F.count_distinct("verdict").alias("kinds")
-    )
+        F.count(F.lit(1)).alias("pass_total"), F.count_if("completed").alias("done"), *[F.count_if(F.col("verdict") == v).alias(v) for v in VERDICTS],
+        F.size(F.collect_set("verdict")).alias("kinds"), F.array_sort(F.flatten(F.collect_list(F.transform("found", lambda x: x["fingerprint"])))).alias("prints"),
+    )
     order = Window.partitionBy("subject_id").orderBy(F.desc("created_at"), F.desc("run_id"))
     rows = runs.withColumns({"rank": F.row_number().over(order), "complete": F.col("done") == F.col("pass_total")})
     k = F.sum(F.col("complete").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("k", F.when(F.col("complete"), k))
 
 
-def subject_history(a: DataFrame, o: DataFrame) -> DataFrame:
+def subject_history(a: DataFrame) -> DataFrame:
     """Per subject: runs, cumulative verdicts and the newest run; its findings are null while it is incomplete."""
-    rows = ranked_runs(a).join(o.groupBy("run_id", "subject_id").agg(F.count_distinct("fingerprint").alias("n")), ["run_id", "subject_id"], "left")
     newest = F.col("rank") == 1
-    return rows.groupBy("subject_id").agg(
+    n = F.size(F.array_distinct("prints")).cast("long")
+    return ranked_runs(a).groupBy("subject_id").agg(
         F.count(F.lit(1)).alias("run_count"), F.sum("done").alias("audit_count"), *[F.sum(v).alias(v) for v in VERDICTS], F.count_if(F.col("kinds") > 1).alias("disagreement_run_count"),
         F.max(F.when(newest, F.col("run_id"))).alias("latest_run_id"), F.bool_or(newest & F.col("complete")).alias("latest_run_complete"),
-        F.max(F.when(F.col("k") == 1, F.col("run_id"))).alias("latest_completed_run_id"), F.max(F.when(newest & F.col("complete"), _zero("n"))).alias("latest_run_finding_count"),
+        F.max(F.when(F.col("k") == 1, F.col("run_id"))).alias("latest_completed_run_id"), F.max(F.when(newest & F.col("complete"), n)).alias("latest_run_finding_count"),
     )
 
 
-def finding_history(a: DataFrame, o: DataFrame) -> DataFrame:
+def finding_history(a: DataFrame) -> DataFrame:
     """Per subject and fingerprint: where it was seen, and its state in the newest run.
 
     A finding that is not reproduced is never called resolved. Presence counts over
@@ -174,7 +178,8 @@ def finding_history(a: DataFrame, o: DataFrame) -> DataFrame:
     of all runs at once.
     """
     runs = ranked_runs(a)
-    found = o.groupBy("subject_id", "fingerprint", "run_id").agg(F.count(F.lit(1)).alias("n")).join(runs.select("subject_id", "run_id", "rank", "k", "complete"), ["subject_id", "run_id"])
+    each = F.transform(F.array_distinct("prints"), lambda p: F.struct(p.alias("fingerprint"), F.size(F.filter("prints", lambda x: x == p)).cast("long").alias("n")))
+    found = runs.select("subject_id", "run_id", "rank", "k", F.explode(each).alias("f")).select("subject_id", "run_id", "rank", "k", "f.*")
     seen = found.groupBy("subject_id", "fingerprint").agg(
         F.count(F.lit(1)).alias("seen_run_count"), F.sum("n").alias("occurrence_count"), F.max_by("run_id", "rank").alias("first_seen_run_id"), F.min_by("run_id", "rank").alias("latest_seen_run_id"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "run_id", "n"))), lambda x: F.concat_ws(":", x["run_id"], x["n"])), ",").alias("occurrences_by_run"),

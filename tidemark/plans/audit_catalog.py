@@ -12,11 +12,6 @@ LEVEL = "CASE WHEN {0} >= 90 THEN 'critical' WHEN {0} >= 70 THEN 'high' WHEN {0}
 SEVERITY = "CASE {0} WHEN 15 THEN 'low' WHEN 35 THEN 'medium' WHEN 65 THEN 'high' ELSE 'critical' END"
 
 
-def _relations(spark, d):
-    a = exam.audits(spark, d)
-    return a, exam.occurrences(a)
-
-
 def _order(spark, d):
     return exam.questions(spark, d).select("subject_id", "number")
 
@@ -30,7 +25,7 @@ cf AS (SELECT fi.*, completed_passes AS eligible, round_even(consensus_count / c
 
 @query(f"SELECT run_id, subject_id, fingerprint, category, consensus_count, eligible, ratio, {SEVERITY.format('top')} AS max_severity, risk_score, {LEVEL.format('risk_score')} AS risk_level, summaries, last_summary, auditors FROM cf", FINDINGS)
 def consensus_report_findings(spark, d):
-    rows = report.consensus_findings(*_relations(spark, d))
+    rows = report.consensus_findings(exam.audits(spark, d))
     return rows.select("run_id", "subject_id", "fingerprint", "category", "consensus_count", "eligible", "ratio", "max_severity", "risk_score", "risk_level", F.array_join("summaries", ",").alias("summaries"), "last_summary", F.array_join("auditors", ",").alias("auditors"))
 
 
@@ -46,7 +41,7 @@ cv AS (SELECT x.exam_id, x.run_id, x.n AS completed_passes, x.n_new AS new_findi
 @query(f"""SELECT run_id, completed_passes, new_findings_latest_pass, jaccard, scope_match, completed_passes >= 2 AND coalesce(scope_match, false) AND new_findings_latest_pass = 0 AS converged, coalesce(findings, 0) AS findings, coalesce(risk, 0) AS risk_score, {LEVEL.format('coalesce(risk, 0)')} AS risk_level
 FROM cv LEFT JOIN (SELECT run_id, count(*) AS findings, max(risk_score) AS risk FROM cf GROUP BY run_id) USING (run_id)""", CONVERGENCE)
 def consensus_report_runs(spark, d):
-    return report.run_report(*_relations(spark, d), _order(spark, d)).drop("exam_id")
+    return report.run_report(exam.audits(spark, d), _order(spark, d)).drop("exam_id")
 
 
 ENTRIES = """, en AS (SELECT vd.*, coalesce(f, []) AS f FROM vd LEFT JOIN (SELECT run_id, pass_number, subject_id, list(DISTINCT fingerprint ORDER BY fingerprint) AS f FROM oc GROUP BY run_id, pass_number, subject_id) USING (run_id, pass_number, subject_id))
@@ -55,7 +50,7 @@ ENTRIES = """, en AS (SELECT vd.*, coalesce(f, []) AS f FROM vd LEFT JOIN (SELEC
 
 @query("SELECT run_id, pass_number, subject_id, verdict, array_to_string(f, ',') AS fingerprints FROM en", exam.SQL + ENTRIES)
 def entries_per_question(spark, d):
-    return report.entries(*_relations(spark, d)).select("run_id", "pass_number", "subject_id", "verdict", F.array_join("fingerprints", ",").alias("fingerprints"))
+    return report.entries(exam.audits(spark, d)).select("run_id", "pass_number", "subject_id", "verdict", F.array_join("fingerprints", ",").alias("fingerprints"))
 
 
 @query("SELECT run_id, subject_id, pass_total, completed_passes FROM ex", FINDINGS)
@@ -84,7 +79,7 @@ def _findings_text(rows):
 
 @query(f"SELECT run_id, subject_id, verdict, total, clear, finding, uncertain, disagreement, risk_score, {LEVEL.format('risk_score')} AS risk_level, converged, n_findings, pass_total, findings FROM sm", SUMMARY)
 def summarize_question(spark, d):
-    rows = report.summaries(*_relations(spark, d))
+    rows = report.summaries(exam.audits(spark, d))
     return rows.select(*SUMMARY_COLUMNS, _findings_text(rows))
 
 
@@ -92,19 +87,19 @@ def summarize_question(spark, d):
   count(*) FILTER (disagreement) AS disagreement, max(risk_score) AS risk_score, {LEVEL.format('max(risk_score)')} AS risk_level, count(*) FILTER (converged) AS converged_questions, count(*) FILTER (NOT converged) AS not_converged_questions, sum(n_findings)::BIGINT AS unresolved_findings, string_agg(DISTINCT run_id, ',' ORDER BY run_id) AS source_run_ids
 FROM ns JOIN (SELECT vd.exam_id, count(DISTINCT vd.run_id || '/' || vd.pass_number) AS e FROM vd JOIN ns USING (run_id, subject_id) GROUP BY vd.exam_id) USING (exam_id) GROUP BY exam_id""", SUMMARY)
 def summarize_all_questions(spark, d):
-    return report.all_questions(*_relations(spark, d))
+    return report.all_questions(exam.audits(spark, d))
 
 
 @query(f"""SELECT run_id, count(*) AS audited_questions, sum(total)::BIGINT AS total_pass_observations, count(*) FILTER (disagreement) AS questions_with_disagreement, {', '.join(f"count(*) FILTER (level = '{x}') AS risk_{x}" for x in ('none', 'low', 'medium', 'high', 'critical'))},
   count(*) FILTER (converged) AS converged, count(*) FILTER (NOT converged) AS not_converged, sum(n_findings)::BIGINT AS unique_unresolved_findings FROM (SELECT *, {LEVEL.format('risk_score')} AS level FROM sm) GROUP BY run_id""", SUMMARY)
 def audit_status(spark, d):
-    return report.audit_status(*_relations(spark, d))
+    return report.audit_status(exam.audits(spark, d))
 
 
 @query("SELECT low, medium, high, runs FROM (SELECT count(*) FILTER (risk_score > 0 AND risk_score < 40) AS low, count(*) FILTER (risk_score >= 40 AND risk_score < 70) AS medium, count(*) FILTER (risk_score >= 70 AND risk_score < 90) AS high, count(DISTINCT run_id) AS runs FROM sm)", SUMMARY)
 def audit_status_three_keys(spark, d):
     """The narrow histogram, without none and critical."""
-    s = report.audit_status(*_relations(spark, d))
+    s = report.audit_status(exam.audits(spark, d))
     return s.agg(*[F.sum(f"risk_{x}").alias(x) for x in ("low", "medium", "high")], F.count(F.lit(1)).alias("runs"))
 
 
@@ -120,7 +115,7 @@ nf AS (SELECT run_id, subject_id, count(DISTINCT fingerprint) AS n FROM oc GROUP
   arg_min(run_id, rank) AS latest_run_id, arg_min(complete, rank) AS latest_run_complete, arg_min(run_id, rank) FILTER (complete) AS latest_completed_run_id, CASE WHEN arg_min(complete, rank) THEN coalesce(max(n) FILTER (rank = 1), 0) END AS latest_run_finding_count
 FROM rk LEFT JOIN tv USING (run_id, subject_id) LEFT JOIN nf USING (run_id, subject_id) GROUP BY subject_id""", RANKED)
 def question_history(spark, d):
-    return report.subject_history(*_relations(spark, d))
+    return report.subject_history(exam.audits(spark, d))
 
 
 @query("""SELECT o.subject_id, fingerprint, count(DISTINCT o.run_id) AS seen_run_count, any_value(total)::BIGINT AS occurrence_count, arg_max(o.run_id, rank) AS first_seen_run_id, arg_min(o.run_id, rank) AS latest_seen_run_id, string_agg(o.run_id || ':' || n, ',' ORDER BY rank) AS occurrences_by_run,
@@ -130,7 +125,7 @@ FROM (SELECT subject_id, fingerprint, run_id, count(*) AS n, sum(count(*)) OVER
 JOIN rk USING (subject_id, run_id) LEFT JOIN ck USING (subject_id, run_id) JOIN (SELECT subject_id, complete AS lc FROM rk WHERE rank = 1) USING (subject_id) LEFT JOIN (SELECT subject_id, list(run_id ORDER BY k) AS ks FROM ck GROUP BY subject_id) USING (subject_id)
 GROUP BY o.subject_id, fingerprint""", RANKED)
 def question_history_findings(spark, d):
-    return report.finding_history(*_relations(spark, d))
+    return report.finding_history(exam.audits(spark, d))
 
 
 @query("SELECT subject_id, max(created_at || ' ' || run_id) AS newest_any, max(CASE WHEN completed THEN created_at || ' ' || run_id END) AS newest_judged FROM sc GROUP BY subject_id", exam.SQL)

@@ -172,7 +172,7 @@ def perspective_subjects(spark, d):
 def findings_ranked(spark, d):
     """Findings of a run, the gravest first, equal ones by fingerprint."""
     a = exam.audits(spark, d)
-    rows = report.consensus_findings(a, exam.occurrences(a)).groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("risk_score")).alias("r"), "fingerprint"))).alias("f"), F.max("risk_score").alias("top"))
+    rows = report.consensus_findings(a).groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("risk_score")).alias("r"), "fingerprint"))).alias("f"), F.max("risk_score").alias("top"))
     from tidemark.operators.audit import risk_level
 
     return rows.select("run_id", F.array_join(F.transform("f", lambda x: F.concat(x["fingerprint"], F.lit(":"), (-x["r"]).cast("string"))), ",").alias("ranked"), "top", risk_level(F.col("top")).alias("level"))

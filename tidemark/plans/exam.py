@@ -88,35 +88,40 @@ def records(spark: SparkSession, d: str) -> DataFrame:
 def audits(spark: SparkSession, d: str) -> DataFrame:
     """One row for a run, pass and subject: scope, verdict where the pass is done, and findings.
 
-    All audit relations come from this one aggregate, so orders and lines are joined once.
+    All audit relations come from this one aggregate, so orders and lines are joined once,
+    and reports by run and subject group the rows where they are. ``found`` has a
+    fingerprint once, with the worst severity and the first id.
     """
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("y"))
     items = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_discount")
     rows = items.join(orders, items.l_orderkey == orders.o_orderkey).where(f"l_linenumber <> 3 or o_custkey % {SIZE} < {LISTENING}")
     cents = F.round(F.col("l_discount") * 100).cast("int")
     score = F.when(cents >= 9, 90).when(cents >= 6, 65).when(cents >= 3, 35).otherwise(15)
-    found = F.struct(F.pmod("l_partkey", F.lit(5)).cast("int").alias("kind"), score.alias("score"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("occ_id"))
+    line = F.struct(F.pmod("l_partkey", F.lit(5)).cast("int").alias("kind"), score.alias("score"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("occ_id"))
     exam, y = F.expr(f"o_custkey div {SIZE}"), F.col("y").cast("string")
-    keys = [exam.alias("exam_id"), F.concat(F.lit("run-"), y, F.lit("-e"), exam).alias("run_id"), F.concat(y, F.lit("-01-01T00:00:00Z")).alias("created_at"), F.col("l_linenumber").cast("int").alias("pass_number"), F.col("o_custkey").alias("subject_id"), (F.pmod(F.col("y") + F.col("l_linenumber"), F.lit(7)) != 0).alias("completed")]
-    rank = F.max(F.when(F.col("l_returnflag") == "R", 2).when(F.col("l_returnflag") == "A", 1).otherwise(0))
-    out = rows.groupBy(*keys).agg(F.element_at(F.array(F.lit("clear"), F.lit("uncertain"), F.lit("finding")), rank + 1).alias("verdict"), F.collect_list(F.when(F.col("l_returnflag") == "R", found)).alias("found"))
-    done = F.col("completed")
-    return out.withColumns({"verdict": F.when(done, F.col("verdict")), "found": F.when(done, F.col("found")).otherwise(F.array().cast(out.schema["found"].dataType))})
+    rows = rows.select(
+        exam.alias("exam_id"), F.concat(F.lit("run-"), y, F.lit("-e"), exam).alias("run_id"), F.concat(y, F.lit("-01-01T00:00:00Z")).alias("created_at"), F.col("l_linenumber").cast("int").alias("pass_number"),
+        F.col("o_custkey").alias("subject_id"), (F.pmod(F.col("y") + F.col("l_linenumber"), F.lit(7)) != 0).alias("completed"), F.col("l_returnflag").alias("flag"), line.alias("line"),
+    )
+    rank = F.max(F.when(F.col("flag") == "R", 2).when(F.col("flag") == "A", 1).otherwise(0))
+    lines = F.collect_list(F.when(F.expr("completed and flag = 'R'"), F.col("line")))
+    out = rows.repartition("run_id", "subject_id").groupBy("exam_id", "run_id", "created_at", "pass_number", "subject_id", "completed").agg(F.element_at(F.array(F.lit("clear"), F.lit("uncertain"), F.lit("finding")), rank + 1).alias("verdict"), lines.alias("lines"))
 
+    def finding(kind):
+        own = F.filter("lines", lambda x: x["kind"] == kind)
+        occ_id = F.array_min(F.transform(own, lambda x: x["occ_id"]))
+        return F.struct(
+            F.sha2(F.concat_ws(":", F.col("subject_id").cast("string"), kind.cast("string")), 256).alias("fingerprint"), F.array_max(F.transform(own, lambda x: x["score"])).alias("score"), occ_id.alias("occ_id"), kind.alias("kind"),
+            F.concat(F.lit("kind-"), kind).alias("category"), F.concat(F.lit("s-"), occ_id).alias("summary"), F.concat(F.lit("auditor-"), F.col("pass_number")).alias("auditor"),
+        )
 
-def verdicts(a: DataFrame) -> DataFrame:
-    return a.where("completed").select("exam_id", "run_id", "created_at", "pass_number", "subject_id", "verdict")
+    found = F.transform(F.array_distinct(F.transform("lines", lambda x: x["kind"])), finding)
+    return out.withColumns({"verdict": F.when(F.col("completed"), F.col("verdict")), "found": found}).drop("lines")
 
 
 def occurrences(a: DataFrame) -> DataFrame:
-    """One row for a fingerprint and pass, with the worst severity and the first id."""
-    rows = a.select("exam_id", "run_id", "created_at", "pass_number", "subject_id", F.explode("found").alias("f"))
-    rows = rows.groupBy("exam_id", "run_id", "created_at", "pass_number", "subject_id", "f.kind").agg(F.max("f.score").alias("score"), F.min("f.occ_id").alias("occ_id"))
-    return rows.select(
-        "exam_id", "run_id", "created_at", "pass_number", "subject_id", "occ_id", "score", "kind",
-        F.sha2(F.concat_ws(":", F.col("subject_id").cast("string"), F.col("kind").cast("string")), 256).alias("fingerprint"),
-        F.concat(F.lit("kind-"), F.col("kind")).alias("category"), F.concat(F.lit("s-"), F.col("occ_id")).alias("summary"), F.concat(F.lit("auditor-"), F.col("pass_number")).alias("auditor"),
-    )
+    """One row for a fingerprint and pass."""
+    return a.select("exam_id", "run_id", "created_at", "pass_number", "subject_id", F.explode("found").alias("f")).select("exam_id", "run_id", "created_at", "pass_number", "subject_id", "f.*")
 
 
 SQL = f"""WITH q AS (

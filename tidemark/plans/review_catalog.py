@@ -20,7 +20,7 @@ def question_list(spark, d):
     q, a = exam.questions(spark, d), exam.audits(spark, d)
     log = attempts(a)
     execution = report.execution_summary(log, report.pass_status(a, checkpoints(a), log)).select("run_id", "incomplete_passes")
-    return review.question_list(q, report.newest_summaries(a, exam.occurrences(a)), execution)
+    return review.question_list(q, report.newest_summaries(a), execution)
 
 
 @query("SELECT exam_id, count(*) AS total, count(*) FILTER (status = 'needs_manual_review') AS needs_manual_review, count(*) FILTER (status = 'verified') AS verified, count(*) FILTER (status = 'rejected') AS rejected FROM q GROUP BY exam_id", exam.SQL)
