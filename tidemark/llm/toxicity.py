@@ -25,7 +25,8 @@ on the labelled rows turns both into a probability. Runs of single letters are r
 one word.
 
 Bounds: ``max_toxic`` and ``max_clean`` labelled rows, ``max_sentences`` sentences of each
-label, and ``max_landmarks`` are drawn by hash for the fit; everything is scored. Learnt
+label, of 400 characters each at most, and ``max_landmarks`` are drawn by hash for the
+fit; everything is scored. Learnt
 are only rows whose crc32(doc_id) mod 3 is not 1.
 
 Defined results: a null text counts as empty and scores like a text without positive
@@ -60,6 +61,8 @@ LETTERS = np.zeros(256, np.int32)
 LETTERS[np.arange(97, 123)] = np.arange(1, 27)
 LETTERS[np.arange(128, 128 + OTHERS)] = np.arange(27, 27 + OTHERS)
 NO_LETTERS = bytes(sorted(set(range(128)) - set(range(97, 123))))
+#: Longer sentences are examples in parts of at most so many characters.
+LONGEST_SENTENCE = 400
 #: Words whose features are computed at a time while fitting.
 CHUNK = 2000
 #: A word's share in a decision that counts as positive: half of the margin between -1 and 1.
@@ -315,7 +318,9 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_clean:
     picked = space.save(picked[0].union(picked[1]), "picked")
     rows = space.save(docs.join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", text_of(docs).alias("text")), "rows")
     # a sentence that clean rows hold as well is clean
-    sentences = rows.select("toxic", F.explode(F.split(F.lower("text"), "[.!?。！？\\n]+")).alias("sentence")).where("trim(sentence) <> ''").groupBy("sentence").agg(F.min("toxic").alias("toxic"))
+    sentences = rows.select("toxic", F.explode(F.split(F.lower("text"), "[.!?。！？\\n]+")).alias("sentence"))
+    parts = F.regexp_extract_all("sentence", F.lit(f"(?s).{{1,{LONGEST_SENTENCE}}}(?!\\S)|.{{1,{LONGEST_SENTENCE}}}"), F.lit(0))
+    sentences = sentences.select("toxic", F.explode(parts).alias("sentence")).where("trim(sentence) <> ''").groupBy("sentence").agg(F.min("toxic").alias("toxic"))
     sentences = space.save(sentences.withColumn("words", F.array_distinct(F.regexp_extract_all("sentence", F.lit(WORD), F.lit(0)))), "sentences")
     totals = {r.toxic: r.n for r in sentences.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not totals.get(1) or not totals.get(0):
