@@ -181,34 +181,48 @@ def finding_history(presence: DataFrame, occurrences: DataFrame) -> DataFrame:
     A finding that is not reproduced is never called resolved. Runs are joined by subject,
     and only findings that came back look at the runs between.
     """
-    return finding_history_of(presence, occurrences.groupBy("subject_id", "fingerprint", "run_id").agg(F.count(F.lit(1)).alias("n")))
+    runs = _among_complete(presence.select("subject_id", "run_id", "rank", "complete"))
+    found = occurrences.groupBy("subject_id", "fingerprint", "run_id").agg(F.count(F.lit(1)).alias("n")).join(runs, ["subject_id", "run_id"])
+    return found_states(found, runs).drop("occurrences_by_run")
 
 
-def found_runs(passes: DataFrame, fingerprint) -> DataFrame:
-    """``subject_id, fingerprint, run_id, n``: in how many passes of each run a finding was."""
-    f = F.col("f")
-    rows = _items(passes).select("run_id", "subject_id", F.explode(_per_finding(F.col("items"))).alias("f"))
-    return rows.select("subject_id", fingerprint(F.col("subject_id"), f["kind"]).alias("fingerprint"), "run_id", f["n"].cast("long").alias("n"))
+def history_of_passes(passes: DataFrame, fingerprint) -> DataFrame:
+    """``finding_history`` in one grouping by run and subject, and a window by subject."""
+    rows = _items(passes, "created_at").withColumn("complete", F.col("total") == F.col("pass_total"))
+    order = Window.partitionBy("subject_id").orderBy(F.desc("created_at"), F.desc("run_id"))
+    runs = _among_complete(rows.withColumn("rank", F.row_number().over(order)))
+    found = runs.select("subject_id", "run_id", "rank", "k", "latest_complete", F.explode(_per_finding(F.col("items"))).alias("f"))
+    found = found.select("subject_id", "run_id", "rank", "k", "latest_complete", fingerprint(F.col("subject_id"), F.col("f.kind")).alias("fingerprint"), F.col("f.n").cast("long").alias("n"))
+    return found_states(found, runs).drop("occurrences_by_run")
 
 
-def finding_history_of(presence: DataFrame, found: DataFrame) -> DataFrame:
-    """``finding_history`` of the counts of ``found_runs``."""
-    keys = ["subject_id", "fingerprint"]
-    done = Window.partitionBy("subject_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    runs = presence.select("subject_id", "run_id", "rank", "complete").withColumn("k", F.when(F.col("complete"), F.sum(F.col("complete").cast("int")).over(done)))
-    per_run = found.join(runs, ["subject_id", "run_id"])
-    seen = per_run.groupBy(*keys).agg(
+def _among_complete(runs: DataFrame) -> DataFrame:
+    """Adds ``k``, the rank among a subject's complete runs, and whether its newest run is complete."""
+    newest_first = Window.partitionBy("subject_id").orderBy("rank")
+    k = F.sum(F.col("complete").cast("int")).over(newest_first.rowsBetween(Window.unboundedPreceding, 0))
+    return runs.withColumns({"k": F.when(F.col("complete"), k), "latest_complete": F.first("complete").over(newest_first)})
+
+
+def found_states(found: DataFrame, runs: DataFrame) -> DataFrame:
+    """Where each finding was seen, and its state.
+
+    ``found``: subject_id, run_id, rank (1 for the newest run), k (the rank among complete
+    runs, or null), latest_complete, fingerprint and n; ``runs``: subject_id, run_id, k.
+    """
+    rows = found.groupBy("subject_id", "fingerprint").agg(
         F.count(F.lit(1)).alias("seen_run_count"), F.sum("n").alias("occurrence_count"), F.max_by("run_id", "rank").alias("first_seen_run_id"), F.min_by("run_id", "rank").alias("latest_seen_run_id"),
-        F.count_if(F.col("k") == 1).alias("now"), F.min(F.when(F.col("k") > 1, F.col("k"))).alias("prev"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "run_id", "n"))), lambda x: F.concat_ws(":", x["run_id"], x["n"])), ",").alias("occurrences_by_run"),
+        F.bool_or(F.coalesce(F.col("k") == 1, F.lit(False))).alias("now"), F.min(F.when(F.col("k") > 1, F.col("k"))).alias("prev"),
+        F.first("latest_complete").alias("latest_complete"),
     )
-    rows = seen.join(runs.where("rank = 1").select("subject_id", F.col("complete").alias("latest_complete")), "subject_id")
-    present = F.col("now") > 0
-    again = F.col("latest_complete") & present & F.coalesce(F.col("prev") > 2, F.lit(False))
-    state = F.when(~F.col("latest_complete"), "latest_run_incomplete").when(again, "reappeared_in_latest_run").when(present, "present_in_latest_run").otherwise("not_reproduced_in_latest_run")
+    again = F.col("latest_complete") & F.col("now") & F.coalesce(F.col("prev") > 2, F.lit(False))
+    state = F.when(~F.col("latest_complete"), "latest_run_incomplete").when(again, "reappeared_in_latest_run").when(F.col("now"), "present_in_latest_run").otherwise("not_reproduced_in_latest_run")
     rows = rows.withColumns({"again": again, "latest_state": state})
-    between = rows.where("again").select(*keys, "prev").join(runs.where("k > 1").select("subject_id", "k", "run_id"), "subject_id").where("k < prev")
-    between = between.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "run_id"))), lambda x: x["run_id"]), ",").alias("runs"))
-    return rows.join(between, keys, "left").select(*keys, "seen_run_count", "occurrence_count", "first_seen_run_id", "latest_seen_run_id", "latest_state", F.coalesce("runs", F.lit("")).alias("intervening_runs"))
+    between = rows.where("again").select("subject_id", "fingerprint", "prev").join(runs.where("k > 1").select("subject_id", "k", "run_id"), "subject_id").where("k < prev")
+    between = between.groupBy("subject_id", "fingerprint").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "run_id"))), lambda x: x["run_id"]), ",").alias("runs_between"))
+    return rows.join(between, ["subject_id", "fingerprint"], "left").select(
+        "subject_id", "fingerprint", "seen_run_count", "occurrence_count", "first_seen_run_id", "latest_seen_run_id", "occurrences_by_run", "latest_state", F.coalesce("runs_between", F.lit("")).alias("intervening_runs")
+    )
 
 
 def pass_status(scope: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.audit import VERDICTS, risk_level, severity_name
+from tidemark.operators.audit import VERDICTS, found_states, risk_level, severity_name
 
 RUN = ["exam_id", "run_id"]
 STATUSES = ("failed", "invalid", "succeeded", "timed_out")
@@ -155,6 +155,7 @@ def ranked_runs(a: DataFrame) -> DataFrame:
     )
     order = Window.partitionBy("subject_id").orderBy(F.desc("created_at"), F.desc("run_id"))
     rows = runs.withColumns({"rank": F.row_number().over(order), "complete": F.col("done") == F.col("pass_total")})
+    rows = rows.withColumn("latest_complete", F.first("complete").over(order))
     k = F.sum(F.col("complete").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("k", F.when(F.col("complete"), k))
 
@@ -179,22 +180,8 @@ def finding_history(a: DataFrame) -> DataFrame:
     """
     runs = ranked_runs(a)
     each = F.transform(F.array_distinct("prints"), lambda p: F.struct(p.alias("fingerprint"), F.size(F.filter("prints", lambda x: x == p)).cast("long").alias("n")))
-    found = runs.select("subject_id", "run_id", "rank", "k", F.explode(each).alias("f")).select("subject_id", "run_id", "rank", "k", "f.*")
-    seen = found.groupBy("subject_id", "fingerprint").agg(
-        F.count(F.lit(1)).alias("seen_run_count"), F.sum("n").alias("occurrence_count"), F.max_by("run_id", "rank").alias("first_seen_run_id"), F.min_by("run_id", "rank").alias("latest_seen_run_id"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "run_id", "n"))), lambda x: F.concat_ws(":", x["run_id"], x["n"])), ",").alias("occurrences_by_run"),
-        F.bool_or(F.coalesce(F.col("k") == 1, F.lit(False))).alias("now"), F.min(F.when(F.col("k") > 1, F.col("k"))).alias("prev"),
-    )
-    newest = runs.where("rank = 1").select("subject_id", F.col("complete").alias("latest_complete"))
-    rows = seen.join(newest, "subject_id")
-    again = F.col("latest_complete") & F.col("now") & F.coalesce(F.col("prev") > 2, F.lit(False))
-    state = F.when(~F.col("latest_complete"), "latest_run_incomplete").when(again, "reappeared_in_latest_run").when(F.col("now"), "present_in_latest_run").otherwise("not_reproduced_in_latest_run")
-    rows = rows.withColumns({"again": again, "latest_state": state})
-    between = rows.where("again").select("subject_id", "fingerprint", "prev").join(runs.where("k > 1").select("subject_id", "k", "run_id"), "subject_id").where("k < prev")
-    between = between.groupBy("subject_id", "fingerprint").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "run_id"))), lambda x: x["run_id"]), ",").alias("runs_between"))
-    return rows.join(between, ["subject_id", "fingerprint"], "left").select(
-        "subject_id", "fingerprint", "seen_run_count", "occurrence_count", "first_seen_run_id", "latest_seen_run_id", "occurrences_by_run", "latest_state", F.coalesce("runs_between", F.lit("")).alias("intervening_runs")
-    )
+    found = runs.select("subject_id", "run_id", "rank", "k", "latest_complete", F.explode(each).alias("f")).select("subject_id", "run_id", "rank", "k", "latest_complete", "f.*")
+    return found_states(found, runs)
 
 
 def pass_status(a: DataFrame, checkpoints: DataFrame, attempts: DataFrame) -> DataFrame:

@@ -134,8 +134,7 @@ newest AS (SELECT subject_id, complete FROM pres WHERE rank = 1)
   CASE WHEN complete AND now AND prev > 2 THEN runs ELSE '' END AS intervening_runs
 FROM occ JOIN newest USING (subject_id) LEFT JOIN a USING (subject_id, fingerprint) LEFT JOIN mid USING (subject_id, fingerprint)""", True)
 def finding_history_state(spark, d):
-    p = _passes(spark, d)
-    return audit.finding_history_of(audit.presence_of_passes(p, adapter.fingerprint), audit.found_runs(p, adapter.fingerprint))
+    return audit.history_of_passes(_passes(spark, d), adapter.fingerprint)
 
 
 @query("SELECT fingerprint, min(run_id) AS first_run, max(run_id) AS last_run, count(DISTINCT run_id) AS runs, array_to_string(list_sort(list(DISTINCT run_id), 'DESC'), ',') AS run_ids FROM occurrences GROUP BY fingerprint", True)
