@@ -309,7 +309,8 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, id_col: str
     # members that were no centres, in buckets where they are of several classes; two rounds compare
     # within blocks, so that classes grow, and the last one all blocks of the buckets still open
     rest = members.where("n > 2").select("band", "key", "n", "rep")
-    small = members.where(F.col("n").between(3, BLOCK)).groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("band", "key"))).alias("small"))
+    small = members.where(F.col("n").between(3, BLOCK)).groupBy("rep", "band").agg(F.min("key").alias("key"))  # one of them where an id has several texts
+    small = small.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("band", "key"))).alias("small"))
     small = space.save(small, "small")  # a text's buckets of one block, which the first round settles
     for turn in range(ROUNDS + 1):
         diagonal = turn < ROUNDS
