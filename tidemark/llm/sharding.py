@@ -205,14 +205,15 @@ def assign_shards(docs: DataFrame, shards: int | None = None, capacity: int | No
     common = [(s, -(-c // CELL_ROWS)) for s, c in histogram if c > CELL_ROWS]
     cells = spark.createDataFrame(common, "gsize long, cells long")
     placed = groups.join(F.broadcast(cells), "gsize", "left").withColumn("cell", F.pmod(F.xxhash64("g"), F.coalesce("cells", F.lit(1))))
-    placed = with_slots(placed.drop("cells"), ["gsize"], "cell", ["g"], "rank")
+    placed = space.save(placed.drop("cells"), "cells")  # written, for ranking reads it twice
+    placed = with_slots(placed, ["gsize"], "cell", ["g"], "rank")
     runs = spark.createDataFrame(plan, "gsize long, first long, end long, shard int")
     placed = placed.join(runs, "gsize").where("rank >= first and rank < end").select("g", "shard")
     placed = space.save(placed, "placed")
     parts = max(64, -(-sum(c for _, c in histogram) // CELL_ROWS))
     assigned = rows.join(placed, "g").withColumn("cell", F.pmod(F.xxhash64(id_col, "text_crc32"), F.lit(parts)))
     assigned = space.save(assigned, "assigned")
-    space.drop("rows", "groups", "placed")
+    space.drop("rows", "groups", "cells", "placed")
     return with_slots(assigned, ["shard"], "cell", [id_col, "text_crc32", "size"], "slot").select(id_col, "size", "text_crc32", "shard", "slot")
 
 
