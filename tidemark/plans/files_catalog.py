@@ -8,6 +8,7 @@ from tidemark.functions import text as T
 from tidemark.operators import mutate
 from tidemark.plans import exam, extract_catalog
 from tidemark.plans.registry import query, table
+from tidemark.sinks import commits
 from tidemark.sinks import files as sinks
 from tidemark.sources import files, links
 from tidemark.streaming import ingest as stream
@@ -132,6 +133,26 @@ def append_with_ids(spark, d):
     return sinks.append_rows(mutate.allocate_ids(old, o.where("o_orderstatus <> 'F'").drop("o_orderstatus"), "subject_id", "number", ["record"]), path)
 
 
+@query("""SELECT c_custkey, round(c_acctbal * 100)::BIGINT AS before, round(c_acctbal * 100)::BIGINT + CASE WHEN c_nationkey < 10 THEN 100 ELSE 0 END AS cents, CASE WHEN c_nationkey < 10 THEN 2 WHEN c_nationkey < 20 THEN 3 ELSE 1 END::BIGINT AS version, c_nationkey BETWEEN 5 AND 12 AS refused
+FROM customer WHERE NOT c_nationkey BETWEEN 15 AND 19""")
+def concurrent_commit(spark, d):
+    """Three writers of one version: one adds, one of other keys adds and deletes, and one overlaps both and is refused."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("c_custkey"), F.col("c_nationkey").cast("long").alias("nation"), F.round(F.col("c_acctbal") * 100).cast("long").alias("cents"))
+    t = commits.CommitTable(spark, files.scratch(spark, "commits"), "c_custkey long, nation long, cents long", "c_custkey")
+    t.begin().put(c).commit()
+    add, drop, late = t.begin(), t.begin(), t.begin()
+    add.put(add.read().where("nation < 10").withColumn("cents", F.col("cents") + 100)).commit()
+    drop.put(drop.read().where("nation between 10 and 14")).delete(drop.read().where("nation between 15 and 19").select("c_custkey")).commit()
+    wanted = late.read().where("nation between 5 and 12")
+    try:
+        late.put(wanted.withColumn("cents", F.lit(0).cast("long"))).commit()
+        refused = wanted.where("false")
+    except commits.Conflict:
+        refused = wanted
+    rows = t.read().join(late.read().select("c_custkey", F.col("cents").alias("before")), "c_custkey").join(refused.select("c_custkey", F.lit(True).alias("refused")), "c_custkey", "left")
+    return rows.select("c_custkey", "before", "cents", F.col("__version").alias("version"), F.coalesce("refused", F.lit(False)).alias("refused"))
+
+
 @query("""SELECT user_id, string_agg((e - l) || '-' || e, ',' ORDER BY event_id) FILTER (l >= 8000) AS pauses, count(*) FILTER (l >= 8000) AS n FROM (SELECT user_id, event_id, event_id * 20000 + 20000 AS e, 500 + (event_id * 37) % 15000 AS l FROM events) GROUP BY user_id HAVING n > 0""")
 def silence_log(spark, d):
     """Long pauses of a detection log for each user."""
