@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import jsonx
 from tidemark.functions import text as T
+from tidemark.operators import extract
 from tidemark.sources import links
 
 
@@ -84,3 +85,16 @@ def test_canonical_json(spark):
     df = spark.createDataFrame([("Q1", '{"x": "A  b"}'), ("Q1", '{"x": "a B"}'), ("Q2", '{"x": "a b"}')], "s string, i string")
     a, b, c = [r.f for r in df.select(jsonx.fingerprint(F.col("s"), F.col("i")).alias("f")).collect()]
     assert a == b != c
+
+
+def test_links_in_sql(spark):
+    """The table function of links, beside a table and for every row of it."""
+    links.register(spark)
+    rows = spark.sql("SELECT id, l.* FROM VALUES (1, '<h2>A <a href=\"x.pdf\">t<a href=\"y\">u</a> v</h3> w</h2><a>n</a><a href=\"\">q</a>'), (2, NULL), (3, '<a href=z>open') AS t(id, html), LATERAL page_links(html, 'https://e.org/d/') l").collect()
+    assert [(r.id, r.seq, r.pos, r.href, r.raw, r.link) for r in rows] == [(1, 0, 1, "x.pdf", "tu", "https://e.org/d/x.pdf"), (1, 1, None, None, "A tu v w", None)]
+
+
+def test_transcripts_keep_all_questions_of_a_page(spark):
+    text = "\n".join(f"{n}.\n남자: 말 {n}\n①" for n in range(1, 1201))
+    rows, _ = extract.transcripts(spark.createDataFrame([(1, 1, text, text)], "doc int, page int, text string, other string"))
+    assert rows.count() == 1200

@@ -93,7 +93,7 @@ def transcripts(pages: DataFrame, speakers: tuple[str, ...] = SPEAKERS) -> tuple
     bare = lambda c: F.regexp_replace(c, "(?U)\\s+", "")
     agree = bare(F.col("text")) == bare(F.col("other"))
     parts = F.split(F.concat(F.lit("\n"), "text"), f"(?m)(?=^{NUMBER})")
-    rows = pages.select("doc", "page", F.coalesce(agree, F.lit(False)).alias("agree"), F.get(parts, F.lit(0)).alias("preamble"), F.slice(parts, 2, 1000).alias("p"))
+    rows = pages.select("doc", "page", F.coalesce(agree, F.lit(False)).alias("agree"), F.get(parts, F.lit(0)).alias("preamble"), F.slice(parts, F.lit(2), F.greatest(F.size(parts), F.lit(0))).alias("p"))
     number = lambda x: F.regexp_extract(x, f"^{NUMBER}", 1).cast("int")
     first = number(F.get("p", F.lit(0)))
     rows = rows.withColumn("first", first).withColumn("passage", F.when(first.isin(*[a for a, _ in SHARED]), dialogue(F.col("preamble"), speakers)))

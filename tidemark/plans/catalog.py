@@ -267,7 +267,7 @@ def offset_image(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").withColumn("k", k).where("k = 2").drop("k", "l_suppkey")
 
 
-@query("SELECT doc_id + 1000000 AS doc_id, (SELECT count(*) FROM labels) + row_number() OVER (PARTITION BY 0 * doc_id ORDER BY doc_id) AS number FROM labels WHERE false UNION ALL SELECT user_id, n + k FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE event_type = 'error') JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY user_id) USING (user_id)")
+@query("SELECT user_id AS doc_id, n + k AS number FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE event_type = 'error') JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY user_id) USING (user_id)")
 def seq_alloc(spark, d):
     e = table(spark, d, "events").select("user_id", "event_id", "event_type")
     old = e.where("event_type = 'view'").groupBy("user_id").agg(F.count(F.lit(1)).alias("number"))

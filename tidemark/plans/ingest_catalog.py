@@ -9,6 +9,9 @@ from tidemark.operators import bundle, ingest
 from tidemark.plans import exam
 from tidemark.plans.audit_catalog import STATUS, checkpoints
 from tidemark.plans.registry import query, table
+from tidemark.sinks import files as sinks
+from tidemark.sources import files
+from tidemark.streaming import attempts
 
 
 def documents(spark, d):
@@ -192,6 +195,28 @@ def ingest_attempts(spark, d):
     return _ingested(spark, d)[2].select("pass_id", "status", "error")
 
 
+@query("""SELECT pass_id, 1 AS attempt_number, 'timed_out' AS status, 'no_answer' AS error FROM fe WHERE fault % 2 = 0 UNION ALL SELECT pass_id, 2 - fault % 2, CASE WHEN error IS NULL THEN 'succeeded' ELSE 'invalid' END, error FROM fe
+UNION ALL SELECT pass_id, 3 - fault % 2, 'failed', 'again' FROM fe WHERE error IS NOT NULL""", INGEST)
+def streamed_attempts(spark, d):
+    """Events of every pass as a stream of two batches: a time-out for half of them, the response, the same file again, and a failure, which passes with a result refuse."""
+    a = exam.audits(spark, d)
+    rows, passes = responses(a, exam.occurrences(a))
+    rows = rows.join(a.select(F.concat_ws("/", "run_id", "pass_number").alias("pass_id"), (_fault() % 2).alias("odd")).distinct(), "pass_id")
+    root = files.scratch(spark, "attempts")
+    rows, passes = sinks.snapshot(rows, f"{root}/rows", "1"), sinks.snapshot(passes, f"{root}/passes", "1")
+
+    def send(part, number, kind, raw, code):
+        at = F.timestamp_seconds(F.lit(1_700_000_000 + number))
+        part.select("pass_id", F.lit(number).cast("long").alias("number"), at.alias("at"), F.lit(kind).alias("kind"), raw.alias("raw"), F.lit(code).cast("string").alias("error_code"), F.lit(None).cast("array<string>").alias("completed")).coalesce(1).write.mode("append").parquet(f"{root}/events")
+
+    send(rows.where("odd = 0"), 1, "timed_out", F.lit(None).cast("string"), "no_answer")
+    send(rows, 2, "response", F.col("raw"), None)
+    send(rows, 2, "response", F.col("raw"), None)
+    send(rows, 3, "failed", F.lit(None).cast("string"), "again")
+    attempts.ingest_stream(spark, f"{root}/events", passes, f"{root}/out", f"{root}/state", files_each=2).awaitTermination()
+    return attempts.ingested(spark, f"{root}/out", "attempts").select("pass_id", F.col("attempt_number").cast("int").alias("attempt_number"), "status", "error")
+
+
 @query("SELECT pass_id, 'q' || subject_id AS subject, CASE WHEN fault = 8 THEN 'clear' ELSE verdict END AS verdict, 0.5::DOUBLE AS confidence, row_number() OVER (PARTITION BY pass_id ORDER BY subject_id) AS position FROM vd JOIN fe USING (run_id, pass_number) WHERE error IS NULL", INGEST)
 def ingest_verdicts(spark, d):
     return _ingested(spark, d)[0].select("pass_id", "subject", "verdict", "confidence", F.col("position").cast("long").alias("position"))
