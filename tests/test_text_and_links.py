@@ -95,6 +95,7 @@ def test_links_in_sql(spark):
 
 
 def test_transcripts_keep_all_questions_of_a_page(spark):
-    text = "\n".join(f"{n}.\n남자: 말 {n}\n①" for n in range(1, 1201))
-    rows, _ = extract.transcripts(spark.createDataFrame([(1, 1, text, text)], "doc int, page int, text string, other string"))
-    assert rows.count() == 1200
+    """A page with 1,200 numbers: all are read, and told to be duplicates."""
+    text = "\n".join(f"{n % 30 + 1}.\n남자: 말 {n}\n①" for n in range(1200))
+    rows, faults = extract.transcripts(spark.createDataFrame([(1, 1, text, text)], "doc int, page int, text string, other string"))
+    assert rows.count() == faults.where("fault = 'duplicate'").count() == 1200
