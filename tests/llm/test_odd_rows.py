@@ -141,3 +141,41 @@ def test_range_edges_of_millions_of_keys(spark):
     far = spark.createDataFrame([(-(2**63),), (2**63 - 1,), (0,), (None,)], "k long")
     assert [r.top for r in range_edges(far, "k", 1)] == [-(2**63), 0, 2**63 - 1]
     assert range_edges(far.where("k is null"), "k", 1) == []
+
+
+def test_random_keys_of_short_groups():
+    """Licence keys and recovery codes are found; words, dates and numbered names in short groups are not."""
+    rng = random.Random(3)
+    spans = lambda t: secrets.random_spans(t, [], secrets.VOCABULARY, 2.0) + secrets.url_spans(t, [], secrets.VOCABULARY, 2.0)
+    for size, n in ((3, 8), (3, 7), (2, 10), (4, 6)):
+        keys = ["-".join("".join(rng.choice(string.ascii_letters + string.digits) for _ in range(size)) for _ in range(n)) for _ in range(300)]
+        assert sum(bool(spans(f"the key is {k} now")) for k in keys) >= 285
+    for name in ("rock-and-roll-is-not-dead", "2024-05-06-12-30-45-678", "to-be-or-not-to-be-that-is", "one_two_three_four_five"):
+        assert not spans(f"see {name} there")
+
+
+def test_url_spans_by_definition():
+    """Userinfo, path and query of URLs: every run or segment whose own ratio is low, and nothing else."""
+    rng = random.Random(8)
+    key = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    for _ in range(60):
+        parts = {"user": key(24), "path": key(22), "query": key(26)}
+        used = {k: rng.random() < 0.5 for k in parts}
+        pick = lambda k, plain: parts[k] if used[k] else plain  # noqa: E731,B023
+        text = f"go to https://{pick('user', 'someone')}@documentation.example.org/{pick('path', 'introduction-to-the-guide')}/x?q={pick('query', 'internationalization')} or not"
+        found = {text[a:b] for a, _, b in secrets.url_spans(text, [], secrets.VOCABULARY, 2.0)}
+        covered = lambda k: any(parts[k] in f for f in found)  # noqa: E731,B023
+        assert all(covered(k) == used[k] for k in parts), (text, found)
+
+
+def test_quality_of_long_lines(spark):
+    """Boilerplate in long lines counts by its density, and the end of a line by its last mark, however many brackets follow."""
+    prose = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, f"{prose} privacy policy {prose}."), (2, " ".join(["See our privacy policy and terms of use before you go on here"] * 12) + "."), (3, f"{prose}:" + ")" * 30), (4, f"{prose} end" + ")" * 30)]
+    got = {r.doc_id: r.quality for r in quality.clean_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].n_removed_lines for i in (1, 2, 3, 4)] == [0, 1, 0, 1]
+
+
+def test_quality_column_of_another_case(spark):
+    df = spark.createDataFrame([(1, "x", "y")], "doc_id long, text string, Quality string")
+    assert quality.kept_documents(df).count() == 0 and quality.clean_lines(df).columns == ["doc_id", "text", "quality"]

@@ -7,7 +7,7 @@ long document concentrates on one task beyond its own bytes.
 
 Defined results: a null text counts as empty; an empty text has no words and fails
 the base rules; repeated rows are judged alike, and ties cannot arise; the longest text
-is judged whole; other columns pass through, but for one named ``quality``, which the
+is judged whole; other columns pass through, but for one named ``quality`` in any case, which the
 result replaces; an empty table gives an empty result.
 """
 
@@ -22,7 +22,8 @@ SYMBOLS = "#*$%&|<>"
 SEPARATORS = "|»›•·"
 SENTENCE_END = "[.!?…。！？]"
 #: A line ends well with an end mark, also before closing quotes or brackets.
-TERMINAL = "[.!?…:;。！？][\"'”’»)\\]]*$"
+END_MARKS = ".!?…:;。！？"
+CLOSERS = "\"'”’»)]"
 #: What a line of navigation begins with, in English, German, French and Spanish.
 NAVIGATION_WORDS = (
     "home", "menu", "log ?in", "sign (in|up)", "read more", "click here", "next page", "previous page", "back to top", "share (this|on)", "skip to content", "subscribe",
@@ -35,6 +36,9 @@ BOILERPLATE = (
     "alle rechte vorbehalten", "datenschutzerklärung", "verwendet cookies", "nutzungsbedingungen", "tous droits réservés", "politique de confidentialité", "utilise des cookies", "conditions d'utilisation",
     "todos los derechos reservados", "política de privacidad", "utiliza cookies", "términos de uso",
 )
+#: A line of this many words is boilerplate for one phrase, a longer one for as many phrases more.
+PHRASE_WORDS = 40
+PHRASES = "|".join(x.replace("(", "\\(").replace(")", "\\)") for x in BOILERPLATE)
 
 
 def count_of(text: Column, chars: str) -> Column:
@@ -80,12 +84,22 @@ def quality_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     ).drop("__q_packed", "__q_maybe", "__q_keys", "__q_again", "__q_full")
 
 
-def line_verdicts(lines: Column) -> Column:
+def has_phrase(text: Column) -> Column:
+    """Whether a text holds a phrase of boilerplate anywhere."""
+    low = F.lower(text)
+    found = F.lit(False)
+    for phrase in BOILERPLATE:
+        found = found | low.contains(phrase)
+    return found
+
+
+def line_verdicts(lines: Column, phrased: Column) -> Column:
     """For each line its characters in words, and whether it breaks a rule.
 
-    The cheap counts and the lower case are bound once for each line, the last 8
-    characters stand for its end, and phrases are sought in lines of 40 words at most, so
-    that no pattern runs over a long line.
+    The cheap counts are bound once for each line. ``phrased`` tells whether the text
+    holds a phrase of boilerplate at all; only then are its lines searched. A line is
+    boilerplate if it has a phrase for every PHRASE_WORDS words, or part of them: prose
+    that mentions a policy once in a long line is none.
     """
     facts = F.transform(
         F.transform(lines, lambda x: F.struct(x.alias("x"), words_of(x).alias("words"))),
@@ -95,20 +109,18 @@ def line_verdicts(lines: Column) -> Column:
             count_of(s["x"], "#*$%&<>").alias("symbols"),
             count_of(s["x"], "!?").alias("shouts"),
             count_of(s["x"], SEPARATORS).alias("marks"),
-            F.substring(F.rtrim(s["x"], F.lit(SPACES)), -8, 8).alias("tail"),
-            F.when(F.size(s["words"]) <= 40, F.lower(s["x"])).alias("low"),
+            F.substring(F.rtrim(F.rtrim(s["x"], F.lit(SPACES)), F.lit(CLOSERS)), -1, 1).alias("last"),
+            F.when(phrased, F.regexp_count(F.lower(s["x"]), F.lit(PHRASES))).otherwise(0).alias("phrases"),
             s["x"].alias("x"),
         ),
     )
 
     def fails(s: Column) -> Column:
         symbols = (10 * s["symbols"] > 3 * s["words"]) | (10 * s["shouts"] > 5 * F.greatest(s["words"], F.lit(4)))
-        unended = ~s["tail"].rlike(TERMINAL) & ~s["x"].rlike(SENTENCE_END)
+        unended = ~(F.contains(F.lit(END_MARKS), s["last"]) & (s["last"] != "")) & ~s["x"].rlike(SENTENCE_END)
         menu = ((s["marks"] >= 2) & (3 * s["marks"] >= s["words"])) | ((s["words"] <= 8) & s["x"].rlike(NAVIGATION))
-        phrase = F.lit(False)
-        for text in BOILERPLATE:
-            phrase = phrase | s["low"].contains(text)
-        return (s["chars"] > 0) & (symbols | menu | unended | F.coalesce(phrase, F.lit(False)))
+        phrase = (s["phrases"] > 0) & (PHRASE_WORDS * s["phrases"] >= s["words"])
+        return (s["chars"] > 0) & (symbols | menu | unended | phrase)
 
     return F.transform(facts, lambda s: F.struct(s["chars"].alias("chars"), fails(s).alias("bad"), s["x"].alias("x")))
 
@@ -122,7 +134,8 @@ def clean_lines(docs: DataFrame, text_col: str = "text", min_words: int = 50, ma
     ``clean_text`` is the text itself.
     """
     df = quality_features(docs, text_col)
-    df = df.withColumn("__q_verdicts", line_verdicts(F.col("__q_lines")))
+    df = df.withColumn("__q_phrased", has_phrase(F.col("__q_text")))
+    df = df.withColumn("__q_verdicts", line_verdicts(F.col("__q_lines"), F.col("__q_phrased")))
     df = df.withColumn("__q_bad", F.filter("__q_verdicts", lambda s: s["bad"]))
     df = df.withColumn("__q_lost", F.aggregate("__q_bad", F.lit(0).cast("long"), lambda a, s: a + s["chars"]))
     kept_lines = F.transform(F.filter("__q_verdicts", lambda s: ~s["bad"]), lambda s: s["x"])
@@ -136,7 +149,7 @@ def clean_lines(docs: DataFrame, text_col: str = "text", min_words: int = 50, ma
         F.when(F.size("__q_bad") > 0, F.array_join(kept_lines, "\n")).otherwise(F.col("__q_text")).alias("clean_text"),
         (~failed & verdict).alias("kept"),
     )
-    return df.select(*[docs[c] for c in docs.columns if c != "quality"], quality.alias("quality"))
+    return df.select(*[docs[c] for c in docs.columns if c.lower() != "quality"], quality.alias("quality"))
 
 
 def kept_documents(docs: DataFrame, **rules) -> DataFrame:
@@ -170,15 +183,16 @@ l AS (
     len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS words,
     length(x) - length(translate(x, '#*$%&<>', '')) AS syms,
     length(x) - length(translate(x, '!?', '')) AS shouts,
-    length(x) - length(translate(x, '|»›•·', '')) AS seps
+    length(x) - length(translate(x, '|»›•·', '')) AS seps,
+    len(regexp_extract_all(lower(x), '{PHRASES}')) AS phrases
   FROM (SELECT doc_id, unnest(ls) AS x FROM w)
 ), lv AS (
   SELECT doc_id, line, chars, chars > 0 AND (
-    (NOT regexp_matches(right(rtrim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 8), '[.!?…:;。！？]["''”’»)\]]*$') AND NOT regexp_matches(line, '[.!?…。！？]'))
+    (NOT regexp_matches(right(rtrim(rtrim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '"''”’»)]'), 1), '[.!?…:;。！？]') AND NOT regexp_matches(line, '[.!?…。！？]'))
     OR 10 * syms > 3 * words OR 10 * shouts > 5 * greatest(words, 4)
     OR (seps >= 2 AND 3 * seps >= words)
     OR (regexp_matches(line, '(?i)^[\x20\x09-\x0D]*({NAVIGATION})(\P{L}|$)') AND words <= 8)
-    OR (words <= 40 AND len(list_filter([{BOILERPLATE}], lambda p: contains(lower(line), p))) > 0)) AS bad
+    OR (phrases > 0 AND 40 * phrases >= words)) AS bad
   FROM l
 ), lines AS (
   SELECT doc_id, sum(CASE WHEN bad THEN chars ELSE 0 END) AS lost, count(*) FILTER (bad) AS n_bad,
@@ -194,4 +208,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * lost <= 50 * word_chars AS kept,
   n_bad::BIGINT AS n_removed_lines
 FROM base
-""".replace("{NAVIGATION}", "|".join(NAVIGATION_WORDS)).replace("{BOILERPLATE}", ", ".join("'" + x.replace("'", "''") + "'" for x in BOILERPLATE))
+""".replace("{NAVIGATION}", "|".join(NAVIGATION_WORDS)).replace("{PHRASES}", PHRASES.replace("'", "''"))

@@ -4,9 +4,9 @@ A random string needs many tokens of a byte-level BPE vocabulary for its length.
 Long runs of key characters whose characters-per-token ratio is low are spans of
 kind ``random``, after known digests and identifiers are excluded. An identifier is a run
 whose parts between separators have a high ratio of their own, so the ratio decides on
-names as well: words joined by dashes pass, random groups joined by dashes do not. In
-URLs the dotted host name is left out, while userinfo and the rest are tested: each run as
-a whole, else segment by segment. The scan is a single pass over whole texts without a
+names as well: words joined by dashes pass, random groups joined by dashes do not, however
+short. In URLs the dotted host name, which is an identifier, is left out, while userinfo
+and the rest are tested: each run as a whole, else segment by segment. The scan is a single pass over whole texts without a
 shuffle, and linear in a text.
 
 Defined results: a null text counts as empty and has no spans; repeated rows get
@@ -42,7 +42,7 @@ SEGMENT = re.compile(r"[A-Za-z0-9+_-]{20,}")
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 HEXADECIMAL = re.compile(r"[0-9a-fA-F]+")
-#: Parts of a run up to this length tell nothing about it.
+#: Parts of a run up to this length tell little about it.
 SHORT_PART = 3
 #: The pre-split pattern of the byte-level vocabularies.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -65,8 +65,14 @@ def known(run: str) -> bool:
 
 
 def identifier_parts(run: str) -> list[str]:
-    """The parts of a run between its separators and numbers, but for short ones."""
-    return [x for x in re.split(r"[+/_=-]+|(?<![A-Za-z])[0-9]+(?![A-Za-z])|(?<=[a-z]{2})[0-9]{1,4}(?![A-Za-z0-9])", run) if len(x) > SHORT_PART]
+    """The parts of a run between its separators and numbers.
+
+    Short ones count only where they hold more than half of its letters and digits, as in
+    a licence key or a name of short words.
+    """
+    parts = re.split(r"[+/_=-]+|(?<![A-Za-z])[0-9]+(?![A-Za-z])|(?<=[a-z]{2})[0-9]{1,4}(?![A-Za-z0-9])", run)
+    long_parts = [x for x in parts if len(x) > SHORT_PART]
+    return long_parts if 2 * sum(map(len, long_parts)) >= sum(c.isalnum() for c in run) else [x for x in parts if x]
 
 
 def ratio(parts: list[str], vocabulary: str) -> float:
