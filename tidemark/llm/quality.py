@@ -84,25 +84,23 @@ def quality_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     ).drop("__q_packed", "__q_maybe", "__q_keys", "__q_again", "__q_full")
 
 
-def has_phrase(text: Column) -> Column:
-    """Whether a text holds a phrase of boilerplate anywhere."""
-    low = F.lower(text)
+def phrases_in(low: Column) -> Column:
+    """How many phrases of boilerplate a text in lower case holds; the pattern runs only where one is sure to be found."""
     found = F.lit(False)
     for phrase in BOILERPLATE:
         found = found | low.contains(phrase)
-    return found
+    return F.when(found, F.regexp_count(low, F.lit(PHRASES))).otherwise(0)
 
 
-def line_verdicts(lines: Column, phrased: Column) -> Column:
+def line_verdicts(lines: Column) -> Column:
     """For each line its characters in words, and whether it breaks a rule.
 
-    The cheap counts are bound once for each line. ``phrased`` tells whether the text
-    holds a phrase of boilerplate at all; only then are its lines searched. A line is
+    The cheap counts and the lower case are bound once for each line. A line is
     boilerplate if it has a phrase for every PHRASE_WORDS words, or part of them: prose
     that mentions a policy once in a long line is none.
     """
     facts = F.transform(
-        F.transform(lines, lambda x: F.struct(x.alias("x"), words_of(x).alias("words"))),
+        F.transform(lines, lambda x: F.struct(x.alias("x"), words_of(x).alias("words"), F.lower(x).alias("low"))),
         lambda s: F.struct(
             F.length(F.array_join(s["words"], "")).alias("chars"),
             F.size(s["words"]).alias("words"),
@@ -110,7 +108,7 @@ def line_verdicts(lines: Column, phrased: Column) -> Column:
             count_of(s["x"], "!?").alias("shouts"),
             count_of(s["x"], SEPARATORS).alias("marks"),
             F.substring(F.rtrim(F.rtrim(s["x"], F.lit(SPACES)), F.lit(CLOSERS)), -1, 1).alias("last"),
-            F.when(phrased, F.regexp_count(F.lower(s["x"]), F.lit(PHRASES))).otherwise(0).alias("phrases"),
+            phrases_in(s["low"]).alias("phrases"),
             s["x"].alias("x"),
         ),
     )
@@ -134,8 +132,7 @@ def clean_lines(docs: DataFrame, text_col: str = "text", min_words: int = 50, ma
     ``clean_text`` is the text itself.
     """
     df = quality_features(docs, text_col)
-    df = df.withColumn("__q_phrased", has_phrase(F.col("__q_text")))
-    df = df.withColumn("__q_verdicts", line_verdicts(F.col("__q_lines"), F.col("__q_phrased")))
+    df = df.withColumn("__q_verdicts", line_verdicts(F.col("__q_lines")))
     df = df.withColumn("__q_bad", F.filter("__q_verdicts", lambda s: s["bad"]))
     df = df.withColumn("__q_lost", F.aggregate("__q_bad", F.lit(0).cast("long"), lambda a, s: a + s["chars"]))
     kept_lines = F.transform(F.filter("__q_verdicts", lambda s: ~s["bad"]), lambda s: s["x"])
