@@ -10,7 +10,7 @@ from tidemark.plans import exam, extract_catalog
 from tidemark.plans.registry import query, table
 from tidemark.sinks import commits
 from tidemark.sinks import files as sinks
-from tidemark.sources import files, links
+from tidemark.sources import bytes, files, links
 from tidemark.streaming import ingest as stream
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations")
@@ -76,7 +76,25 @@ FILES = exam.SQL + """, fl AS (SELECT exam_id, string_agg(stem || chr(10), '' OR
 def file_hash_scan(spark, d):
     path = files.scratch(spark, "files")
     sinks.write_files(_lines(spark, d), "exam_id", "number", path)
-    return files.file_hashes(spark, path, "*.txt").select(F.regexp_extract("path", "exam_id=([0-9]+)/", 1).alias("exam_id"), "size", "sha256")
+    return bytes.file_hashes(spark, path, "*.txt").select(F.regexp_extract("path", "exam_id=([0-9]+)/", 1).alias("exam_id"), "size", "sha256")
+
+
+@query("SELECT exam_id::VARCHAR AS exam_id, octet_length(encode(body))::BIGINT AS size, CASE WHEN octet_length(encode(body)) <= 2000 THEN body END AS body, CASE WHEN octet_length(encode(body)) > 2000 THEN 'file exceeds 2000 bytes' END AS error FROM fl", FILES)
+def limited_files(spark, d):
+    """Files up to a size are read whole, larger ones not at all."""
+    path = files.scratch(spark, "limited")
+    sinks.write_files(_lines(spark, d), "exam_id", "number", path)
+    rows = bytes.limited_files(spark, path, 2000, "*.txt")
+    return rows.select(F.regexp_extract("path", "exam_id=([0-9]+)/", 1).alias("exam_id"), "size", F.decode("content", "UTF-8").alias("body"), "error")
+
+
+@query("SELECT page_id, url, sha256(html) AS html FROM pages WHERE html IS NOT NULL")
+def csv_in_splits(spark, d):
+    """Pages as CSV cells with line breaks and quotes, read in splits far smaller than a file."""
+    path = files.scratch(spark, "csv")
+    sinks.write_csv(table(spark, d, "pages").where("html is not null").select("page_id", "url", "html"), path)
+    rows = bytes.csv_records(spark, path, "page_id long, url string, html string", "*.csv", 256 << 10)
+    return rows.select("page_id", "url", F.sha2(F.coalesce("html", F.lit("")), 256).alias("html"))
 
 
 @query("SELECT exam_id::VARCHAR AS exam_id, CASE exam_id % 5 WHEN 1 THEN 'changed' WHEN 2 THEN 'missing' WHEN 3 THEN 'unexpected' ELSE 'same' END AS status FROM fl", FILES)
@@ -87,7 +105,7 @@ def archive_verify(spark, d):
     frozen = sinks.freeze(spark, f"{root}/frozen", f"{root}/manifest", "exam_id")
     now = _lines(spark, d).where("exam_id % 5 <> 2").withColumn("line", F.when(F.expr("exam_id % 5 = 1 and number = 1"), F.concat("line", F.lit("!"))).otherwise(F.col("line")))
     sinks.write_files(now, "exam_id", "number", f"{root}/now")
-    found = files.file_hashes(spark, f"{root}/now", "*.txt").select(F.regexp_extract("path", "exam_id=([0-9]+)/", 1).alias("exam_id"), "size", "sha256")
+    found = bytes.file_hashes(spark, f"{root}/now", "*.txt").select(F.regexp_extract("path", "exam_id=([0-9]+)/", 1).alias("exam_id"), "size", "sha256")
     return sinks.verify_archive(frozen, found, "exam_id")
 
 

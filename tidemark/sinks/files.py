@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.expect import manifest_compare
-from tidemark.sources.files import BOM, file_hashes
+from tidemark.sources.bytes import file_hashes
+from tidemark.sources.files import BOM
 
 
 def write_csv(df: DataFrame, path: str) -> None:

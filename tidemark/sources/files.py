@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.jsonx import canonical_json, json_string
+from tidemark.sources.bytes import csv_records
 
 BOM = "﻿"
 #: Pauses of a recording that count are eight seconds or longer.
@@ -28,7 +29,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """CSV with a header whose first name may begin with a byte order mark; cells may hold line breaks."""
-    return spark.read.csv(path, schema=schema, header=True, enforceSchema=True, multiLine=True, escape='"', encoding="UTF-8")
+    return csv_records(spark, path, schema, "*.csv")
 
 
 def source_list(spark: SparkSession, path: str) -> DataFrame:
@@ -57,12 +58,6 @@ def manifest_entries(manifests: DataFrame, session: int | Column, level: str, re
     return got.select("doc", "entries", "keys", ((F.col("entries") == len(required)) & (F.size(F.array_except(wanted, "keys")) == 0)).alias("complete"))
 
 
-def file_hashes(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """``path, size, sha256`` of the files below a path, by a scan of their bytes."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
-
-
 def strict_objects(raw: Column) -> Column:
     """The fault of a text that must be a JSON object, or null."""
     parsed = canonical_json(raw)
