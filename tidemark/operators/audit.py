@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.numbering import numbered
 VERDICTS = ("clear", "finding", "uncertain")
 #: Severity scores and the thresholds of risk levels.
 SEVERITY = {"low": 15, "medium": 35, "high": 65, "critical": 90}
@@ -235,7 +236,7 @@ def pass_status(scope: DataFrame) -> DataFrame:
 
 def attempt_log(attempts: DataFrame) -> DataFrame:
     """Numbers the attempts of each pass in order of time and id."""
-    return attempts.withColumn("attempt_number", F.row_number().over(Window.partitionBy("pass_id").orderBy("ts", "id")).cast("long"))
+    return numbered(attempts, ["pass_id"], ["ts", "id"], "attempt_number")
 
 
 def retry_summary(log: DataFrame) -> DataFrame:

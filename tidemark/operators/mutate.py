@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.numbering import numbered
+
 
 def insert_ignore(old: DataFrame, new: DataFrame, key: str, content: str) -> DataFrame:
     """Classifies new rows: inserted, already_imported, or conflict where the content differs.
@@ -13,8 +15,8 @@ def insert_ignore(old: DataFrame, new: DataFrame, key: str, content: str) -> Dat
     compared with it.
     """
     stored = old.select(key, F.col(content).alias("__old"))
-    same = Window.partitionBy(key)
-    rows = new.join(stored, key, "left").withColumns({"__first": F.min(content).over(same), "__turn": F.row_number().over(same.orderBy(content))})
+    least = new.groupBy(F.col(key).alias("__key")).agg(F.min(content).alias("__first"))
+    rows = numbered(new, [key], [content], "__turn").join(stored, key, "left").join(least, F.col(key).eqNullSafe(F.col("__key")))
     against = F.coalesce("__old", "__first")
     status = F.when(F.col("__old").isNull() & (F.col("__turn") == 1), "inserted").when(against == F.col(content), "already_imported").otherwise("conflict")
     return rows.select(key, content, status.alias("status"))
@@ -55,8 +57,8 @@ def upgrade_triage(rows: DataFrame, reviewed: DataFrame, key: str) -> DataFrame:
 def allocate_ids(old: DataFrame, new: DataFrame, group: str, number: str, order: list[str]) -> DataFrame:
     """Continues the numbering of each group after its greatest number."""
     top = old.groupBy(group).agg(F.max(number).alias("__top"))
-    n = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return new.join(top, group, "left").withColumn(number, (F.coalesce("__top", F.lit(0)) + n).cast("long")).drop("__top")
+    rows = numbered(new, [group], order, "__n")
+    return rows.join(top, group, "left").withColumn(number, F.coalesce("__top", F.lit(0)) + F.col("__n")).drop("__top", "__n")
 
 
 def monotone_violations(checkpoints: DataFrame, key: str, sequence: str, ids: str) -> DataFrame:

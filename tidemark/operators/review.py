@@ -25,10 +25,11 @@ def note_of(evidence: Column) -> Column:
 
 def histories(records: DataFrame) -> DataFrame:
     """``subject_id, version, history``: all records counted, and the newest thirty, newest first."""
-    newest = Window.partitionBy("subject_id").orderBy(F.desc("id"))
-    rows = records.withColumn("k", F.row_number().over(newest)).withColumn("note", note_of(F.col("evidence")))
-    item = F.when(F.col("k") <= HISTORY, F.struct("k", "note", "reviewed_at", "scope", "status"))
-    got = rows.groupBy("subject_id").agg(F.count(F.lit(1)).alias("version"), F.array_sort(F.collect_list(item)).alias("h"))
+    k = F.row_number().over(Window.partitionBy("subject_id").orderBy(F.desc("id")))
+    # the limit is applied before the shuffle too, so a task holds no more than thirty records of a subject from each part
+    newest = records.withColumn("k", k).where(F.col("k") <= HISTORY).withColumn("note", note_of(F.col("evidence")))
+    listed = newest.groupBy("subject_id").agg(F.array_sort(F.collect_list(F.struct("k", "note", "reviewed_at", "scope", "status"))).alias("h"))
+    got = records.groupBy("subject_id").agg(F.count(F.lit(1)).alias("version")).join(listed, "subject_id")
     return got.select("subject_id", "version", F.transform("h", lambda x: F.struct(x["note"].alias("note"), x["reviewed_at"].alias("reviewed_at"), x["scope"].alias("scope"), x["status"].alias("status"))).alias("history"))
 
 

@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators import audit, expect, intervals, mutate
+from tidemark.operators import audit, expect, intervals, multiset, mutate
 from tidemark.plans import adapter, audit_catalog, basic_catalog, extract_catalog, files_catalog, ingest_catalog, registry, review_catalog  # noqa: F401  (the catalogues register their queries)
 from tidemark.plans.adapter import table
-from tidemark.sources import links
+from tidemark.sources import files, links
 
 
 
@@ -321,6 +321,18 @@ def parity_diff(spark, d):
     return expect.parity_diff(left, right, "c_custkey", ["c_custkey", "c_name", "c_nationkey"])
 
 
+@query(registry.SQL["parity_diff"])
+def parity_descent(spark, d):
+    """The same differences from two stored hash trees; rows are read only in the leaves that differ."""
+    left = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey")
+    right = left.where("c_custkey % 97 <> 1").withColumn("c_name", F.when(F.expr("c_custkey % 97 = 0"), "other").otherwise(F.col("c_name")))
+    right = right.unionByName(left.where("c_custkey % 500 = 3").withColumn("c_custkey", -F.col("c_custkey") - 1))
+    root, depth = files.scratch(spark, "trees"), multiset.depth_for(left.count())
+    for name, side in (("left", left), ("right", right)):
+        multiset.write_tree(side, "c_custkey", left.columns, f"{root}/{name}", depth)
+    return multiset.parity_by_descent(spark, f"{root}/left", f"{root}/right", "c_custkey", left.schema["c_custkey"].dataType.simpleString(), depth)
+
+
 @query("SELECT * FROM (VALUES ('c_acctbal', 'missing', 'double', NULL), ('c_nationkey', 'type', 'int', 'bigint'), ('note', 'extra', NULL, 'string'), ('c_mktsegment', 'position', 'string', 'string')) AS t(column_name, difference, left_type, right_type)")
 def schema_diff(spark, d):
     left = table(spark, d, "customer")

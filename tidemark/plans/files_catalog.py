@@ -8,7 +8,7 @@ from tidemark.functions import text as T
 from tidemark.operators import mutate
 from tidemark.plans import exam, extract_catalog
 from tidemark.plans.registry import query, table
-from tidemark.sinks import commits
+from tidemark.sinks import appendlog, commits
 from tidemark.sinks import files as sinks
 from tidemark.sources import bytes, files, links
 from tidemark.streaming import ingest as stream
@@ -151,6 +151,23 @@ def append_with_ids(spark, d):
     return sinks.append_rows(mutate.allocate_ids(old, o.where("o_orderstatus <> 'F'").drop("o_orderstatus"), "subject_id", "number", ["record"]), path)
 
 
+@query("""SELECT 'part ' || k AS name, n AS expected, CASE k WHEN 1 THEN 2 * n WHEN 2 THEN n - m ELSE n END::BIGINT AS rows, CASE k WHEN 1 THEN 'repeated' WHEN 2 THEN 'removed' WHEN 3 THEN 'changed' ELSE 'same' END AS status, k = 0 AS repeat_ignored
+FROM (SELECT o_orderkey % 5 AS k, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS m FROM orders GROUP BY k)""")
+def append_proof(spark, d):
+    """Five appends, of which one is repeated by name; later rows of one are doubled, of one removed, and of one changed."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    log = appendlog.AppendLog(spark, files.scratch(spark, "appends"), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in o.schema))
+    part = lambda k: o.where(F.col("o_orderkey") % 5 == k)
+    for k in range(5):
+        log.append(part(k), f"part {k}")
+    again = log.append(part(0), "part 0")
+    folder = {a.name: f"{log.root}/data/folder={a.folder}" for a in log.appends()}
+    part(1).write.mode("append").parquet(folder["part 1"])
+    part(2).where("o_orderstatus <> 'F'").write.mode("overwrite").parquet(folder["part 2"])
+    part(3).withColumn("o_custkey", F.col("o_custkey") + 1).write.mode("overwrite").parquet(folder["part 3"])
+    return log.proof().withColumn("repeat_ignored", (F.col("name") == "part 0") & F.lit(not again))
+
+
 @query("""SELECT c_custkey, round(c_acctbal * 100)::BIGINT AS before, round(c_acctbal * 100)::BIGINT + CASE WHEN c_nationkey < 10 THEN 100 ELSE 0 END AS cents, CASE WHEN c_nationkey < 10 THEN 2 WHEN c_nationkey < 20 THEN 3 ELSE 1 END::BIGINT AS version, c_nationkey BETWEEN 5 AND 12 AS refused
 FROM customer WHERE NOT c_nationkey BETWEEN 15 AND 19""")
 def concurrent_commit(spark, d):
