@@ -8,7 +8,7 @@ from tidemark.functions import text as T
 from tidemark.operators import mutate
 from tidemark.plans import exam, extract_catalog
 from tidemark.plans.registry import query, table
-from tidemark.sinks import appendlog, commits
+from tidemark.sinks import appendlog, commits, loads
 from tidemark.sinks import files as sinks
 from tidemark.sources import bytes, files, links
 from tidemark.streaming import ingest as stream
@@ -133,6 +133,31 @@ def bulk_load(spark, d):
     return out
 
 
+@query("""WITH t AS (SELECT 'region' AS "table", 1 AS position, count(*) AS rows, 0 AS lost FROM region UNION ALL SELECT 'nation', 2, count(*), 0 FROM nation UNION ALL SELECT 'customer', 3, count(*), count(*) FILTER (c_nationkey = 7) FROM customer UNION ALL SELECT 'orders', 4, count(*), 0 FROM orders)
+SELECT 'good' AS load, "table", position::BIGINT AS position, rows, 0::BIGINT AS orphans, 'loaded' AS status FROM t
+UNION ALL SELECT 'broken', "table", position, CASE "table" WHEN 'nation' THEN rows - 1 ELSE rows END, lost, CASE WHEN lost > 0 THEN 'broken reference' ELSE 'held back' END FROM t
+UNION ALL SELECT 'changing', "table", position, rows, 0, CASE "table" WHEN 'customer' THEN 'source changed' ELSE 'held back' END FROM t
+UNION ALL SELECT 'ring', 'cycle: customer > nation > region > customer', 0, count(*), 0, 'refused' FROM region""")
+def ordered_load(spark, d):
+    """Four loads of the same tables: sound, with a nation that is missing, with a source that changes on the way, and with a ring of references."""
+    names = ("orders", "customer", "nation", "region")
+    refs = [("orders", "o_custkey", "customer", "c_custkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("nation", "n_regionkey", "region", "r_regionkey")]
+    source = {n: (lambda n=n: table(spark, d, n)) for n in names}
+    c = table(spark, d, "customer")
+    turns = iter((c, c.withColumn("c_acctbal", F.col("c_acctbal") + 1)))
+    cases = {"good": {}, "broken": {"nation": lambda: table(spark, d, "nation").where("n_nationkey <> 7")}, "changing": {"customer": lambda: next(turns)}}
+    out = None
+    for name, other in cases.items():
+        rows = loads.load_ordered(source | other, refs, files.scratch(spark, f"ordered-{name}")).withColumn("load", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    try:
+        loads.load_ordered(source, [*refs, ("region", "r_regionkey", "customer", "c_custkey")], files.scratch(spark, "ordered-ring"))
+    except ValueError as e:
+        ring = table(spark, d, "region").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(str(e)).alias("table"), F.lit(0).cast("long").alias("position"), "rows", F.lit(0).cast("long").alias("orphans"), F.lit("refused").alias("status"), F.lit("ring").alias("load"))
+        out = out.unionByName(ring)
+    return out
+
+
 @query("SELECT count(*) AS rows, count(DISTINCT c_custkey) AS keys, sum(c_nationkey)::BIGINT AS nations FROM customer")
 def snapshot_read(spark, d):
     """A version that stays as it was although another one follows it."""

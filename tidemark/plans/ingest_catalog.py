@@ -10,7 +10,9 @@ from tidemark.plans import exam
 from tidemark.plans.audit_catalog import STATUS, checkpoints
 from tidemark.plans.registry import query, table
 from tidemark.sinks import files as sinks
+from tidemark.sinks import store
 from tidemark.sources import files
+from tidemark.sources.files import scratch
 from tidemark.streaming import attempts
 
 
@@ -39,6 +41,21 @@ def source_snapshot(spark, d):
     return s.select("exam_id", "n_questions", "snapshot_sha256", F.length("snapshot_json").cast("long").alias("size"))
 
 
+@query("""SELECT exam_id, count(*) AS n, sha256(string_agg(sha256(body), chr(10) ORDER BY number)) AS sha256, count(*) FILTER (changed) AS added, sum(length(body))::BIGINT AS characters, 0::BIGINT AS faults
+FROM (SELECT exam_id, number, subject_id % 50 = 0 AS changed, CASE WHEN subject_id % 50 = 0 THEN doc || ' ' ELSE doc END AS body FROM dc) GROUP BY exam_id""", DOCS)
+def snapshot_store(spark, d):
+    """A second snapshot, of which one document in fifty changed, adds those alone and is read back by hash."""
+    docs = documents(spark, d).select("exam_id", "number", F.col("doc").alias("body"), "subject_id")
+    s = store.DocumentStore(spark, scratch(spark, "store"))
+    s.snapshot(docs, "first", "exam_id", "number")
+    before = s.stored().select("hash")
+    s.snapshot(docs.withColumn("body", F.when(F.col("subject_id") % 50 == 0, F.concat("body", F.lit(" "))).otherwise(F.col("body"))), "second", "exam_id", "number")
+    kind = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("exam_id", "number"))
+    rows = s.read("second", kind).join(before.withColumn("old", F.lit(1)), "hash", "left")
+    got = rows.groupBy("exam_id").agg(F.count_if(F.col("old").isNull()).alias("added"), F.sum(F.length("body")).alias("characters"), F.count("fault").alias("faults"))
+    return s.identities("second", kind, "exam_id", "number").join(got, "exam_id")
+
+
 def _requests(spark, d):
     """Subjects with an urgent order, in the order of their newest one, and an unknown one for some exams."""
     urgent = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").groupBy(F.col("o_custkey").alias("subject_id")).agg(F.max("o_orderkey").alias("at")).withColumn("exam_id", F.expr(f"subject_id div {exam.SIZE}"))
