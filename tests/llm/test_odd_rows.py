@@ -179,3 +179,14 @@ def test_quality_of_long_lines(spark):
 def test_quality_column_of_another_case(spark):
     df = spark.createDataFrame([(1, "x", "y")], "doc_id long, text string, Quality string")
     assert quality.kept_documents(df).count() == 0 and quality.clean_lines(df).columns == ["doc_id", "text", "quality"]
+
+
+def test_spelled_insult_is_whole_in_a_part_at_every_offset():
+    insult = "i-d-i-o-t-s-s"
+    assert len(insult) == 2 * toxicity.SPAN - 1
+    for n in (25, 60, 200):
+        for at in range(n):
+            word = "x" * at + insult + "y" * (n - at)
+            parts = toxicity.pieces(word)
+            assert any(insult.encode() in p for p in parts), (n, at)
+            assert all(len(p) <= toxicity.LONGEST for p in parts) and parts[-1].endswith(b"y")

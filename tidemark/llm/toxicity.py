@@ -90,7 +90,8 @@ def encoded(word: str) -> bytes:
 def pieces(word: str) -> list[bytes]:
     """The bytes of a word between its first and last letter; long words are read in overlapping parts."""
     b = encoded(word).strip(NO_LETTERS)
-    return [b] if len(b) <= LONGEST else [b[i : i + LONGEST] for i in range(0, len(b) - SPAN, LONGEST - SPAN - 1)]
+    overlap = 2 * SPAN - 2  # a triple with other characters between covers one more, and is whole in some part
+    return [b] if len(b) <= LONGEST else [b[i : i + LONGEST] for i in range(0, len(b) - overlap, LONGEST - overlap)]
 
 
 def _by_length(strings: list[bytes]):
