@@ -115,9 +115,13 @@ def summaries(a: DataFrame) -> DataFrame:
     return rows.withColumns({"verdict": verdict, "risk_level": risk_level(F.col("risk_score")), "completed_passes": F.col("total"), "findings": named}).drop("top", "again", "passes")
 
 
-def latest_run(rows: DataFrame) -> DataFrame:
-    """The newest run of each subject among the given rows; ties of created_at go to the greater run id."""
-    return rows.groupBy("subject_id").agg(F.max(F.struct("created_at", "run_id")).alias("m")).select("subject_id", F.col("m.run_id").alias("run_id"))
+def latest_runs(a: DataFrame) -> DataFrame:
+    """``subject_id, newest_any, newest_judged`` in one aggregate: (created_at, run_id) of the newest run, and of the newest with a verdict.
+
+    Ties of created_at go to the greater run id.
+    """
+    run = F.struct("created_at", "run_id")
+    return a.groupBy("subject_id").agg(F.max(run).alias("newest_any"), F.max(F.when(F.col("completed"), run)).alias("newest_judged"))
 
 
 def newest_summaries(a: DataFrame) -> DataFrame:

@@ -131,12 +131,8 @@ def question_history_findings(spark, d):
 @query("SELECT subject_id, max(created_at || ' ' || run_id) AS newest_any, max(CASE WHEN completed THEN created_at || ' ' || run_id END) AS newest_judged FROM sc GROUP BY subject_id", exam.SQL)
 def latest_run_any(spark, d):
     """The newest run with the subject in scope, and the newest with a verdict on it."""
-    a = exam.audits(spark, d)
-    said = F.concat_ws(" ", "created_at", "run_id")
-    newest = report.latest_run(a).join(a.select("subject_id", "run_id", "created_at").distinct(), ["subject_id", "run_id"]).select("subject_id", said.alias("newest_any"))
-    done = a.where("completed")
-    judged = report.latest_run(done).join(done.select("subject_id", "run_id", "created_at").distinct(), ["subject_id", "run_id"]).select("subject_id", said.alias("newest_judged"))
-    return newest.join(judged, "subject_id", "left")
+    said = lambda c: F.when(F.col(c).isNotNull(), F.concat_ws(" ", f"{c}.created_at", f"{c}.run_id")).alias(c)
+    return report.latest_runs(exam.audits(spark, d)).select("subject_id", said("newest_any"), said("newest_judged"))
 
 
 # --- status ------------------------------------------------------------------------------

@@ -219,8 +219,8 @@ def silence_log(spark, d):
     e, l = F.expr("event_id * 20000 + 20000"), F.expr("500 + (event_id * 37) % 15000")
     seconds = lambda ms: F.concat((ms / 1000).cast("long").cast("string"), F.lit("."), F.lpad((ms % 1000).cast("string"), 3, "0"))
     line = F.concat(F.lit("[silencedetect @ 0x1] silence_end: "), seconds(e), F.lit(" | silence_duration: "), seconds(l))
-    log = table(spark, d, "events").groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", line.alias("x")))), lambda x: x["x"]), "\n").alias("log"))
-    rows = log.select("user_id", files.pauses(F.col("log")).alias("p")).where(F.size("p") > 0)
+    lines = table(spark, d, "events").select("user_id", "event_id", line.alias("line"))
+    rows = files.pauses(lines, "line", "user_id", "event_id").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "start_ms", "end_ms"))).alias("p"))
     return rows.select("user_id", F.array_join(F.transform("p", lambda x: F.concat_ws("-", x["start_ms"], x["end_ms"])), ",").alias("pauses"), F.size("p").cast("long").alias("n"))
 
 

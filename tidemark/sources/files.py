@@ -69,14 +69,17 @@ def permissive_json(raw: Column) -> Column:
     return F.coalesce(canonical_json(raw), json_string(raw))
 
 
-def pauses(log: Column) -> Column:
-    """(start_ms, end_ms) of the long pauses that a detection log lists, in its order."""
-    pattern = "silence_end:\\s*([0-9.]+)\\s*\\|\\s*silence_duration:\\s*([0-9.]+)"
-    both = F.arrays_zip(F.regexp_extract_all(log, F.lit(pattern), F.lit(1)).alias("end"), F.regexp_extract_all(log, F.lit(pattern), F.lit(2)).alias("length"))
+def pauses(lines: DataFrame, line: str, *keep: str) -> DataFrame:
+    """The kept columns, start_ms and end_ms of the long pauses that lines of a detection log tell.
+
+    A line tells of a whole pause, so each is read alone, and a log of any length, or a third
+    of all lines, is spread over all tasks.
+    """
+    told = "silence_end:\\s*([0-9.]+)\\s*\\|\\s*silence_duration:\\s*([0-9.]+)"
+    end, length = (F.regexp_extract(line, told, i) for i in (1, 2))
+    rows = lines.where(F.col(line).contains("silence_end")).select(*keep, end.try_cast("double").alias("__end"), length.try_cast("double").alias("__length"))
     ms = lambda x: F.bround(x * 1000).cast("long")
-    each = F.transform(both, lambda x: F.struct(x["end"].cast("double").alias("end"), x["length"].cast("double").alias("length")))
-    long_ = F.filter(each, lambda x: x["length"] * 1000 >= LONG_PAUSE_MS)
-    return F.transform(long_, lambda x: F.struct(ms(x["end"] - x["length"]).alias("start_ms"), ms(x["end"]).alias("end_ms")))
+    return rows.where(F.col("__length") * 1000 >= LONG_PAUSE_MS).select(*keep, ms(F.col("__end") - F.col("__length")).alias("start_ms"), ms(F.col("__end")).alias("end_ms"))
 
 
 def catalog_columns(tables: dict[str, DataFrame]) -> DataFrame:
