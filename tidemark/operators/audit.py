@@ -1,7 +1,7 @@
 """Consensus, risk, convergence and history over independent audit passes.
 
-Every operator computes all runs and subjects in one plan from three long relations
-(see ``plans.adapter``): ``scope``, ``verdicts`` and ``occurrences``.
+Every operator computes all runs and subjects in one plan, most from one relation
+``passes`` (see ``run_consensus``).
 """
 
 from __future__ import annotations
@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import presence
 from tidemark.operators.numbering import numbered
+
 VERDICTS = ("clear", "finding", "uncertain")
 #: Severity scores and the thresholds of risk levels.
 SEVERITY = {"low": 15, "medium": 35, "high": 65, "critical": 90}
@@ -35,66 +37,42 @@ def verdict_totals(verdicts: DataFrame, *keys: str) -> DataFrame:
     return verdicts.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("verdict") == v).alias(v) for v in VERDICTS])
 
 
-def run_consensus(verdicts: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """Per run and fingerprint: agreement among eligible completed passes, and risk."""
-    eligible = verdicts.groupBy("run_id", "subject_id").agg(F.count(F.lit(1)).alias("eligible"))
-    found = occurrences.groupBy("run_id", "subject_id", "fingerprint").agg(
-        F.count_distinct("pass_number").alias("consensus_count"), F.count(F.lit(1)).alias("occurrences"), F.max("score").alias("top"), F.min_by("category", "occ_id").alias("category")
-    )
-    rows = found.join(eligible, ["run_id", "subject_id"], "left").withColumn("eligible", F.coalesce("eligible", F.lit(0)))
-    score = F.least(F.lit(100), F.col("top") + (F.col("occurrences") - 1) * 10)
-    ratio = F.when(F.col("eligible") > 0, F.bround(F.col("consensus_count") / F.col("eligible"), 4)).otherwise(0.0)
-    return rows.select("run_id", "subject_id", "fingerprint", "category", "consensus_count", "eligible", ratio.alias("ratio"), severity_name(F.col("top")).alias("max_severity"), score.cast("long").alias("risk_score"), risk_level(score, False).alias("risk_level"))
-
-
-def question_summary(scope: DataFrame, verdicts: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """Per run and subject: verdict totals, disagreement, risk and execution counts."""
-    totals = verdict_totals(verdicts, "run_id", "subject_id")
-    per = occurrences.groupBy("run_id", "subject_id", "fingerprint").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("top"))
-    per = per.groupBy("run_id", "subject_id").agg(F.max("top").alias("top"), F.max("n").alias("recurrence"), F.count(F.lit(1)).alias("n_findings"))
-    passes = scope.groupBy("run_id", "subject_id").agg(F.count(F.lit(1)).alias("pass_total"))
-    rows = totals.join(per, ["run_id", "subject_id"], "left").join(passes, ["run_id", "subject_id"])
-    distinct = sum(((F.col(v) > 0).cast("int") for v in VERDICTS[1:]), (F.col("clear") > 0).cast("int"))
-    disagreement = distinct > 1
-    recurrence = F.coalesce("recurrence", F.lit(0))
-    risk = F.coalesce("top", F.lit(0)) + F.when(recurrence > 1, F.least(F.lit(20), (recurrence - 1) * 10)).otherwise(0) + F.when(disagreement, 15).otherwise(0) + F.least(F.lit(10), F.col("uncertain") * 5)
-    rows = rows.withColumn("risk_score", F.least(F.lit(100), risk).cast("long"))
-    verdict = F.when(F.col("finding") > 0, "finding").when(F.col("uncertain") > 0, "uncertain").otherwise("clear")
-    return rows.select("run_id", "subject_id", verdict.alias("verdict"), "total", *VERDICTS, disagreement.alias("disagreement"), "risk_score", risk_level(F.col("risk_score")).alias("risk_level"), F.coalesce("n_findings", F.lit(0).cast("long")).alias("n_findings"), "pass_total", F.col("total").alias("completed_passes"))
-
-
-def _items(passes: DataFrame, *keys: str) -> DataFrame:
+def _items(passes: DataFrame) -> DataFrame:
     """Per run and subject, its passes counted and the findings of them all in one list, which is as long as a subject has findings."""
-    item = F.transform("found", lambda x: F.struct(F.col("pass_number").alias("pass_number"), x["kind"].alias("kind"), x["score"].alias("score"), x["occ_id"].alias("occ_id")))
-    return passes.groupBy("run_id", "subject_id", *keys).agg(
+    item = F.transform("found", lambda x: F.struct(F.col("pass_number").alias("pass_number"), x["fingerprint"].alias("fingerprint"), x["score"].alias("score"), x["occ_id"].alias("occ_id"), x["category"].alias("category")))
+    return passes.groupBy("run_id", "subject_id", "created_at").agg(
         F.count(F.lit(1)).alias("pass_total"), F.count("verdict").alias("total"), *[F.count_if(F.col("verdict") == v).alias(v) for v in VERDICTS], F.flatten(F.collect_list(item)).alias("items")
     )
 
 
 def _per_finding(items: Column) -> Column:
-    """(kind, passes, worst score) of each finding of a list of items."""
-    kinds = F.array_distinct(F.transform(items, lambda x: x["kind"]))
+    """(fingerprint, n passes, worst score, first category) of each finding of a list of items."""
 
-    def one(kind: Column) -> Column:
-        own = F.filter(items, lambda x: x["kind"] == kind)
-        return F.struct(kind.alias("kind"), F.size(F.array_distinct(F.transform(own, lambda x: x["pass_number"]))).alias("n"), F.array_max(F.transform(own, lambda x: x["score"])).alias("top"), F.array_min(F.transform(own, lambda x: x["occ_id"])).alias("occ_id"))
+    def one(fingerprint: Column) -> Column:
+        own = F.filter(items, lambda x: x["fingerprint"] == fingerprint)
+        first = F.array_min(F.transform(own, lambda x: F.struct(x["occ_id"].alias("occ_id"), x["category"].alias("category"))))
+        n = F.size(F.array_distinct(F.transform(own, lambda x: x["pass_number"])))
+        return F.struct(fingerprint.alias("fingerprint"), n.alias("n"), F.array_max(F.transform(own, lambda x: x["score"])).alias("top"), first["category"].alias("category"))
 
-    return F.transform(kinds, one)
+    return F.transform(F.array_distinct(F.transform(items, lambda x: x["fingerprint"])), one)
 
 
-def consensus_of_passes(passes: DataFrame, fingerprint) -> DataFrame:
-    """``run_consensus`` in one grouping; ``passes`` as ``plans.adapter.passes`` gives them."""
+def run_consensus(passes: DataFrame) -> DataFrame:
+    """Per run and fingerprint: agreement among eligible completed passes, and risk.
+
+    ``passes``: a row for a run, pass and subject of its scope, with created_at, completed,
+    verdict (null while the pass is open) and found, an array of (fingerprint, score, occ_id,
+    category). A finding that a pass lists twice counts once, with its worst score.
+    """
     rows = _items(passes).select("run_id", "subject_id", F.col("total").alias("eligible"), F.explode(_per_finding(F.col("items"))).alias("f"))
     n, top = F.col("f.n").cast("long"), F.col("f.top")
     score = F.least(F.lit(100), top + (n - 1) * 10)
-    return rows.select(
-        "run_id", "subject_id", fingerprint(F.col("subject_id"), F.col("f.kind")).alias("fingerprint"), F.concat(F.lit("kind-"), F.col("f.kind").cast("string")).alias("category"), n.alias("consensus_count"), "eligible",
-        F.bround(n / F.col("eligible"), 4).alias("ratio"), severity_name(top).alias("max_severity"), score.cast("long").alias("risk_score"), risk_level(score, False).alias("risk_level"),
-    )
+    ratio = F.when(F.col("eligible") > 0, F.bround(n / F.col("eligible"), 4)).otherwise(0.0)
+    return rows.select("run_id", "subject_id", "f.fingerprint", "f.category", n.alias("consensus_count"), "eligible", ratio.alias("ratio"), severity_name(top).alias("max_severity"), score.cast("long").alias("risk_score"), risk_level(score, False).alias("risk_level"))
 
 
-def summary_of_passes(passes: DataFrame) -> DataFrame:
-    """``question_summary`` in one grouping."""
+def question_summary(passes: DataFrame) -> DataFrame:
+    """Per run and subject: verdict totals, disagreement, risk and execution counts."""
     rows = _items(passes).where("total > 0").withColumn("f", _per_finding(F.col("items")))
     zero = F.lit(0)
     best = lambda name: F.coalesce(F.array_max(F.transform("f", lambda x: x[name])), zero)
@@ -106,12 +84,19 @@ def summary_of_passes(passes: DataFrame) -> DataFrame:
     return rows.select("run_id", "subject_id", verdict.alias("verdict"), "total", *VERDICTS, disagreement.alias("disagreement"), "risk_score", risk_level(F.col("risk_score")).alias("risk_level"), F.size("f").cast("long").alias("n_findings"), "pass_total", F.col("total").alias("completed_passes"))
 
 
-def presence_of_passes(passes: DataFrame, fingerprint) -> DataFrame:
-    """``run_presence`` in one grouping."""
-    rows = passes.groupBy("run_id", "subject_id", "created_at").agg(F.count(F.lit(1)).alias("pass_total"), F.count("verdict").alias("n"), F.array_sort(F.collect_set("verdict")).alias("verdicts"), F.array_distinct(F.flatten(F.collect_list(F.transform("found", lambda x: x["kind"])))).alias("kinds"))
-    prints = F.array_sort(F.transform("kinds", lambda k: fingerprint(F.col("subject_id"), k)))
-    rows = rows.select("run_id", "subject_id", "created_at", "pass_total", "n", F.when(F.col("n") > 0, F.col("verdicts")).alias("verdicts"), prints.alias("fingerprints"), (F.col("n") == F.col("pass_total")).alias("complete"))
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("subject_id").orderBy(F.desc("created_at"), F.desc("run_id"))))
+def _prints() -> Column:
+    return F.transform("found", lambda x: x["fingerprint"])
+
+
+def _newest_first() -> Column:
+    return F.row_number().over(Window.partitionBy("subject_id").orderBy(F.desc("created_at"), F.desc("run_id")))
+
+
+def run_presence(passes: DataFrame) -> DataFrame:
+    """Per run and subject: completeness, verdict set and fingerprints, ranked newest first."""
+    rows = passes.groupBy("run_id", "subject_id", "created_at").agg(F.count(F.lit(1)).alias("pass_total"), F.count("verdict").alias("n"), F.array_sort(F.collect_set("verdict")).alias("verdicts"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(_prints())))).alias("fingerprints"))
+    rows = rows.select("run_id", "subject_id", "created_at", "pass_total", "n", F.when(F.col("n") > 0, F.col("verdicts")).alias("verdicts"), "fingerprints", (F.col("n") == F.col("pass_total")).alias("complete"))
+    return rows.withColumn("rank", _newest_first())
 
 
 def latest_run_per_subject(rows: DataFrame) -> DataFrame:
@@ -127,25 +112,13 @@ def within_run_novelty(verdicts: DataFrame, occurrences: DataFrame) -> DataFrame
     return verdicts.select("run_id", "pass_number").distinct().join(counts, ["run_id", "pass_number"], "left").select("run_id", "pass_number", F.coalesce("finding_count", zero).alias("finding_count"), F.coalesce("new_finding_count", zero).alias("new_finding_count"))
 
 
-def pass_jaccard(verdicts: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """Per run and subject: overlap of the last two passes, novelty of the last, convergence.
+def pass_jaccard(passes: DataFrame) -> DataFrame:
+    """Per run and subject: overlap of the last two completed passes, novelty of the last, convergence.
 
     Without findings in either pass the overlap is 1; with one pass it is null. The
     scopes of a subject's passes are the subject itself, so they always match.
     """
-    sets = occurrences.groupBy("run_id", "subject_id", "pass_number").agg(F.collect_set("fingerprint").alias("f"))
-    rows = verdicts.select("run_id", "subject_id", "pass_number").join(sets, ["run_id", "subject_id", "pass_number"], "left")
-    rows = rows.withColumn("f", F.coalesce("f", F.array().cast("array<string>")))
-    return _overlap(rows)
-
-
-def jaccard_of_passes(passes: DataFrame) -> DataFrame:
-    """``pass_jaccard`` in one grouping; a subject's findings differ by their kind."""
-    return _overlap(passes.where("completed").withColumn("f", F.array_distinct(F.transform("found", lambda x: x["kind"]))))
-
-
-def _overlap(rows: DataFrame) -> DataFrame:
-    """``rows``: run_id, subject_id, pass_number and f, the findings of the pass."""
+    rows = passes.where("completed").withColumn("f", F.array_distinct(_prints()))
     runs = rows.groupBy("run_id", "subject_id").agg(F.sort_array(F.collect_list(F.struct("pass_number", "f"))).alias("p"))
     last, prev = F.element_at("p", -1)["f"], F.get(F.col("p"), F.size("p") - 2)["f"]
     earlier = F.flatten(F.transform(F.slice("p", 1, F.size("p") - 1), lambda x: x["f"]))
@@ -156,16 +129,6 @@ def _overlap(rows: DataFrame) -> DataFrame:
     return runs.select("run_id", "subject_id", F.size("p").cast("long").alias("completed_passes"), latest_new.alias("new_findings_latest_pass"), jaccard.alias("jaccard"), (both & (latest_new == 0)).alias("converged"))
 
 
-def run_presence(scope: DataFrame, verdicts: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """Per run and subject: completeness, verdict set and fingerprints, ranked newest first."""
-    passes = scope.groupBy("run_id", "created_at", "subject_id").agg(F.count(F.lit(1)).alias("pass_total"))
-    done = verdicts.groupBy("run_id", "subject_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("verdict")).alias("verdicts"))
-    found = occurrences.groupBy("run_id", "subject_id").agg(F.array_sort(F.collect_set("fingerprint")).alias("fingerprints"))
-    rows = passes.join(done, ["run_id", "subject_id"], "left").join(found, ["run_id", "subject_id"], "left")
-    rows = rows.withColumns({"complete": F.coalesce(F.col("n") == F.col("pass_total"), F.lit(False)), "fingerprints": F.coalesce("fingerprints", F.array().cast("array<string>"))})
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("subject_id").orderBy(F.desc("created_at"), F.desc("run_id"))))
-
-
 def cross_run_convergence(presence: DataFrame) -> DataFrame:
     """Compares the two newest fully completed runs of each subject."""
     two = presence.where("complete").withColumn("k", F.row_number().over(Window.partitionBy("subject_id").orderBy("rank"))).where("k <= 2")
@@ -175,55 +138,10 @@ def cross_run_convergence(presence: DataFrame) -> DataFrame:
     return subjects.join(sig, "subject_id", "left").select("subject_id", state.alias("convergence"))
 
 
-def finding_history(presence: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """Per subject and fingerprint: where it was seen, and its state in the newest run.
-
-    Presence counts over completed runs only; runs where it was seen count all runs.
-    A finding that is not reproduced is never called resolved. Runs are joined by subject,
-    and only findings that came back look at the runs between.
-    """
-    runs = _among_complete(presence.select("subject_id", "run_id", "rank", "complete"))
-    found = occurrences.groupBy("subject_id", "fingerprint", "run_id").agg(F.count(F.lit(1)).alias("n")).join(runs, ["subject_id", "run_id"])
-    return found_states(found, runs).drop("occurrences_by_run")
-
-
-def history_of_passes(passes: DataFrame, fingerprint) -> DataFrame:
-    """``finding_history`` in one grouping by run and subject, and a window by subject."""
-    rows = _items(passes, "created_at").withColumn("complete", F.col("total") == F.col("pass_total"))
-    order = Window.partitionBy("subject_id").orderBy(F.desc("created_at"), F.desc("run_id"))
-    runs = _among_complete(rows.withColumn("rank", F.row_number().over(order)))
-    found = runs.select("subject_id", "run_id", "rank", "k", "latest_complete", F.explode(_per_finding(F.col("items"))).alias("f"))
-    found = found.select("subject_id", "run_id", "rank", "k", "latest_complete", fingerprint(F.col("subject_id"), F.col("f.kind")).alias("fingerprint"), F.col("f.n").cast("long").alias("n"))
-    return found_states(found, runs).drop("occurrences_by_run")
-
-
-def _among_complete(runs: DataFrame) -> DataFrame:
-    """Adds ``k``, the rank among a subject's complete runs, and whether its newest run is complete."""
-    newest_first = Window.partitionBy("subject_id").orderBy("rank")
-    k = F.sum(F.col("complete").cast("int")).over(newest_first.rowsBetween(Window.unboundedPreceding, 0))
-    return runs.withColumns({"k": F.when(F.col("complete"), k), "latest_complete": F.first("complete").over(newest_first)})
-
-
-def found_states(found: DataFrame, runs: DataFrame) -> DataFrame:
-    """Where each finding was seen, and its state.
-
-    ``found``: subject_id, run_id, rank (1 for the newest run), k (the rank among complete
-    runs, or null), latest_complete, fingerprint and n; ``runs``: subject_id, run_id, k.
-    """
-    rows = found.groupBy("subject_id", "fingerprint").agg(
-        F.count(F.lit(1)).alias("seen_run_count"), F.sum("n").alias("occurrence_count"), F.max_by("run_id", "rank").alias("first_seen_run_id"), F.min_by("run_id", "rank").alias("latest_seen_run_id"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "run_id", "n"))), lambda x: F.concat_ws(":", x["run_id"], x["n"])), ",").alias("occurrences_by_run"),
-        F.bool_or(F.coalesce(F.col("k") == 1, F.lit(False))).alias("now"), F.min(F.when(F.col("k") > 1, F.col("k"))).alias("prev"),
-        F.first("latest_complete").alias("latest_complete"),
-    )
-    again = F.col("latest_complete") & F.col("now") & F.coalesce(F.col("prev") > 2, F.lit(False))
-    state = F.when(~F.col("latest_complete"), "latest_run_incomplete").when(again, "reappeared_in_latest_run").when(F.col("now"), "present_in_latest_run").otherwise("not_reproduced_in_latest_run")
-    rows = rows.withColumns({"again": again, "latest_state": state})
-    between = rows.where("again").select("subject_id", "fingerprint", "prev").join(runs.where("k > 1").select("subject_id", "k", "run_id"), "subject_id").where("k < prev")
-    between = between.groupBy("subject_id", "fingerprint").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "run_id"))), lambda x: x["run_id"]), ",").alias("runs_between"))
-    return rows.join(between, ["subject_id", "fingerprint"], "left").select(
-        "subject_id", "fingerprint", "seen_run_count", "occurrence_count", "first_seen_run_id", "latest_seen_run_id", "occurrences_by_run", "latest_state", F.coalesce("runs_between", F.lit("")).alias("intervening_runs")
-    )
+def finding_history(passes: DataFrame) -> DataFrame:
+    """Per subject and fingerprint: where it was seen, and its state in the newest run (``presence.found_states``)."""
+    rows = _items(passes).select("run_id", "subject_id", "created_at", (F.col("total") == F.col("pass_total")).alias("complete"), _per_finding(F.col("items")).alias("findings"))
+    return presence.found_states(rows.withColumn("rank", _newest_first())).drop("occurrences_by_run")
 
 
 def pass_status(scope: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.audit import VERDICTS, found_states, risk_level, severity_name
+from tidemark.operators.audit import VERDICTS, risk_level, severity_name
+from tidemark.operators.presence import found_states
 
 RUN = ["exam_id", "run_id"]
 STATUSES = ("failed", "invalid", "succeeded", "timed_out")
@@ -178,14 +179,10 @@ def subject_history(a: DataFrame) -> DataFrame:
 def finding_history(a: DataFrame) -> DataFrame:
     """Per subject and fingerprint: where it was seen, and its state in the newest run.
 
-    A finding that is not reproduced is never called resolved. Presence counts over
-    complete runs only. All steps are joins on the subject; nothing holds the findings
-    of all runs at once.
+    See ``presence.found_states``.
     """
-    runs = ranked_runs(a)
     each = F.transform(F.array_distinct("prints"), lambda p: F.struct(p.alias("fingerprint"), F.size(F.filter("prints", lambda x: x == p)).cast("long").alias("n")))
-    found = runs.select("subject_id", "run_id", "rank", "k", "latest_complete", F.explode(each).alias("f")).select("subject_id", "run_id", "rank", "k", "latest_complete", "f.*")
-    return found_states(found, runs)
+    return found_states(ranked_runs(a).select("subject_id", "run_id", "rank", "complete", each.alias("findings")))
 
 
 def pass_status(a: DataFrame, checkpoints: DataFrame, attempts: DataFrame) -> DataFrame:

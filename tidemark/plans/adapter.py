@@ -58,7 +58,7 @@ def passes(ls: DataFrame) -> DataFrame:
     score = F.when(F.col("cents") >= 9, 90).when(F.col("cents") >= 6, 65).when(F.col("cents") >= 3, 35).otherwise(15)
     rank = F.max(F.when(F.col("flag") == "R", 2).when(F.col("flag") == "A", 1).otherwise(0))
     verdict = F.when(F.col("completed"), F.element_at(F.array(F.lit("clear"), F.lit("uncertain"), F.lit("finding")), rank + 1))
-    found = F.collect_list(F.when(F.expr("completed and flag = 'R'"), F.struct("kind", score.alias("score"), "occ_id")))
+    found = F.collect_list(F.when(F.expr("completed and flag = 'R'"), F.struct(fingerprint(F.col("subject_id"), F.col("kind")).alias("fingerprint"), score.alias("score"), "occ_id", F.concat(F.lit("kind-"), F.col("kind").cast("string")).alias("category"))))
     keys = ["run_id", "created_at", "pass_number", "subject_id", "completed"]
     return ls.repartition("run_id", "subject_id").groupBy(*keys).agg(verdict.alias("verdict"), found.alias("found"))
 

@@ -46,12 +46,12 @@ f AS (SELECT run_id, subject_id, fingerprint, count(DISTINCT pass_number) AS con
   least(100, top + (n - 1) * 10)::BIGINT AS risk_score, {LEVEL.format('least(100, top + (n - 1) * 10)')} AS risk_level
 FROM f JOIN elig USING (run_id, subject_id)""", True)
 def run_consensus(spark, d):
-    return audit.consensus_of_passes(_passes(spark, d), adapter.fingerprint)
+    return audit.run_consensus(_passes(spark, d))
 
 
 @query(CONSENSUS + f"""SELECT run_id, max(least(100, top + (n - 1) * 10))::BIGINT AS risk_score, {LEVEL.format('max(least(100, top + (n - 1) * 10))')} AS risk_level, count(*) AS findings FROM f GROUP BY run_id""", True)
 def run_risk(spark, d):
-    rows = audit.consensus_of_passes(_passes(spark, d), adapter.fingerprint).groupBy("run_id").agg(F.max("risk_score").alias("risk_score"), F.count(F.lit(1)).alias("findings"))
+    rows = audit.run_consensus(_passes(spark, d)).groupBy("run_id").agg(F.max("risk_score").alias("risk_score"), F.count(F.lit(1)).alias("findings"))
     return rows.withColumn("risk_level", audit.risk_level(F.col("risk_score")))
 
 
@@ -66,12 +66,12 @@ s AS (SELECT t.*, coalesce(n_findings, 0) AS n_findings, pass_total, least(100,
 
 @query(SUMMARY + f"""SELECT run_id, subject_id, CASE WHEN finding > 0 THEN 'finding' WHEN uncertain > 0 THEN 'uncertain' ELSE 'clear' END AS verdict, total, clear, finding, uncertain, disagreement, risk_score, {LEVEL.format('risk_score')} AS risk_level, n_findings, pass_total, total AS completed_passes FROM s""", True)
 def question_summary(spark, d):
-    return audit.summary_of_passes(_passes(spark, d))
+    return audit.question_summary(_passes(spark, d))
 
 
 @query(SUMMARY + f"""SELECT run_id, {LEVEL.format('risk_score')} AS risk_level, count(*) AS subjects, count(*) FILTER (disagreement) AS disagreements FROM s GROUP BY ALL""", True)
 def risk_histogram(spark, d):
-    s = audit.summary_of_passes(_passes(spark, d))
+    s = audit.question_summary(_passes(spark, d))
     return s.groupBy("run_id", "risk_level").agg(F.count(F.lit(1)).alias("subjects"), F.count_if("disagreement").alias("disagreements"))
 
 
@@ -84,7 +84,7 @@ def latest_run_per_subject(spark, d):
 SELECT subject_id, run_id, risk_score, {LEVEL.format('risk_score')} AS risk_level, total FROM s SEMI JOIN newest USING (subject_id, run_id)""", True)
 def latest_summary_per_question(spark, d):
     # a run's name holds its year, so the greatest name is the newest run
-    s = audit.summary_of_passes(_passes(spark, d)).withColumn("newest", F.max("run_id").over(Window.partitionBy("subject_id")))
+    s = audit.question_summary(_passes(spark, d)).withColumn("newest", F.max("run_id").over(Window.partitionBy("subject_id")))
     return s.where("run_id = newest").select("subject_id", "run_id", "risk_score", "risk_level", "total")
 
 
@@ -102,7 +102,7 @@ c AS (SELECT run_id, subject_id, count(*) FILTER (a AND b) AS common, count(*) F
 SELECT run_id, subject_id, n AS completed_passes, coalesce(fresh, 0) AS new_findings_latest_pass, CASE WHEN n >= 2 THEN CASE WHEN coalesce(u, 0) > 0 THEN round_even(common / u, 4) ELSE 1.0::DOUBLE END END AS jaccard, n >= 2 AND coalesce(fresh, 0) = 0 AS converged
 FROM (SELECT DISTINCT run_id, subject_id, n FROM p) LEFT JOIN c USING (run_id, subject_id)""", True)
 def pass_jaccard(spark, d):
-    return audit.jaccard_of_passes(_passes(spark, d))
+    return audit.pass_jaccard(_passes(spark, d))
 
 
 PRESENCE = """, pt AS (SELECT run_id, created_at, subject_id, count(*) AS total FROM scope GROUP BY ALL),
@@ -117,7 +117,7 @@ pres AS (SELECT run_id, subject_id, coalesce(n = total, false) AS complete, vs,
 s AS (SELECT subject_id, count(*) AS n, count(DISTINCT vs || ':' || fps) AS m FROM k WHERE k <= 2 GROUP BY subject_id)
 SELECT subject_id, CASE WHEN coalesce(n, 0) < 2 THEN 'insufficient_runs' WHEN m = 1 THEN 'stable' ELSE 'changed' END AS convergence FROM (SELECT DISTINCT subject_id FROM scope) LEFT JOIN s USING (subject_id)""", True)
 def cross_run_convergence(spark, d):
-    return audit.cross_run_convergence(audit.presence_of_passes(_passes(spark, d), adapter.fingerprint))
+    return audit.cross_run_convergence(audit.run_presence(_passes(spark, d)))
 
 
 HISTORY = PRESENCE + """, done AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY rank) AS k FROM pres WHERE complete),
@@ -134,7 +134,7 @@ newest AS (SELECT subject_id, complete FROM pres WHERE rank = 1)
   CASE WHEN complete AND now AND prev > 2 THEN runs ELSE '' END AS intervening_runs
 FROM occ JOIN newest USING (subject_id) LEFT JOIN a USING (subject_id, fingerprint) LEFT JOIN mid USING (subject_id, fingerprint)""", True)
 def finding_history_state(spark, d):
-    return audit.history_of_passes(_passes(spark, d), adapter.fingerprint)
+    return audit.finding_history(_passes(spark, d))
 
 
 @query("SELECT fingerprint, min(run_id) AS first_run, max(run_id) AS last_run, count(DISTINCT run_id) AS runs, array_to_string(list_sort(list(DISTINCT run_id), 'DESC'), ',') AS run_ids FROM occurrences GROUP BY fingerprint", True)
