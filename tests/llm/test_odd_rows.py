@@ -190,3 +190,13 @@ def test_spelled_insult_is_whole_in_a_part_at_every_offset():
             parts = toxicity.pieces(word)
             assert any(insult.encode() in p for p in parts), (n, at)
             assert all(len(p) <= toxicity.LONGEST for p in parts) and parts[-1].endswith(b"y")
+
+
+def test_recompress_with_clashing_columns(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(1, passage, "a", 5, 6, 7, 8), (2, "before " + passage + " after", "b", 5, 6, 7, 8), (3, passage, "c", 5, 6, 7, 8), (None, passage, "d", 5, 6, 7, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone string, tag int, kept int, __id int, row int")
+    got = {r.gone: r for r in recompress.without_repeats(docs).collect()}
+    assert got.keys() == {"a", "b", "d"} and got["b"].text == "before after" and got["a"].text == got["d"].text == passage
+    assert recompress.without_repeats(docs).columns == docs.columns
+    assert (got["b"].tag, got["b"].kept, got["b"]["__id"], got["b"].row) == (5, 6, 7, 8)

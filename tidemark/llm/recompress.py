@@ -258,17 +258,20 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``docs`` without the words of repeated windows.
 
     Texts that lose nothing stay as they are; rows that lose all their words go. An
-    ``n_chars`` column follows the text.
+    ``n_chars`` column follows the text; other columns stay, whatever their names.
     """
     space = Workspace(docs.sparkSession, "recompress")
-    gone = repeated_windows(docs, space, id_col, text_col).withColumnRenamed("doc_id", "__id").withColumnRenamed("tag", "__tag")
-    rows = docs.join(gone, (F.col(id_col).cast("long") == F.col("__id")) & (F.xxhash64(text_of(docs, text_col)) == F.col("__tag")), "left")
-    rows = rows.withColumn("__kept", F.when(F.col("gone").isNotNull(), F.arrow_udf(_kept_text, "string").asNondeterministic()(F.col(text_col), F.col("gone"))))
-    rows = rows.where("__kept is null or __kept <> ''")
-    changes = {text_col: F.coalesce("__kept", text_col)}
+    gone = repeated_windows(docs, space, id_col, text_col)
+    # docs go along as one struct, so no column of theirs meets one of the join
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(docs, text_col)).alias("tag"))
+    rows = rows.join(gone, ["doc_id", "tag"], "left")
+    text = F.col("row").getField(text_col)
+    rows = rows.withColumn("kept", F.when(F.col("gone").isNotNull(), F.arrow_udf(_kept_text, "string").asNondeterministic()(text, F.col("gone"))))
+    rows = rows.where("kept is null or kept <> ''")
+    changes = {text_col: F.coalesce("kept", text)}
     if "n_chars" in docs.columns:
-        changes["n_chars"] = F.when(F.col("__kept").isNotNull(), F.length("__kept").cast("long")).otherwise(F.col("n_chars"))
-    return rows.withColumns(changes).select(*docs.columns)
+        changes["n_chars"] = F.when(F.col("kept").isNotNull(), F.length("kept").cast("long")).otherwise(F.col("row.n_chars"))
+    return rows.select(*[changes.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def _kept_text(text: pa.Array, gone: pa.Array) -> pa.Array:
