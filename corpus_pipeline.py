@@ -47,10 +47,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ids = docs.groupBy("__row").agg(F.min("doc_id").alias("id"))
     least = F.min(F.struct(F.col("id").isNull(), "id", "__row", "n"))
     firsts = Workspace(spark, "firsts").save(classes.join(ids, "__row").groupBy("class_id").agg(least.alias("c")).select("c.__row", "c.n"), "firsts")
-    kept = docs.join(firsts.select("__row").hint("merge"), "__row")
-    if firsts.where("n > 1").isEmpty():
-        return kept.select(*COLUMNS)
-    return kept.groupBy("__row").agg(F.min(F.struct(*COLUMNS)).alias("c")).select("c.*")
+    # only rows that are repeated are grouped, so a repeat anywhere does not move all texts again
+    once = docs.join(firsts.where("n = 1").select("__row").hint("merge"), "__row").select(*COLUMNS)
+    again = firsts.where("n > 1").select("__row")
+    if again.isEmpty():
+        return once
+    repeated = docs.join(again, "__row").groupBy("__row").agg(F.min(F.struct(*COLUMNS)).alias("c")).select("c.*")
+    return once.unionByName(repeated)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
