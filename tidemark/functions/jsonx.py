@@ -7,6 +7,7 @@ import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,14 +89,25 @@ def finding_identity(col: Column) -> Column:
     return F.pandas_udf(_each(identity_of), "string")(col)
 
 
-def finding_identities(col: Column) -> Column:
-    """The canonical identities of an array of findings' JSON texts."""
+def result_parts(col: Column) -> Column:
+    """Of a result's JSON text, parsed once: its canonical JSON, and the canonical identities of its ``findings`` where they are a list."""
 
-    def apply(values: pd.Series) -> pd.Series:
-        one = _each(identity_of)
-        return values.map(lambda xs: None if xs is None else one(pd.Series(list(xs), dtype=object)).tolist())
+    def apply(texts: pa.Array) -> pa.Array:
+        said, found = [], []
+        for text in texts:
+            value = whole = None
+            try:
+                if text.is_valid:
+                    value = json.loads(text.as_py())
+                    whole = canonical(value)
+            except ValueError:
+                pass
+            said.append(whole)
+            items = value.get("findings") if isinstance(value, dict) else None
+            found.append([identity_of(x) for x in items] if isinstance(items, list) else None)
+        return pa.StructArray.from_arrays([pa.array(said, pa.string()), pa.array(found, pa.list_(pa.string()))], ["canonical", "identities"])
 
-    return F.pandas_udf(apply, "array<string>")(col)
+    return F.arrow_udf(apply, "canonical string, identities array<string>")(col)
 
 
 def json_string(col: Column) -> Column:
