@@ -97,3 +97,12 @@ def test_history_of_a_hot_subject(spark):
     assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
     row = got.first()
     assert (row.version, len(row.history), row.history[0].note) == (500, 30, "n")
+
+
+def test_row_hash_escapes_text_alone_and_without_patterns(spark):
+    df = spark.createDataFrame([("a|b\\", 1.5, None), ("\\|", -2.0, "n"), ("", 0.0, "|v")], "s string, x double, t string").withColumn("d", F.expr("cast(x as decimal(9,2))"))
+    h = expect.row_hash(df, df.columns)
+    cells = [F.coalesce(F.concat(F.lit("v"), F.regexp_replace(F.col(c).cast("string"), "([\\\\|])", "\\\\$1")), F.lit("n")) for c in df.columns]
+    assert df.where(h != F.sha2(F.concat_ws("|", *cells), 256)).isEmpty()
+    plan = df.select(h.alias("h"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and plan.count("replace(") == 4

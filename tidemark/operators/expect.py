@@ -28,9 +28,21 @@ def suite(df: DataFrame, checks: dict[str, tuple[Column, object]]) -> DataFrame:
     return row.select(one.alias("c")).select("c.*", F.coalesce(F.col("c.expected") == F.col("c.actual"), F.lit(False)).alias("ok"))
 
 
+#: Kinds whose text holds neither a separator nor an escape.
+PLAIN = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "date", "timestamp", "timestamp_ntz")
+
+
 def row_hash(df: DataFrame, cols: list[str]) -> Column:
     """SHA-256 of a row with marked nulls and escaped separators."""
-    cell = [F.coalesce(F.concat(F.lit("v"), F.regexp_replace(F.col(c).cast("string"), "([\\\\|])", "\\\\$1")), F.lit("n")) for c in cols]
+    kinds = {name.lower(): kind for name, kind in df.dtypes}
+
+    def text(c: str) -> Column:
+        said = F.col(c).cast("string")
+        if kinds.get(c.lower(), "").startswith("decimal") or kinds.get(c.lower()) in PLAIN:
+            return said
+        return F.replace(F.replace(said, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+
+    cell = [F.coalesce(F.concat(F.lit("v"), text(c)), F.lit("n")) for c in cols]
     return F.sha2(F.concat_ws("|", *cell), 256)
 
 
