@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -16,9 +17,12 @@ IDENTITY_KEYS = ("field", "observed", "expected")
 LONGEST_IDENTITY, LONGEST_EVIDENCE = 10_000, 20_000
 
 
+_ENCODER = json.JSONEncoder(ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+
+
 def canonical(value) -> str:
     """Sorted keys, no spaces, no escapes beyond JSON's own; floats stay floats."""
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    return _ENCODER.encode(value)
 
 
 def over_strings(value, change: Callable[[str], str]):
@@ -44,7 +48,12 @@ def over_strings(value, change: Callable[[str], str]):
 
 
 def plain_text(text: str) -> str:
-    """Compatibility form, single spaces, case folded."""
+    """Compatibility form, single spaces, case folded; short texts, which recur, are kept."""
+    return _plain(text) if len(text) <= 100 else _plain.__wrapped__(text)
+
+
+@lru_cache(4096)
+def _plain(text: str) -> str:
     return " ".join(unicodedata.normalize("NFKC", text).split()).casefold()
 
 
@@ -59,7 +68,9 @@ def identity_of(finding) -> str | None:
     if not given or not isinstance(given, dict | list):
         return None
     said = canonical(over_strings(given, plain_text))
-    return said if len(said) <= LONGEST_IDENTITY and len(canonical(evidence)) <= LONGEST_EVIDENCE else None
+    # JSON writes no value longer than twice its repr, which is quicker to make
+    short = 2 * len(repr(evidence)) <= LONGEST_EVIDENCE or len(canonical(evidence)) <= LONGEST_EVIDENCE
+    return said if len(said) <= LONGEST_IDENTITY and short else None
 
 
 def _each(f):
