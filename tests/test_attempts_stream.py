@@ -112,3 +112,18 @@ def test_repeats_are_dropped_before_they_are_validated_and_passes_share_a_state(
     assert run()[0]["dedupeWithinWatermark"]["customMetrics"]["numDroppedDuplicateRows"] == 4
     assert stream.table("attempts", "pass_id", "attempt_number", "status") == [(p, 1, "succeeded") for p in "abcd"]
     assert stream.table("refusals", "pass_id", "number") == [("a", 3)]
+
+
+def test_passes_of_one_bucket_end_each_at_its_time(spark, stream, tmp_path):
+    def send(*events):
+        rows = [(p, n, DAY + timedelta(minutes=at), "failed", None, "x", None) for p, n, at in events]
+        spark.createDataFrame(rows, attempts.EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        attempts.ingest_stream(spark, str(tmp_path / "in"), stream.passes, stream.root, stream.state, "10 minutes", 3_600_000, buckets=1).awaitTermination()
+        return stream.table("passes", "pass_id", "status", "attempts")
+
+    assert send(("a", 1, 0), ("b", 1, 20), ("c", 1, 10)) == []
+    # c goes on, so its end moves; the end of a passes, and its timer was the one of all
+    assert send(("c", 2, 50), ("d", 1, 75)) == [("a", "open", 1)]
+    assert send(("d", 2, 100)) == [("a", "open", 1), ("b", "open", 1)]
+    assert send(("d", 3, 200)) == [("a", "open", 1), ("b", "open", 1), ("c", "open", 2)]
+    assert stream.table("attempts", "pass_id", "attempt_number")[-3:] == [("d", 1), ("d", 2), ("d", 3)]
